@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, simhash
+from . import chat, pieces, pii, secrets, simhash, spans
 from .common import read_table
 
 
@@ -25,6 +25,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    log = chat.log_of_turns(turns.unionByName(chat.escaping_probe(spark, turns)))
+    return chat.read_back(chat.format_log(log))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    counts = [spans.count("secrets", k).alias(f"n_{k}") for k in secrets.KINDS]
+    return out.select("doc_id", *counts, spans.base_digest("secrets").alias("base_sha256"), spans.joined("secrets").alias("spans"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    counts = [spans.count("found", k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, spans.base_digest("found").alias("base_sha256"), spans.joined("found").alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -32,8 +50,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_chat": op5_chat,
+    "op6_secrets": op6_secrets,
+    "op7_pii": op7_pii,
     "op9_simhash": op9_simhash,
 }
 
+#: The control strings of the chat template, as DuckDB replaces them.
+_ESCAPE = r"regexp_replace({}, '([<\[])(\\*)(/?(s>|INST\]))', '\1\\\2\3', 'g')"
+_ROLE = _ESCAPE.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
+
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+            CAST(sum(8 + length({_ROLE}) + length({_ESCAPE.format('text')})) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+}
