@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pieces, pii, secrets, simhash, spans
-from .common import read_table
+from . import chat, packing, pieces, pii, secrets, shards, simhash, spans
+from .common import read_table, shared_dir
 
 
 def piece_model() -> str:
@@ -25,6 +26,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append the documents as small shards, compact them, and read the committed version back."""
+    store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store.append(read_table(spark, sf_dir, "documents"))
+    store.compact()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     log = chat.log_of_turns(turns.unionByName(chat.escaping_probe(spark, turns)))
@@ -48,12 +57,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_shards": op4_shards,
     "op5_chat": op5_chat,
     "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 
 #: The control strings of the chat template, as DuckDB replaces them.
@@ -62,6 +77,9 @@ _ROLE = _ESCAPE.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op4_shards": """
+        SELECT doc_id, lang, source, n_chars, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
+        FROM documents""",
     "op5_chat": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
