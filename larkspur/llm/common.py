@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch. Documents can be long, so batches are short.
 TEXT_ROWS_PER_BATCH = 256
@@ -53,5 +54,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of a table of group results (a few hundred bytes each) that may be broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a checkpointed table of group results is small enough for a broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def sized(df: DataFrame, small: bool) -> DataFrame:
+    """With a broadcast hint where the size check allowed it; else Spark shuffles and splits skewed keys."""
+    return F.broadcast(df) if small else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
