@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pieces, pii, quality, secrets, shards, simhash, spans
+from . import chat, packing, pieces, pii, quality, secrets, shards, simhash, spans, toxicity
 from .common import read_table, shared_dir
 
 
@@ -57,6 +57,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, spans.base_digest("found").alias("base_sha256"), spans.joined("found").alias("spans"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(~toxicity.learnable(F.col("doc_id")), F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -73,6 +80,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
