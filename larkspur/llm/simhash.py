@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, written
 from .graph import components
 
 WORDS_PER_SHINGLE = 3
@@ -168,3 +168,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = nodes.groupBy("label").agg(F.min("least").alias("component"))
     return own.join(nodes.join(smallest, "label").select("fp", "component"), "fp").select(id_col, "fp", "component")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one row of each near-duplicate group.
+
+    The row with the group's smallest id stays (one with a null id only where
+    the group has no other); of repeated rows of that id, one. The texts cross one
+    shuffle, by fingerprint and id, so that the copies of a hot group go to
+    different tasks.
+    """
+    bounded_batches(docs.sparkSession)
+    at, fp = docs.columns.index(text_col), "__fp"
+    marked = docs.withColumn(fp, F.lit(0).cast("bigint"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            yield b.set_column(b.num_columns - 1, b.schema.field(b.num_columns - 1), pa.array([fingerprint((t or "").encode()) for t in texts], pa.int64()))
+
+    own = written(marked.mapInArrow(run, marked.schema), "marked")
+    ids = own.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    nodes = ids.groupBy("fp").agg(F.min("id").alias("id"))
+    label = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    nodes = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    first = F.min_by(F.struct("fp", "id"), F.struct(F.col("id").isNull(), "id", "fp"))
+    stays = nodes.groupBy("label").agg(first.alias("s")).select(F.col("s.fp").alias("__stays_fp"), F.col("s.id").alias("__stays_id"))
+    kept = own.join(stays, (F.col(fp) == F.col("__stays_fp")) & F.col(id_col).eqNullSafe(F.col("__stays_id")), "left_semi")
+    once = F.row_number().over(Window.partitionBy(fp, id_col).orderBy(F.xxhash64(text_col)))
+    return kept.withColumn("__once", once).where("__once = 1").select(*docs.columns)
