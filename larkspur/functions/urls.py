@@ -67,7 +67,7 @@ def attribute_asin(value: C) -> Column:
 
 
 def is_block_page(url: C) -> Column:
-    return F.lower(F.coalesce(col(url), F.lit(""))).rlike("/blocked|/errors/|validatecaptcha|/sorry")
+    return F.lower(F.coalesce(col(url), F.lit(""))).rlike("/blocked|validatecaptcha|/bot-mitigation")
 
 
 def newegg_segment(url: C) -> Column:
