@@ -23,6 +23,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .text import C, col
 
@@ -97,7 +98,7 @@ def wratio(a: str, b: str) -> float:
 
 
 def _vectorised(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict[tuple[str, str], float] = {}
         out = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import C, col
 
@@ -50,7 +51,7 @@ def gap(found: C, reference: C) -> Column:
     return F.when(r <= 0, F.lit(0.0)).otherwise(F.abs((f - r).cast("double")) / F.when(r > 0, r).cast("double"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _one_decimal(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:.1f}")
 

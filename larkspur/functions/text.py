@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import fixed
 
@@ -17,7 +18,7 @@ def col(c: C) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)), na_action="ignore")
 
