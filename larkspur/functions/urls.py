@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -29,8 +29,7 @@ def search_url(prefix: C, query: C) -> Column:
 
 
 def normal(url: C) -> Column:
-    u = F.trim(col(url))
-    u = F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)
+    u = F.regexp_replace(F.trim(col(url)), "^//", "https://")
     u = F.regexp_replace(u, r"^http://(www\.(?:bestbuy|newegg|amazon|walmart)\.com)", "https://$1")
     return F.regexp_replace(u, r"^https?://bestbuy\.com", "https://www.bestbuy.com")
 
@@ -113,40 +112,35 @@ def bestbuy_title(url: C) -> Column:
     return F.when(F.size(parts) == 0, "Best Buy product").when(slug.rlike("^[0-9]+$"), F.concat(F.lit("Best Buy SKU "), slug)).otherwise(F.substring(title, 1, 160))
 
 
-def coerced(url: C, domain: C, search: C | None = None) -> Column:
-    """A product URL from what a page or model gave: bare numbers, relative paths, missing endings."""
-    raw, d = F.trim(F.coalesce(col(url), F.lit(""))), col(domain)
-    bestbuy, newegg = d == "bestbuy.com", d == "newegg.com"
-    absolute = F.startswith(normal(raw), F.lit("http"))
-    u = normal(
-        F.when(absolute, normal(raw))
-        .when(bestbuy & F.startswith(raw, F.lit("/site/")), F.concat(F.lit("https://www.bestbuy.com"), raw))
-        .when(newegg & F.startswith(raw, F.lit("/")), F.concat(F.lit("https://www.newegg.com"), raw))
-        .otherwise(normal(raw))
-    )
-    item = F.nullif(F.regexp_extract(raw, "(?i)item=([A-Z0-9-]{6,})", 1), F.lit(""))
-    item_page = F.concat(F.lit("https://www.newegg.com/Product.aspx?Item="), item)
-    p = path(u)
-    sku = F.regexp_extract(query_string(u), "(?:^|&)sku[Ii]d=([0-9]{6,})(?:&|$)", 1)
+def coerced(rows: DataFrame, url: str = "url", domain: str = "domain", search: str | None = None) -> DataFrame:
+    """Rows with ``url`` as a product URL, from what a page or model gave: bare numbers, relative paths, missing endings.
+
+    Each step is a column of its own, so that none is computed more than once.
+    """
+    bestbuy, newegg = F.col(domain) == "bestbuy.com", F.col(domain) == "newegg.com"
+    raw, u, p = F.col("__raw"), F.col("__u"), F.col("__path")
+    steps = rows.withColumn("__raw", F.trim(F.coalesce(F.col(url), F.lit(""))))
+    home = F.when(bestbuy & F.startswith(raw, F.lit("/site/")), "https://www.bestbuy.com").when(newegg & raw.rlike("^/(?!/)"), "https://www.newegg.com").otherwise("")
+    steps = steps.withColumn("__u", normal(F.concat(home, raw))).withColumn("__path", path("__u"))
+    sku = F.regexp_extract(query_string("__u"), "(?:^|&)sku[Ii]d=([0-9]{6,})(?:&|$)", 1)
+    base = F.regexp_replace(F.regexp_replace(p, "/+$", ""), "^$", "/site/product")
     has_sku = p.rlike(r"(?i)/[0-9]{6,}(\.p)?(/|$|\?)")
-    base = F.regexp_replace(p, "/+$", "")
-    with_sku = F.concat(F.lit("https://www.bestbuy.com"), F.when(base == "", "/site/product").otherwise(base), F.lit("/"), sku, F.lit(".p"))
-    from_sku = F.when((sku != "") & ~F.contains(p, F.lit(".p")) & ~has_sku, with_sku).otherwise(u)
-    ended = F.when(
-        F.contains(from_sku, F.lit("bestbuy.com")) & ~F.contains(from_sku, F.lit(".p")) & path(from_sku).rlike(r"(?i)/[0-9]{6,}(/|$|\?)"),
-        F.concat(F.regexp_replace(without_query(from_sku), "/+$", ""), F.lit(".p")),
-    ).otherwise(from_sku)
-    segment = F.coalesce(*(F.nullif(F.regexp_extract(x, "(?i)/p/([A-Z0-9][A-Z0-9-]{3,})", 1), F.lit("")) for x in ([F.coalesce(col(search), F.lit(""))] if search is not None else []) + [raw]))
-    on_search = F.contains(F.lower(p), F.lit("/p/pl"))
-    return F.trim(
-        F.when(raw == "", raw)
-        .when(bestbuy & raw.rlike("^[0-9]{6,}$"), F.concat(F.lit("https://www.bestbuy.com/site/product/"), raw, F.lit(".p")))
-        .when(newegg & item.isNotNull() & ~F.contains(F.lower(u), F.lit("newegg.com")), item_page)
-        .when(bestbuy & F.contains(F.lower(p), F.lit("/product/")) & ~F.endswith(p, F.lit("/")), without_fragment(u))
-        .when(bestbuy, without_fragment(ended))
-        .when(newegg & on_search & segment.isNotNull() & ~F.lower(segment).isin("pl", "pls"), F.concat(F.lit("https://www.newegg.com/p/"), segment))
+    steps = steps.withColumn("__sku", sku).withColumn("__given", F.when((F.col("__sku") != "") & ~F.contains(p, F.lit(".p")) & ~has_sku, F.concat(F.lit("https://www.bestbuy.com"), base, F.lit("/"), F.col("__sku"), F.lit(".p"))).otherwise(u))
+    given = F.col("__given")
+    bare = F.contains(given, F.lit("bestbuy.com")) & ~F.contains(given, F.lit(".p")) & given.rlike(r"(?i)^[a-z]+://[^?#]*/[0-9]{6,}(/|$|\?|#)")
+    steps = steps.withColumn("__ended", F.when(bare, F.concat(F.regexp_replace(without_query(given), "/+$", ""), F.lit(".p"))).otherwise(given))
+    item = F.nullif(F.regexp_extract(raw, "(?i)item=([A-Z0-9-]{6,})", 1), F.lit(""))
+    segments = [F.nullif(F.regexp_extract(x, "(?i)/p/([A-Z0-9][A-Z0-9-]{3,})", 1), F.lit("")) for x in ([F.coalesce(F.col(search), F.lit(""))] if search else []) + [raw]]
+    steps = steps.withColumn("__item", item).withColumn("__segment", F.coalesce(*segments))
+    on_search = F.contains(F.lower(p), F.lit("/p/pl")) & F.col("__segment").isNotNull() & ~F.lower("__segment").isin("pl", "pls")
+    out = (
+        F.when(bestbuy & raw.rlike("^[0-9]{6,}$"), F.concat(F.lit("https://www.bestbuy.com/site/product/"), raw, F.lit(".p")))
+        .when(newegg & F.col("__item").isNotNull() & ~F.contains(F.lower(u), F.lit("newegg.com")), F.concat(F.lit("https://www.newegg.com/Product.aspx?Item="), F.col("__item")))
+        .when(newegg & on_search, F.concat(F.lit("https://www.newegg.com/p/"), F.col("__segment")))
+        .when(bestbuy & ~p.rlike("(?i)/product/.*[^/]$"), without_fragment("__ended"))
         .otherwise(without_fragment(u))
     )
+    return steps.withColumn(url, F.trim(out)).drop("__raw", "__u", "__path", "__sku", "__given", "__ended", "__item", "__segment")
 
 
 def made_up_item(item: C) -> Column:

@@ -33,6 +33,9 @@ def compare(queries: DataFrame, plans: DataFrame, captures: DataFrame, reference
     fields = html.product_fields(products).drop("website").join(products.select("page_id", "query_id", "website", "stage", "method", "url"), "page_id")
     hits = fields.join(matched, (fields.query_id == matched.query_id) & (fields.website == matched.website) & (fields.url == matched.matched_url)).drop(matched.query_id, matched.website)
     found = cascade.first_success(hits, matching.GROUP, keep=["stage", "method", "url", "score", *cascade.FIELDS])
+    asked = planned.select("query_id", "website", F.col("match_query").alias("query"))
+    found = cascade.rechecked(filters.with_forms(found.join(asked, matching.GROUP), "query", "title").withColumn("status", F.lit("Success")))
+    found = found.where("status = 'Success'").drop("status", "query", "query_form", "title_form")
     found = judge.prices(found, price_verdicts).where("plausible")
     rows = cascade.always(planned, found.withColumn("status", cascade.status("title", "price")))
     outliers = cascade.gap_outliers(rows, references, fixed.PRICE_GAP).select("query_id", "website", F.lit(True).alias("__out"))

@@ -339,7 +339,7 @@ def ur02(spark, d):
 
 @query("UR-03_coerce_url")
 def ur03(spark, d):
-    return url_rows(spark).select("i", urls.coerced("url", "domain").alias("url"))
+    return urls.coerced(url_rows(spark)).select("i", "url")
 
 
 @query("UR-05_same_domain", f"SELECT i, contains({HOST.format('url')}, domain) AS same FROM {values([r for r in ROWS if r[1].startswith('http')], 'i, url, domain')}")

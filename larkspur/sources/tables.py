@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parse, text, urls
@@ -51,9 +51,9 @@ def catalogued(queries: DataFrame) -> DataFrame:
     return norm.join(known, hit).select("query_id", "domain", F.lit(1).alias("rank"), "title", "url")
 
 
-def more_searches(query: str = "user_query") -> F.Column:
-    """The query and its variants, distinct without regard to case, in order."""
-    norm = text.normalized(query)
+def more_searches(query: str = "user_query", norm: str = "norm") -> Column:
+    """The query and its variants by its normalised form, distinct without regard to case, in order."""
+    norm = F.col(norm)
     out = F.array(F.trim(F.col(query)))
     for pattern, variants in MORE_SEARCHES:
         more = F.array(*(F.replace(F.lit(v), F.lit("{}"), F.col(query)) for v in variants))
@@ -61,9 +61,9 @@ def more_searches(query: str = "user_query") -> F.Column:
     return distinct_strings(out)
 
 
-def distinct_strings(values: F.Column) -> F.Column:
+def distinct_strings(values: Column) -> Column:
     """Trimmed strings, empty ones away, the first of each spelling without regard to case."""
-    trimmed = F.filter(F.transform(values, F.trim), lambda v: v.isNotNull() & (v != ""))
+    trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
     low = F.transform(trimmed, F.lower)
     return F.filter(trimmed, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
 
@@ -76,7 +76,8 @@ def usable_captures(captures: DataFrame) -> DataFrame:
 def hosted_serp(bodies: DataFrame) -> DataFrame:
     """Hosted search extracts ``(page_id, domain, body)``: admitted rows of the JSON, ranks with gaps, fifteen at most."""
     rows = F.from_json("body", "results array<struct<title:string,url:string>>")["results"]
-    r = bodies.select("page_id", "domain", F.posexplode(rows).alias("pos", "r")).select("page_id", "domain", (F.col("pos") + 1).alias("rank"), F.trim("r.title").alias("title"), urls.coerced("r.url", "domain").alias("url"))
+    r = bodies.select("page_id", "domain", F.posexplode(rows).alias("pos", "r")).select("page_id", "domain", (F.col("pos") + 1).alias("rank"), F.trim("r.title").alias("title"), F.col("r.url").alias("url"))
+    r = urls.coerced(r)
     good = (F.col("title") != "") & F.startswith("url", F.lit("http")) & urls.is_product("url", "domain") & urls.plausible("url", "domain")
     return r.where(good & (F.col("rank") <= fixed.MAX_SERP_ROWS))
 
