@@ -237,98 +237,108 @@ def salvage(pages: DataFrame) -> DataFrame:
     return out
 
 
-def price_facts(pages: DataFrame) -> DataFrame:
-    """Prices of Amazon product pages with what surrounds them: ``page_id, region, pos, raw, in_addon, financing``.
-
-    Regions: primary roots ``p0...``, buy-box roots ``b0...``, rescue roots
-    ``r0...``, the page ``all``, single selectors ``s0...``, struck ones ``strike``.
-    """
-
-    def surroundings(node: dom.Node) -> tuple[str, bool]:
-        ids = " ".join(filter(None, (" ".join([n.attrs.get("id", ""), *n.classes]).strip() for n in [node, *node.ancestors()][:10])))
+def _price_places(top: dom.Node) -> list[tuple[str, dom.Node]]:
+    regions = [(f"{c}{i}", dom.first(top, s)) for c, ss in (("p", AMAZON_PRIMARY), ("b", AMAZON_BUY_BOX), ("r", AMAZON_RESCUE)) for i, s in enumerate(ss)]
+    found = [(name, n) for name, root in regions if root for n in dom.select(root, AMAZON_PRICES)]
+    # a buy box without a price still says that the page has one
+    found += [(f"{name}-", root) for name, root in regions if root and name[0] == "b"]
+    found += [("all", n) for n in dom.select(top, AMAZON_PRICES)]
+    found += [(f"s{i}", n) for i, s in enumerate(AMAZON_SINGLE) if (n := dom.first(top, s))]
+    return found + [("strike", n) for n in dom.select(top, AMAZON_STRIKE)]
+
+
+def _price_rows(top: dom.Node) -> list[dict]:
+    out = []
+    for pos, (name, n) in enumerate(_price_places(top)):
+        identity = " ".join(filter(None, (" ".join([x.attrs.get("id", ""), *x.classes]).strip() for x in [n, *n.ancestors()][:10])))
         near = False
-        for up in list(node.ancestors())[:7]:
+        for up in list(n.ancestors())[:7]:
             blob = up.text(" ").lower()
             if len(blob) > 240:
                 break
-            squeezed = blob.replace(" ", "").replace(" ", "")
+            squeezed = blob.replace(" ", "").replace("\u00a0", "")
             if "/mo" in squeezed or "/month" in squeezed or "permonth" in squeezed:
                 near = True
                 break
-        return ids, near
-
-    def per_page(html: str, page_id):
-        top = dom.parse(html)
-        regions = [(f"{c}{i}", dom.first(top, s)) for c, ss in (("p", AMAZON_PRIMARY), ("b", AMAZON_BUY_BOX), ("r", AMAZON_RESCUE)) for i, s in enumerate(ss)]
-        found = [(name, n) for name, root in regions if root for n in dom.select(root, AMAZON_PRICES)]
-        found += [("all", n) for n in dom.select(top, AMAZON_PRICES)]
-        found += [(f"s{i}", n) for i, s in enumerate(AMAZON_SINGLE) if (n := dom.first(top, s))]
-        found += [("strike", n) for n in dom.select(top, AMAZON_STRIKE)]
-        for pos, (name, n) in enumerate(found):
-            yield name, pos, n.raw(), *surroundings(n)
-
-    facts = _rows(pages, ["page_id"], "region string, pos int, raw string, identity string, near_monthly boolean", per_page)
-    small = F.coalesce(parse.price("raw") < 150, F.lit(False))
-    return facts.select("page_id", "region", "pos", "raw", parse.price("raw").alias("price"), filters.add_on("identity").alias("in_addon"), filters.financing("raw").alias("teaser"), (F.col("near_monthly") & small).alias("financing"))
+        out.append({"region": name, "pos": pos, "raw": "" if name.endswith("-") else n.raw(), "identity": identity, "near_monthly": near})
+    return out
 
 
-def resolve_amazon_price(facts: DataFrame, products: DataFrame) -> DataFrame:
-    """The price of each page of ``products(page_id, title, json_price)`` from its price facts.
+def product_facts(pages: DataFrame) -> DataFrame:
+    """Everything that extraction needs of product pages ``(page_id, website, url, html)``, in one parse.
 
-    A ladder over a handful of minima and maxima for each page: first primary
-    root, else buy boxes, else single and loose prices, else JSON-LD, else rescue
-    regions; then corrections upward where the result looks like a fragment.
+    Texts of the fields by the retailer's selectors, JSON-LD bodies, and for
+    Amazon all prices with their region and surroundings. Regions: primary roots
+    ``p0...``, buy boxes ``b0...``, rescue regions ``r0...``, the page ``all``,
+    single selectors ``s0...``, struck prices ``strike``.
     """
-    good = facts.where(~F.col("in_addon") & ~F.col("teaser") & F.col("price").isNotNull())
-    usable = ~F.col("financing")
-    region = F.col("region")
-    primary = F.min(F.when(usable & F.startswith(region, F.lit("p")), F.struct("region", "price")))
-    price = F.col("price")
-    in_boxes, in_rescue = F.startswith(region, F.lit("b")), F.startswith(region, F.lit("r")) | F.startswith(region, F.lit("p"))
-    a = good.groupBy("page_id").agg(
-        primary.alias("primary"),
-        F.max(F.when(usable & in_boxes, price)).alias("boxes"),
-        F.min_by(F.when(usable, price), F.when(usable & F.startswith(region, F.lit("s")) & (region != "strike"), F.col("pos"))).alias("single"),
-        F.min_by(price, F.when(usable & (region == "all"), F.col("pos"))).alias("loose"),
-        F.max(F.when(usable & in_rescue, price)).alias("rescue"),
-        F.max(F.when(usable & (region == "all"), price)).alias("whole"),
-        F.max(F.when((region == "strike") & (price >= 50), price)).alias("strike"),
-    )
-    rooted = facts.groupBy("page_id").agg(F.max(F.startswith(region, F.lit("b"))).alias("has_box"))
-    p = products.join(a, "page_id", "left").join(rooted, "page_id", "left")
-    title, json_price = F.coalesce("title", F.lit("")), F.when(F.col("json_price") > 0, F.col("json_price"))
-    laptop, tv = title.rlike(filters.LAPTOP), title.rlike(filters.LARGE_TV)
-    # a page without any buy-box root counts as one itself
-    dom_price = F.coalesce(F.col("primary.price"), F.when(F.coalesce("has_box", F.lit(False)), F.col("boxes")).otherwise(F.col("whole")), "single", "loose")
-    fragment = (laptop & (json_price < 150)) | (tv & (json_price < 300))
-    x = F.coalesce(dom_price, F.when(~F.coalesce(fragment, F.lit(False)), json_price), F.col("rescue"))
-    x = F.when(json_price > x * F.lit(1.35).cast("decimal(3,2)"), json_price).otherwise(x)
-    more = lambda y, factor: y > x * F.lit(factor).cast("decimal(3,2)")
-    low = filters.implausibly_low(title, x)
-    y = F.when(~F.coalesce(low, F.lit(False)), x).when(more(F.col("rescue"), 1.35), F.col("rescue")).when(more(json_price, 1.35), json_price).when(more(F.col("whole"), 1.15), F.col("whole")).otherwise(x)
-    p = p.withColumn("__y", y.cast(parse.PRICE))
-    z = F.when((F.col("__y") < 30) & (F.col("rescue") > F.col("__y")), F.col("rescue")).otherwise(F.col("__y"))
-    p = p.withColumn("__z", z)
-    json_reference = F.when(~F.coalesce((laptop & (json_price < 150)) | (tv & title.rlike(filters.INCHES) & (json_price < 300)), F.lit(False)), json_price)
-    reference = F.greatest(json_reference, F.col("strike"))
-    final = F.when(F.col("__z") < reference * F.lit(0.55).cast("decimal(3,2)"), reference).otherwise(F.col("__z"))
-    return p.select(*products.columns, final.cast(parse.PRICE).alias("price"))
-
-
-def field_facts(pages: DataFrame) -> DataFrame:
-    """Texts of title, price, rating and reviews of product pages by their retailer's selectors."""
 
     def per_page(html: str, page_id, website: str):
-        if website not in FIELDS:
-            return
         top, out = dom.parse(html), []
-        for name, selector in zip(("title", "price", "rating", "reviews"), FIELDS[website], strict=True):
+        for name, selector in zip(("title", "price", "rating", "reviews"), FIELDS.get(website, ("",) * 4), strict=True):
             node = dom.first(top, selector) if selector else None
             given = node.attrs.get("content") if node and name in CONTENT.get(website, ()) else None
             out.append(None if node is None else given or (node.text() if name == "title" else node.raw()))
-        yield tuple(out)
+        scripts = [n.raw() for n in top.walk() if n.tag == "script" and n.attrs.get("type") == "application/ld+json"]
+        yield *out, scripts, _price_rows(top) if website == "Amazon.com" else []
 
-    return _rows(pages, ["page_id", "website"], "dom_title string, dom_price string, dom_rating string, dom_reviews string", per_page)
+    ddl = "dom_title string, dom_price string, dom_rating string, dom_reviews string, json_ld array<string>, prices array<struct<region:string,pos:int,raw:string,identity:string,near_monthly:boolean>>"
+    return _rows(pages, ["page_id", "website"], ddl, per_page)
+
+
+def judged_prices(prices: str = "prices") -> Column:
+    """Price facts with the price and whether it is an add-on, a financing teaser, or next to a monthly rate."""
+
+    def judged(x: Column) -> Column:
+        price = parse.price(x["raw"])
+        small = F.coalesce(price < 150, F.lit(False))
+        return F.struct(
+            x["region"].alias("region"), x["pos"].alias("pos"), x["raw"].alias("raw"), price.alias("price"), filters.add_on(x["identity"]).alias("in_addon"),
+            filters.financing(x["raw"]).alias("teaser"), (x["near_monthly"] & small).alias("financing"),
+        )
+
+    return F.transform(prices, judged)
+
+
+def resolve_amazon_price(products: DataFrame, prices: str = "prices") -> DataFrame:
+    """Rows with ``title, json_price`` and judged price facts, with ``price`` in place of the facts.
+
+    A ladder over a few minima and maxima of each page: first primary root, else
+    buy boxes, else single and loose prices, else JSON-LD, else rescue regions;
+    then corrections upward where the result looks like a fragment.
+    """
+    good = lambda x: ~x["in_addon"] & ~x["teaser"] & x["price"].isNotNull()
+    rows = products.withColumn("__good", F.filter(prices, good)).withColumn("__usable", F.filter("__good", lambda x: ~x["financing"]))
+    within = lambda *first: F.filter("__usable", lambda x: F.substring(x["region"], 1, 1).isin(*first) & (x["region"] != "strike"))
+    whole = F.filter("__usable", lambda x: x["region"] == "all")
+    most = lambda xs: F.array_max(F.transform(xs, lambda x: x["price"]))
+    struck = F.filter("__good", lambda x: (x["region"] == "strike") & (x["price"] >= 50))
+    rows = (
+        rows.withColumn("__primary", F.array_min(F.transform(within("p"), lambda x: F.struct(x["region"], x["price"])))["price"])
+        .withColumn("__has_box", F.exists(prices, lambda x: F.startswith(x["region"], F.lit("b"))))
+        .withColumn("__whole", most(whole))
+        .withColumn("__boxes", F.when(F.col("__has_box"), most(within("b"))).otherwise(F.col("__whole")))
+        .withColumn("__single", F.get(within("s"), F.lit(0))["price"])
+        .withColumn("__loose", F.get(whole, F.lit(0))["price"])
+        .withColumn("__rescue", most(within("p", "r")))
+        .withColumn("__strike", most(struck))
+        .withColumn("__json", F.when(F.col("json_price") > 0, F.col("json_price")))
+    )
+    title = F.coalesce("title", F.lit(""))
+    laptop, tv, json_price, rescue = title.rlike(filters.LAPTOP), title.rlike(filters.LARGE_TV), F.col("__json"), F.col("__rescue")
+    fragment = F.coalesce((laptop & (json_price < 150)) | (tv & (json_price < 300)), F.lit(False))
+    times = lambda c, factor: F.col(c) * F.lit(factor).cast("decimal(3,2)")
+    rows = rows.withColumn("__x", F.coalesce("__primary", "__boxes", "__single", "__loose", F.when(~fragment, json_price), rescue))
+    rows = rows.withColumn("__x", F.when(json_price > times("__x", 1.35), json_price).otherwise(F.col("__x")))
+    low = F.coalesce(filters.implausibly_low(title, "__x"), F.lit(False))
+    higher = F.when(rescue > times("__x", 1.35), rescue).when(json_price > times("__x", 1.35), json_price).when(F.col("__whole") > times("__x", 1.15), F.col("__whole"))
+    rows = rows.withColumn("__y", F.when(low, F.coalesce(higher, F.col("__x"))).otherwise(F.col("__x")))
+    rows = rows.withColumn("__z", F.when((F.col("__y") < 30) & (rescue > F.col("__y")), rescue).otherwise(F.col("__y")))
+    part = F.coalesce((laptop & (json_price < 150)) | (tv & title.rlike(filters.INCHES) & (json_price < 300)), F.lit(False))
+    rows = rows.withColumn("__reference", F.greatest(F.when(~part, json_price), F.col("__strike")))
+    price = F.when(F.col("__z") < times("__reference", 0.55), F.col("__reference")).otherwise(F.col("__z"))
+    rows = rows.withColumn("price", price.cast(parse.PRICE))
+    return rows.drop(prices, *(c for c in rows.columns if c.startswith("__")))
 
 
 def json_ld_products(scripts: DataFrame, keys: list[str]) -> DataFrame:
@@ -343,35 +353,57 @@ def json_ld_products(scripts: DataFrame, keys: list[str]) -> DataFrame:
     return found.where(F.try_variant_get("product", "$['@type']", "string") == "Product").select(*keys, "pos", (F.col("a") * 1000 + F.col("b")).alias("item"), "product")
 
 
+def _ld_struct(product: Column) -> Column:
+    """Title, price, rating and reviews of a JSON-LD product; the price is a positive one of the first offer that has one."""
+    offers = F.coalesce(F.try_variant_get(product, "$.offers", "array<variant>"), F.array(F.try_variant_get(product, "$.offers", "variant")))
+    price_of = lambda o: parse.price(F.coalesce(F.nullif(F.nullif(_text(o, "$.price"), F.lit("")), F.lit("0")), _text(o, "$.lowPrice")))
+    prices = F.filter(F.transform(offers, price_of), lambda p: p.isNotNull())
+    count = F.coalesce(F.nullif(_text(product, "$.aggregateRating.reviewCount"), F.lit("0")), _text(product, "$.aggregateRating.ratingCount"))
+    plain = F.replace(count, F.lit(","), F.lit("")).try_cast("bigint")
+    return F.struct(
+        F.coalesce(_text(product, "$.name"), F.lit("")).alias("title"), F.get(prices, F.lit(0)).alias("price"),
+        parse.rating(_text(product, "$.aggregateRating.ratingValue")).alias("average_rating"), F.coalesce(plain, parse.review_count(count)).alias("review_count"),
+    )
+
+
+def json_ld_fields(products: DataFrame) -> DataFrame:
+    """JSON-LD products as rows of title, price, rating and reviews."""
+    kept = [c for c in products.columns if c != "product"]
+    return products.select(*kept, _ld_struct(F.col("product")).alias("__f")).select(*kept, "__f.*")
+
+
 def _text(v: Column | str, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def json_ld_fields(products: DataFrame) -> DataFrame:
-    """Title, price, rating and reviews of JSON-LD products; a positive price of the first offer that has one."""
-    offers = F.coalesce(F.try_variant_get("product", "$.offers", "array<variant>"), F.array(F.try_variant_get("product", "$.offers", "variant")))
-    price_of = lambda o: parse.price(F.coalesce(F.nullif(F.nullif(_text(o, "$.price"), F.lit("")), F.lit("0")), _text(o, "$.lowPrice")))
-    prices = F.filter(F.transform(offers, price_of), lambda p: p.isNotNull())
-    count = F.coalesce(F.nullif(_text("product", "$.aggregateRating.reviewCount"), F.lit("0")), _text("product", "$.aggregateRating.ratingCount"))
-    plain = F.replace(count, F.lit(","), F.lit("")).try_cast("bigint")
-    return products.select(
-        *(c for c in products.columns if c != "product"),
-        F.coalesce(_text("product", "$.name"), F.lit("")).alias("title"),
-        F.get(prices, F.lit(0)).alias("price"),
-        parse.rating(_text("product", "$.aggregateRating.ratingValue")).alias("average_rating"),
-        F.coalesce(plain, parse.review_count(count)).alias("review_count"),
-    )
+def first_ld_product(bodies: str = "json_ld") -> Column:
+    """The first JSON-LD product with a title and a price, over a page's bodies in order."""
+    empty = F.array().cast("array<variant>")
+
+    def items(body: Column) -> Column:
+        v = F.try_parse_json(body)
+        return F.filter(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)), lambda x: x.isNotNull())
+
+    def nodes(item: Column) -> Column:
+        return F.when(_text(item, "$['@type']") == "Product", F.array(item)).otherwise(F.coalesce(F.try_variant_get(item, "$['@graph']", "array<variant>"), empty))
+
+    found = F.flatten(F.transform(F.flatten(F.transform(bodies, items)), nodes))
+    products = F.transform(F.filter(found, lambda p: _text(p, "$['@type']") == "Product"), _ld_struct)
+    return F.get(F.filter(products, lambda p: (p["title"] != "") & p["price"].isNotNull()), F.lit(0))
 
 
 def product_fields(pages: DataFrame) -> DataFrame:
-    """Product pages ``(page_id, website, url, html)`` to ``title, price, average_rating, review_count`` and ``reject_reason``."""
-    scripts = page_facts(pages, ["page_id"]).select("page_id", F.posexplode("json_ld").alias("pos", "body"))
-    ld = json_ld_fields(json_ld_products(scripts, ["page_id"])).where((F.col("title") != "") & F.col("price").isNotNull())
-    ld = ld.groupBy("page_id").agg(F.min_by(F.struct("title", "price", "average_rating", "review_count"), F.struct("pos", "item")).alias("ld"))
-    f = field_facts(pages).join(ld, "page_id", "left")
-    title = F.coalesce(F.nullif("dom_title", F.lit("")), F.col("ld.title"))
-    f = f.select("page_id", "website", title.alias("title"), F.col("ld.price").alias("json_price"), parse.price("dom_price").alias("dom_price"), F.coalesce(F.when(F.col("ld.average_rating") > 0, F.col("ld.average_rating")), parse.rating("dom_rating")).alias("average_rating"), F.coalesce(F.when(F.col("ld.review_count") > 0, F.col("ld.review_count")), parse.review_count("dom_reviews")).alias("review_count"))
-    amazon = resolve_amazon_price(price_facts(pages.where("website = 'Amazon.com'")), f.where("website = 'Amazon.com'"))
-    others = f.where("website <> 'Amazon.com'").withColumn("price", F.coalesce("json_price", "dom_price"))
-    out = amazon.unionByName(others).select("page_id", "website", "title", "price", "average_rating", "review_count")
+    """Product pages ``(page_id, website, url, html)`` to ``title, price, average_rating, review_count`` and ``reject_reason``.
+
+    One parse of a page, and no shuffle: what a page says is combined in its row.
+    """
+    f = product_facts(pages).withColumn("ld", first_ld_product()).withColumn("prices", judged_prices())
+    rating, reviews = F.when(F.col("ld.average_rating") > 0, F.col("ld.average_rating")), F.when(F.col("ld.review_count") > 0, F.col("ld.review_count"))
+    f = f.select(
+        "page_id", "website", "prices", F.coalesce(F.nullif("dom_title", F.lit("")), F.col("ld.title")).alias("title"), F.col("ld.price").alias("json_price"), parse.price("dom_price").alias("dom_price"),
+        F.coalesce(rating, parse.rating("dom_rating")).alias("average_rating"), F.coalesce(reviews, parse.review_count("dom_reviews")).alias("review_count"),
+    )
+    f = resolve_amazon_price(f)
+    price = F.when(F.col("website") == "Amazon.com", F.col("price")).otherwise(F.coalesce("json_price", "dom_price"))
+    out = f.select("page_id", "website", "title", price.alias("price"), "average_rating", "review_count")
     return out.withColumn("reject_reason", parse.reject_reason("title", "price", "average_rating", "review_count"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import cascade, filters, html, judge, matching
+from ..session import checkpointed
 from ..sources import tables
 
 
@@ -22,15 +23,16 @@ def compare(queries: DataFrame, plans: DataFrame, captures: DataFrame, reference
     sites = tables.retailers(spark)
     planned = cascade.planned(tables.asked(queries), sites, plans)
     served = tables.usable_captures(captures)
-    listings = html.serp(served.where("kind = 'serp'")).drop("website").join(served.select("page_id", "query_id", "website", "stage"), "page_id")
+    # pages are parsed once: what they give is written before it is joined, scored and judged
+    listings = checkpointed(html.serp(served.where("kind = 'serp'"))).drop("website").join(served.select("page_id", "query_id", "website", "stage"), "page_id")
     listings = cascade.first_stage(listings, matching.GROUP).join(planned.select("query_id", "website", F.col("match_query").alias("query")), matching.GROUP)
     listings = filters.drop_accessories(filters.with_forms(listings, "query", "title"), matching.GROUP)
     ranked = matching.ranked(matching.candidates(listings))
     judged = judge.titles(ranked.withColumn("expected", F.col("query")).withColumn("scraped", F.col("title")), title_verdicts)
     ok = F.col("match") & ~filters.skip_candidate("query", F.col("query_form"), "title", F.col("title_form"), "url") & matching.accept_tier().isNotNull()
-    matched = matching.first_valid(judged, ok, F.lit(True)).select("query_id", "website", F.col("url").alias("matched_url"), F.col("title").alias("serp_title"), "score")
+    matched = checkpointed(matching.first_valid(judged, ok, F.lit(True)).select("query_id", "website", F.col("url").alias("matched_url"), "score"))
     products = served.where("kind = 'pdp'")
-    fields = html.product_fields(products).drop("website").join(products.select("page_id", "query_id", "website", "stage", "method", "url"), "page_id")
+    fields = checkpointed(html.product_fields(products)).drop("website").join(products.select("page_id", "query_id", "website", "stage", "method", "url"), "page_id")
     hits = fields.join(matched, (fields.query_id == matched.query_id) & (fields.website == matched.website) & (fields.url == matched.matched_url)).drop(matched.query_id, matched.website)
     found = cascade.first_success(hits, matching.GROUP, keep=["stage", "method", "url", "score", *cascade.FIELDS])
     asked = planned.select("query_id", "website", F.col("match_query").alias("query"))

@@ -229,7 +229,8 @@ def ex06(spark, d):
 
 @query("EX-08_price_facts")
 def ex08(spark, d):
-    return html.price_facts(pdp_pages(spark).where("website = 'Amazon.com'").select("page_id", "html"))
+    f = html.product_facts(pdp_pages(spark).where("website = 'Amazon.com'"))
+    return f.select("page_id", F.explode(html.judged_prices()).alias("x")).select("page_id", "x.*")
 
 
 @query("EX-07_product_fields", _expect([(11, "Sony WH-1000XM5 Headphones", 348.0), (12, "Sony WH-1000XM5 Wireless Headphones", 399.99), (13, "Sony WH-1000XM5 Headphones Black", 329.5), (14, "Sony WH-1000XM5 Headphones", None), (15, "Apple MacBook Pro 14 inch M5", 1599.0), (16, "Apple MacBook Air M4", 1496.0)], "page_id, title, price"))
@@ -237,6 +238,32 @@ def ex07(spark, d):
     return html.product_fields(pdp_pages(spark)).select("page_id", "title", F.col("price").cast("double").alias("price"))
 
 
+def _pdp_of(website: str):
+    def run(spark, d):
+        return html.product_fields(pdp_pages(spark).where(F.col("website") == website)).select("page_id", "title", F.col("price").cast("double").alias("price"), "average_rating", "review_count")
+
+    return run
+
+
+query("EX-09_bestbuy_product", _expect([(12, "Sony WH-1000XM5 Wireless Headphones", 399.99, 4.7, 12345)], "page_id, title, price, average_rating, review_count"))(_pdp_of("BestBuy.com"))
+query("EX-10_walmart_product", _expect([(13, "Sony WH-1000XM5 Headphones Black", 329.5, 4.4, None)], "page_id, title, price, average_rating, review_count"))(_pdp_of("Walmart.com"))
+query("EX-11_newegg_product", _expect([(14, "Sony WH-1000XM5 Headphones", None, None, None)], "page_id, title, price, average_rating, review_count"))(_pdp_of("Newegg.com"))
+
+
+@query("EX-12_model_fields", _expect([(1, "Sony", 348.0, None), (2, "Sony", None, "missing price"), (3, "Access Denied", 5.0, "generic page title")], "page_id, title, price, reject_reason"))
+def ex12(spark, d):
+    f = tables.hosted_fields(spark.createDataFrame(FIELD_BODIES, "page_id int, body string"))
+    return f.select("page_id", "title", F.col("price").cast("double").alias("price"), "reject_reason")
+
+
+@query("UR-04_absolute_links", r"""
+    WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="(/[^"/][^"]*)"', 1)) AS h FROM pages)
+    SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || replace(h, '&amp;', '&') AS link, count(*) AS n FROM l GROUP BY 1, 2""")
+def ur04(spark, d):
+    f = html.links(table(spark, d, "pages"), ["page_id", "url"]).where(F.col("href").rlike("^/[^/]"))
+    return f.groupBy("page_id", F.col("absolute").alias("link")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("EX-13_model_serp")
 def ex13(spark, d):
     return tables.model_serp(spark.createDataFrame(BODIES, "page_id int, domain string, body string"))
