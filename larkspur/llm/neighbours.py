@@ -46,6 +46,8 @@ MOST_CELLS = 1024
 #: Queries that meet a block in one task.
 QUERY_ROWS = 4096
 SEED = 7
+#: Error of a product in single precision, at most, as a share of dimensions times norms.
+ROUGH_ERROR = 2.0**-22
 
 
 def _matrix(dimensions: int) -> np.ndarray:
@@ -120,23 +122,33 @@ class Block:
         leaves = _split(projected, LEAF_ROWS)
         order = np.concatenate(leaves)
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
+        self.rough = self.vectors.astype(np.float32)
         self.ends = np.cumsum([len(x) for x in leaves])
         self.low = np.array([projected[x].min(0) for x in leaves])
         self.high = np.array([projected[x].max(0) for x in leaves])
         self.largest = largest
 
     def search(self, own: int, query: np.ndarray, projected: np.ndarray, k: int, ratio: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the best found; ``bound``: a distance, squared, that is no better than the k-th."""
+        """Ids and inner products of the best found; ``bound``: a distance, squared, that is no better than the k-th.
+
+        Products in single precision, with a margin above their error, tell
+        which vectors can be among the best; only those are verified in double.
+        """
         gap = np.maximum(np.maximum(self.low - projected, projected - self.high), 0)
         near = (gap * gap).sum(1)
         order = np.argsort(near, kind="stable")
-        base = float(query @ query) + self.largest**2
-        ids, scores, done, step = np.empty(0, np.int64), np.empty(0), 0, 4
+        norm = math.sqrt(float(query @ query))
+        base, rough, margin = norm**2 + self.largest**2, query.astype(np.float32), ROUGH_ERROR * len(query) * norm * self.largest
+        ids, scores, done, step, least = np.empty(0, np.int64), np.empty(0), 0, 4, -np.inf
         while done < len(order) and near[order[done]] <= ratio * bound:
             leaves = order[done : done + step]
             leaves = leaves[near[leaves] <= ratio * bound]
             done, step = done + step, step * 2
             at = np.concatenate([np.arange(self.ends[x - 1] if x else 0, self.ends[x]) for x in leaves])
+            about = self.rough[at] @ rough
+            if len(at) > k + 1:
+                least = max(least, float(np.partition(about, -k - 1)[-k - 1]) - margin)
+            at = at[about >= least - margin]
             found = (self.vectors[at] * query).sum(1)
             other = self.ids[at] != own
             ids, scores = np.concatenate([ids, self.ids[at][other]]), np.concatenate([scores, found[other]])
@@ -144,6 +156,7 @@ class Block:
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
             if len(ids) == k:
+                least = max(least, float(scores.min()))
                 bound = min(bound, base - 2 * float(scores.min()))
         return ids, scores
 
