@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chisquare import cdf, quantile
-from .common import bounded_batches, cut, is_small, sized
+from .common import bounded_batches, cut, fresh, is_small, sized
 
 #: Transformed statistics of a text, as SQL over its counts.
 STATISTICS = {
@@ -211,9 +211,10 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     groups, estimates, small = _fitted(cut(_counted(rows, ["lang", "source"], "text")))
-    limits = groups.join(estimates, "group").select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct("centre", "inverse").alias("__limit"))
-    same = docs[lang_col].eqNullSafe(F.col("__lang")) & docs[source_col].eqNullSafe(F.col("__source"))
-    joined = docs.join(sized(limits, small), same, "left").drop("__lang", "__source")
+    lang, source, limit = (fresh(docs, name) for name in ("__lang", "__source", "__limit"))
+    limits = groups.join(estimates, "group").select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct("centre", "inverse").alias(limit))
+    same = docs[lang_col].eqNullSafe(F.col(lang)) & docs[source_col].eqNullSafe(F.col(source))
+    joined = docs.join(sized(limits, small), same, "left").drop(lang, source)
     bounded_batches(docs.sparkSession)
     at, cutoff = docs.columns.index(text_col), quantile(1 - REJECT, _P)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, written
+from .common import bounded_batches, cut, fresh, written
 from .graph import components
 
 WORDS_PER_SHINGLE = 3
@@ -179,7 +179,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     different tasks.
     """
     bounded_batches(docs.sparkSession)
-    at, fp = docs.columns.index(text_col), "__fp"
+    at, fp, nth = docs.columns.index(text_col), fresh(docs, "__fp"), fresh(docs, "__once")
+    stays_fp, stays_id = fresh(docs, "__stays_fp"), fresh(docs, "__stays_id")
     marked = docs.withColumn(fp, F.lit(0).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     label = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     nodes = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = F.min_by(F.struct("fp", "id"), F.struct(F.col("id").isNull(), "id", "fp"))
-    stays = nodes.groupBy("label").agg(first.alias("s")).select(F.col("s.fp").alias("__stays_fp"), F.col("s.id").alias("__stays_id"))
-    kept = own.join(stays, (F.col(fp) == F.col("__stays_fp")) & F.col(id_col).eqNullSafe(F.col("__stays_id")), "left_semi")
+    stays = nodes.groupBy("label").agg(first.alias("s")).select(F.col("s.fp").alias(stays_fp), F.col("s.id").alias(stays_id))
+    kept = own.join(stays, (F.col(fp) == F.col(stays_fp)) & F.col(id_col).eqNullSafe(F.col(stays_id)), "left_semi")
     once = F.row_number().over(Window.partitionBy(fp, id_col).orderBy(F.xxhash64(text_col)))
-    return kept.withColumn("__once", once).where("__once = 1").select(*docs.columns)
+    return kept.withColumn(nth, once).where(F.col(nth) == 1).select(*docs.columns)
