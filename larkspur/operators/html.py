@@ -164,25 +164,30 @@ def serp_facts(pages: DataFrame) -> DataFrame:
     return _rows(pages, ["page_id", "website", "url"], "path int, pos int, title string, href string, link string, sponsored boolean, strict boolean", per_page)
 
 
-def serp(pages: DataFrame) -> DataFrame:
-    """Search pages to ``page_id, website, rank, title, url``.
-
-    Rows are admitted by the rules of their retailer; a later path of extraction
-    counts where earlier ones gave nothing, and links salvaged from the raw text
-    where no path did. Blocked pages give no rows.
-    """
-    open_pages = pages.where(~filters.bot_page("html", "website"))
+def admission(facts: DataFrame) -> DataFrame:
+    """Listing rows of ``serp_facts`` with ``admitted`` (by the rules of their retailer) and ``bare``, their address without noise."""
     domains = F.create_map(*(F.lit(x) for r in fixed.RETAILERS for x in (r[1], r[2])))
-    f = serp_facts(open_pages).withColumn("domain", domains[F.col("website")])
+    f = facts.withColumn("domain", domains[F.col("website")])
     amazon, newegg = F.col("website") == "Amazon.com", F.col("website") == "Newegg.com"
     least = F.coalesce(*(F.when((F.col("website") == w) & (F.col("path") == p), n) for (w, p), n in LEAST_TITLE.items()), F.lit(1))
     least = F.when(newegg & (F.col("path") == 0) & F.col("strict"), 8).otherwise(least)
-    bare = F.when(newegg & F.contains("href", F.lit("Item=")), F.when(F.col("path") == 0, F.when(F.col("strict"), urls.without_fragment("link")).otherwise(F.col("link"))).otherwise(F.col("link")))
+    bare = F.when(newegg & F.contains("href", F.lit("Item=")), F.when((F.col("path") == 0) & F.col("strict"), urls.without_fragment("link")).otherwise(F.col("link")))
     bare = F.coalesce(bare, F.when(F.col("website") == "BestBuy.com", urls.canonical("link")), urls.without_query(urls.without_fragment("link")))
     good = ~F.col("sponsored") & (F.col("href") != "") & (F.length("title") >= least) & urls.is_product("link", "domain")
     good = good & ~(amazon & (text.is_junk_title("title") | filters.ram_kit(urls.path("link"), "title")))
     good = good & ~(newegg & F.col("strict") & urls.accessory_slug("link"))
-    rows = f.where(F.coalesce(good, F.lit(False))).select("page_id", "website", "path", "pos", "title", bare.alias("url"))
+    return f.withColumn("admitted", F.coalesce(good, F.lit(False))).withColumn("bare", bare)
+
+
+def serp(pages: DataFrame) -> DataFrame:
+    """Search pages to ``page_id, website, rank, title, url``.
+
+    Rows are admitted by the rules of their retailer; a later path of extraction
+    counts where earlier ones gave nothing, and links salvaged from the raw text
+    where no path did. Blocked pages give no rows.
+    """
+    open_pages = pages.where(~filters.bot_page("html", "website"))
+    rows = admission(serp_facts(open_pages)).where("admitted").select("page_id", "website", "path", "pos", "title", F.col("bare").alias("url"))
     salvaged = salvage(open_pages).select("page_id", "website", F.lit(9).alias("path"), "pos", "title", "url")
     rows = rows.unionByName(salvaged)
     rows = rows.withColumn("__path", F.min("path").over(Window.partitionBy("page_id"))).where("path = __path")

@@ -6,14 +6,20 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where the session has none, a temporary one."""
+    if where := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return where.rstrip("/")
+    own = tempfile.mkdtemp(prefix="larkspur-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder of ``spark.checkpoint.dir``; where the session has none, a temporary one."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        own = tempfile.mkdtemp(prefix="larkspur-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
+    """``df`` written once to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

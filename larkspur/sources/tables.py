@@ -95,18 +95,22 @@ def model_serp(bodies: DataFrame) -> DataFrame:
 
 
 def recorded_run(spark: SparkSession, path: str) -> DataFrame:
-    """A recorded response (one JSON document) as its rows."""
+    """A recorded response (one JSON document: ``query`` and ``result`` with ``rows``) as its rows, in order."""
     run = spark.read.json(path, multiLine=True)
-    return run.select("query", F.explode("rows").alias("row")).select("query", "row.*")
+    return run.select("query", F.posexplode("result.rows").alias("pos", "row")).select("query", "pos", "row.*")
 
 
-def answered_prices(answers: DataFrame) -> DataFrame:
-    """Model answers ``(query_id, body)`` to a reference price for each retailer (null where there is none)."""
-    v = F.try_parse_json("body")
+def price_blob(body: str) -> Column:
+    """The map of prices in a model answer: the whole of it if it names all retailers, else what is wrapped in it, else the whole."""
+    v = F.try_parse_json(body)
     whole = F.forall(F.array(*(F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for _, _, k in SITE_ALIASES)), lambda x: x)
     wrapped = [F.try_variant_get(v, f"$.{w}", "map<string,variant>") for w in ("prices", "retailers", "results", "data")]
-    blob = F.coalesce(F.when(whole, F.try_variant_get(v, "$", "map<string,variant>")), *wrapped, F.try_variant_get(v, "$", "map<string,variant>"))
-    entries = answers.select("query_id", F.explode(blob).alias("k", "v")).select("query_id", text.key("k").alias("alias"), parse.coerced_price(F.try_variant_get("v", "$", "string")).alias("ref_price"))
+    return F.coalesce(F.when(whole, F.try_variant_get(v, "$", "map<string,variant>")), *wrapped, F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def answered_prices(answers: DataFrame) -> DataFrame:
+    """Model answers ``(query_id, body)`` to a reference price for each retailer (null where there is none)."""
+    entries = answers.select("query_id", F.explode(price_blob("body")).alias("k", "v")).select("query_id", text.key("k").alias("alias"), parse.coerced_price(F.try_variant_get("v", "$", "string")).alias("ref_price"))
     site = F.create_map(*(F.lit(x) for s, _, a in SITE_ALIASES for x in (a, s)))
     named = entries.withColumn("website", F.try_element_at(site, F.col("alias"))).where(F.col("website").isNotNull())
     found = named.groupBy("query_id", "website").agg(F.max("ref_price").alias("ref_price"))
