@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, parse
 from ..operators import cascade, filters, html, judge, matching
 from ..session import checkpointed
 from ..sources import tables
@@ -21,18 +21,19 @@ def compare(queries: DataFrame, plans: DataFrame, captures: DataFrame, reference
     """
     spark = queries.sparkSession
     sites = tables.retailers(spark)
-    planned = cascade.planned(tables.asked(queries), sites, plans)
+    planned = checkpointed(cascade.planned(tables.asked(queries), sites, plans))
     served = tables.usable_captures(captures)
+    # what a page is about is joined from its narrow columns, so that its text is read for parsing alone
+    about = captures.select("page_id", "query_id", "website", "stage", "method", "url")
     # pages are parsed once: what they give is written before it is joined, scored and judged
-    listings = checkpointed(html.serp(served.where("kind = 'serp'"))).drop("website").join(served.select("page_id", "query_id", "website", "stage"), "page_id")
+    listings = checkpointed(html.serp(served.where("kind = 'serp'"))).drop("website").join(about.select("page_id", "query_id", "website", "stage"), "page_id")
     listings = cascade.first_stage(listings, matching.GROUP).join(planned.select("query_id", "website", F.col("match_query").alias("query")), matching.GROUP)
     listings = filters.drop_accessories(filters.with_forms(listings, "query", "title"), matching.GROUP)
     ranked = matching.ranked(matching.candidates(listings))
     judged = judge.titles(ranked.withColumn("expected", F.col("query")).withColumn("scraped", F.col("title")), title_verdicts)
     ok = F.col("match") & ~filters.skip_candidate("query", F.col("query_form"), "title", F.col("title_form"), "url") & matching.accept_tier().isNotNull()
     matched = checkpointed(matching.first_valid(judged, ok, F.lit(True)).select("query_id", "website", F.col("url").alias("matched_url"), "score"))
-    products = served.where("kind = 'pdp'")
-    fields = checkpointed(html.product_fields(products)).drop("website").join(products.select("page_id", "query_id", "website", "stage", "method", "url"), "page_id")
+    fields = checkpointed(html.product_fields(served.where("kind = 'pdp'"))).drop("website").join(about, "page_id")
     hits = fields.join(matched, (fields.query_id == matched.query_id) & (fields.website == matched.website) & (fields.url == matched.matched_url)).drop(matched.query_id, matched.website)
     found = cascade.first_success(hits, matching.GROUP, keep=["stage", "method", "url", "score", *cascade.FIELDS])
     asked = planned.select("query_id", "website", F.col("match_query").alias("query"))
@@ -40,8 +41,9 @@ def compare(queries: DataFrame, plans: DataFrame, captures: DataFrame, reference
     found = found.where("status = 'Success'").drop("status", "query", "query_form", "title_form")
     found = judge.prices(found, price_verdicts).where("plausible")
     rows = cascade.always(planned, found.withColumn("status", cascade.status("title", "price")))
-    outliers = cascade.gap_outliers(rows, references, fixed.PRICE_GAP).select("query_id", "website", F.lit(True).alias("__out"))
-    rows = rows.join(outliers, matching.GROUP, "left").withColumn("price_outlier", F.coalesce("__out", F.lit(False))).drop("__out")
+    expected = references.where(F.col("ref_price") > 0).select("query_id", "website", "ref_price")
+    far = (F.col("price") > 0) & (parse.gap("price", "ref_price") > fixed.PRICE_GAP)
+    rows = rows.join(expected, matching.GROUP, "left").withColumn("price_outlier", F.coalesce(far, F.lit(False)))
     return rows.withColumn("trust_label", judge.trust("average_rating", "review_count")).select(
         "query_id", "site_order", "website", "title", "price", "average_rating", "review_count", "status", "method", "url", "price_outlier", "trust_label"
     ).orderBy("query_id", "site_order")
