@@ -15,16 +15,18 @@ hundred small rows for each group, whatever share of the table that group has.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .chisquare import cdf, quantile
-from .common import bounded_batches, cut, fresh, is_small, sized
+from .common import bounded_batches, cut, fresh, is_small, sized, written
 
 #: Transformed statistics of a text, as SQL over its counts.
 STATISTICS = {
@@ -101,10 +103,10 @@ def _groups(passed: DataFrame) -> DataFrame:
     return named.select("lang", "source", name.alias("group"))
 
 
-def _distance() -> Column:
+def _distance(statistic: Callable[[int], Column] = lambda i: F.col(f"s{i}"), of: Callable[[str], Column] = F.col) -> Column:
     """Squared Mahalanobis distance of a row from the estimate that it is joined with."""
-    d = [F.col(f"s{i}") - F.col("centre")[i] for i in range(_P)]
-    return sum(F.col("inverse")[k] * d[i] * d[j] * (1 if i == j else 2) for k, (i, j) in enumerate(_PAIRS))
+    d = [statistic(i) - of("centre")[i] for i in range(_P)]
+    return sum(of("inverse")[k] * d[i] * d[j] * (1 if i == j else 2) for k, (i, j) in enumerate(_PAIRS))
 
 
 def _moments() -> list[Column]:
@@ -207,30 +209,27 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows and columns of ``docs`` that the rules keep.
 
-    Texts are read twice, for the estimates and to be passed on, but not shuffled.
+    Texts are counted once and written with their counts; the verdict is then a
+    filter over that table. They are not shuffled. Nulls, ties, repeated rows and
+    empty tables are treated as in ``judge``.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    groups, estimates, small = _fitted(cut(_counted(rows, ["lang", "source"], "text")))
+    counted = fresh(docs, "__counts")
     lang, source, limit = (fresh(docs, name) for name in ("__lang", "__source", "__limit"))
-    limits = groups.join(estimates, "group").select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct("centre", "inverse").alias(limit))
-    same = docs[lang_col].eqNullSafe(F.col(lang)) & docs[source_col].eqNullSafe(F.col(source))
-    joined = docs.join(sized(limits, small), same, "left").drop(lang, source)
     bounded_batches(docs.sparkSession)
-    at, cutoff = docs.columns.index(text_col), quantile(1 - REJECT, _P)
+    at, kind = docs.columns.index(text_col), pa.struct([(c, pa.int64()) for c in COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for text, limit in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                n, chars, symbols, lines, dups, repeats = counts(text or "")
-                if n < 50 or 100 * repeats > 50 * n:
-                    keep.append(False)
-                elif limit is None:
-                    keep.append(True)
-                else:
-                    d = np.array([np.log(1 + chars / n), np.sqrt(symbols / n), np.sqrt(dups / max(lines, 1)), np.sqrt(repeats / n)]) - limit["centre"]
-                    keep.append(bool(sum(w * d[i] * d[j] * (1 if i == j else 2) for w, (i, j) in zip(limit["inverse"], _PAIRS, strict=True)) <= cutoff))
-            kept = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(b.schema)[:-1]))
-
-    return joined.mapInArrow(run, docs.schema)
+            found = pa.array([dict(zip(COUNTS, counts(t or ""), strict=True)) for t in b.column(at).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*b.columns, found], schema=pa.schema([*b.schema, pa.field(counted, kind)]))
+
+    schema = StructType([*docs.schema.fields, StructField(counted, StructType([StructField(c, LongType()) for c in COUNTS]))])
+    marked = written(docs.mapInArrow(run, schema), "counted")
+    groups, estimates, small = _fitted(cut(marked.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), f"{counted}.*")))
+    limits = groups.join(estimates, "group").select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct("centre", "inverse").alias(limit))
+    same = marked[lang_col].eqNullSafe(F.col(lang)) & marked[source_col].eqNullSafe(F.col(source))
+    named = lambda sql: F.expr(re.sub("|".join(sorted(COUNTS, key=len, reverse=True)), lambda m: f"`{counted}`.{m[0]}", sql))
+    statistics = [named(sql).cast("double") for sql in STATISTICS.values()]
+    near = _distance(lambda i: statistics[i], lambda name: F.col(limit)[name]) <= quantile(1 - REJECT, _P)
+    judged = marked.where(~named(BASE_FAILED)).join(sized(limits, small), same, "left")
+    return judged.where(F.coalesce(near, F.lit(True))).select(*docs.columns)
