@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import overlap
 from .common import bounded_batches, cut, fresh, written
 from .graph import components
 
@@ -173,28 +174,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less all but one row of each near-duplicate group.
 
-    The row with the group's smallest id stays (one with a null id only where
-    the group has no other); of repeated rows of that id, one. The texts cross one
-    shuffle, by fingerprint and id, so that the copies of a hot group go to
-    different tasks.
+    Groups are those of ``overlap``: texts whose sets of five-word shingles have
+    a Jaccard similarity of 0.8 or more, and what they reach. Texts without words
+    are one group. The row with the group's smallest id stays (one with a null id
+    only where the group has no other); of repeated rows of that id, one. The texts
+    cross two shuffles by node and id, so that the copies of a hot group go to
+    different tasks, and those with candidates a third by cluster.
     """
     bounded_batches(docs.sparkSession)
-    at, fp, nth = docs.columns.index(text_col), fresh(docs, "__fp"), fresh(docs, "__once")
-    stays_fp, stays_id = fresh(docs, "__stays_fp"), fresh(docs, "__stays_id")
-    marked = docs.withColumn(fp, F.lit(0).cast("bigint"))
+    at, node, bands, nth = docs.columns.index(text_col), fresh(docs, "__node"), fresh(docs, "__bands"), fresh(docs, "__once")
+    stays_node, stays_id = fresh(docs, "__stays_node"), fresh(docs, "__stays_id")
+    marked = docs.withColumn(node, F.lit(0).cast("bigint")).withColumn(bands, F.array().cast("array<bigint>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            yield b.set_column(b.num_columns - 1, b.schema.field(b.num_columns - 1), pa.array([fingerprint((t or "").encode()) for t in texts], pa.int64()))
+            sets = [overlap.shingles((t or "").encode()) for t in b.column(at).to_pylist()]
+            keys = [overlap.bands(s) for s in sets]
+            offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            names = pa.array([overlap.node(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], names, lists], names=b.schema.names)
 
     own = written(marked.mapInArrow(run, marked.schema), "marked")
-    ids = own.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
-    nodes = ids.groupBy("fp").agg(F.min("id").alias("id"))
-    label = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    nodes = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = F.min_by(F.struct("fp", "id"), F.struct(F.col("id").isNull(), "id", "fp"))
-    stays = nodes.groupBy("label").agg(first.alias("s")).select(F.col("s.fp").alias(stays_fp), F.col("s.id").alias(stays_id))
-    kept = own.join(stays, (F.col(fp) == F.col(stays_fp)) & F.col(id_col).eqNullSafe(F.col(stays_id)), "left_semi")
-    once = F.row_number().over(Window.partitionBy(fp, id_col).orderBy(F.xxhash64(text_col)))
+    ids = own.select(F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(bands).alias("bands"), F.col(text_col).cast("binary").alias("text"))
+    nodes = ids.groupBy("node").agg(F.min("id").alias("id"))
+    nodes = nodes.join(components(overlap.links(ids)), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = F.min_by(F.struct("node", "id"), F.struct(F.col("id").isNull(), "id", "node"))
+    stays = nodes.groupBy("label").agg(first.alias("s")).select(F.col("s.node").alias(stays_node), F.col("s.id").alias(stays_id))
+    kept = own.join(stays, (F.col(node) == F.col(stays_node)) & F.col(id_col).eqNullSafe(F.col(stays_id)), "left_semi")
+    once = F.row_number().over(Window.partitionBy(node, id_col).orderBy(F.xxhash64(text_col)))
     return kept.withColumn(nth, once).where(F.col(nth) == 1).select(*docs.columns)
