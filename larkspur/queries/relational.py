@@ -176,6 +176,13 @@ def wn02(spark, d):
     return w.select("doc_id", (F.col("pos") + 1).alias("rank"), "word")
 
 
+# the query above takes the first 60 characters, as its SQL does; this one whole texts
+@query("WN-02_source_rank_whole", "SELECT doc_id, CAST(i AS INTEGER) AS rank, word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word)")
+def wn02_whole(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return w.select("doc_id", (F.col("pos") + 1).alias("rank"), "word")
+
+
 @query("WN-03_keep_first", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
 def wn03(spark, d):
     return matching.keep_first(table(spark, d, "lineitem"), ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_partkey", "l_orderkey", "l_linenumber")
