@@ -100,6 +100,12 @@ def sf10_ratio(spark, d):
     return p.select("pair_id", fuzzy.similarity("ratio", "a", "b").alias("ratio"))
 
 
+# the query above takes the example pairs, as its SQL does; this one all pairs
+@query("SF-10_ratio_all")
+def sf10_ratio_all(spark, d):
+    return formed_pairs(spark, d).select("pair_id", fuzzy.similarity("ratio", "query_form.normalized", "title_form.normalized").alias("ratio"))
+
+
 @query("SF-11_token_set")
 def sf11(spark, d):
     p = formed_pairs(spark, d)
