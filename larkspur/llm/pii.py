@@ -2,7 +2,9 @@
 
 Rules find e-mail addresses, IP addresses, card and phone numbers in the text
 as it is. A chain of transducers then rewrites disguises: look-alike letters
-and digits, invisible characters, spelled digits and *at*/*dot* words. Each
+and digits, invisible characters, spelled digits and *at*/*dot* words. An
+*at* or a spaced @ before a domain with plain dots counts where the local part has a letter
+and a dot, digit or underscore; *look at example.com* is no address. Each rewriting
 records what it replaced, so a span of the rewritten text maps back to the
 characters it came from. Rules run again on the rewritten text, and spans that
 overlap none of the same kind from the plain text are added.
@@ -130,6 +132,10 @@ _BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(at|@|dot|\.)\s*[\])}>]\s*")
 _SAID = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(\s+at\s+|\s*@\s*)(?=[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?\s+dot\s+[A-Za-z0-9-])")
 _DOT = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9-])")
 _TRIGGER = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\bdot\b")
+# an at or a spaced @ before a domain with plain dots, its ending in one case so that two sentences aren't one name
+_AT_NAME = re.compile(r"(?:@|(?<=\s)[Aa][Tt](?=\s))\s*+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*?\.(?:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9-]))")
+# what tells an address from a word before a website: a letter, and a dot, digit or underscore in it
+_ADDRESS_LIKE = re.compile(r"(?=.*[A-Za-z]).*[._0-9].*")
 _TO_SPACE = str.maketrans({c: " " for c in "-,.+()"})
 
 
@@ -156,11 +162,25 @@ def _spelled(run: re.Match) -> tuple[int, int, str] | None:
     return run.start(), run.end(), "".join(out)
 
 
+def _before_names(text: str) -> Iterator[tuple[int, int, str]]:
+    """An at or a spaced @ between what looks like an address and a plain domain."""
+    for m in _AT_NAME.finditer(text):
+        start = m.start()
+        while start and text[start - 1].isspace():
+            start -= 1
+        local = start
+        while local and text[local - 1] in _LOCAL:
+            local -= 1
+        if (start < m.start() or m.end() > m.start() + 1) and _ADDRESS_LIKE.fullmatch(text[local:start].strip(".")):
+            yield start, m.end(), "@"
+
+
 def _undisguised(text: str) -> Rewritten:
     """Spelled digits and at/dot words rewritten."""
     low, edits = text.lower(), []
     if not DIGIT_OF.keys().isdisjoint(low.translate(_TO_SPACE).split()):
         edits += [e for m in _RUN.finditer(text) if (e := _spelled(m))]
+    edits += _before_names(text)
     if _TRIGGER.search(low):
         edits += [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(text)]
         said = [(m.start(), m.end(), "@") for m in _SAID.finditer(text)]
