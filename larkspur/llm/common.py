@@ -68,6 +68,15 @@ def sized(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+#: Row numbers (16 bytes each) that may be broadcast.
+NUMBERS = 250_000
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """A checkpointed table of row numbers for a join with whole rows: broadcast where it is short, else the hashed side of a shuffle."""
+    return df.hint("broadcast" if df.limit(NUMBERS + 1).count() <= NUMBERS else "shuffle_hash")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, longer where ``df`` has a column of that name (in any case)."""
     taken = {c.lower() for c in df.columns}

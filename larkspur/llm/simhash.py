@@ -4,9 +4,12 @@ A fingerprint has 64 bits in a ring of four segments of 16. Two fingerprints
 that differ in at most three bits have a segment from which every chain of
 consecutive segments stays within its proportional budget: no difference in
 the first segment, at most one in the first two, two in the first three and
-three in all. So each distinct fingerprint goes into the four buckets of its
-segments, and pairs of a bucket meet the chain test, which grows by one segment
-at a time and drops most pairs before the whole distance is taken.
+three in all. The two segments after the first, which differ in two bits at
+most, are cut into three parts, of which one is equal then. So each distinct
+fingerprint goes into twelve buckets, of a ring position, its segment and one of
+the parts after it (2^26 values or more), and pairs of a bucket meet the chain
+test, which grows by one segment at a time and drops pairs before the whole
+distance is taken.
 
 Copies with the same fingerprint are one node. A bucket gives a spanning forest
 of its links, never all of its pairs, and a bucket of more than ``BLOCK``
@@ -21,17 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import overlap
-from .common import bounded_batches, cut, fresh, written
+from .common import bounded_batches, cut, fresh, is_small, numbered, sized, written
 from .graph import components
 
 WORDS_PER_SHINGLE = 3
 MOST_DIFFERENT_BITS = 3
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
+#: Bits of the parts that the two segments after the first are cut into, and where a bucket's number has its ring position.
+PARTS, START_SHIFT = (11, 11, 10), 30
 #: Fingerprints of a bucket that are compared in one task.
 BLOCK = 4096
 #: Groups up to this size are compared together, many groups at a time.
@@ -133,24 +138,35 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(rows) if not same.any() else int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         rest = rows[n:]
         if n:
-            yield from links(rows[:n, :3], rows[:n, 0] >> SEGMENT_BITS, np.ascontiguousarray(rows[:n, 3]).view(np.uint64))
+            yield from links(rows[:n, :3], rows[:n, 0] >> START_SHIFT, np.ascontiguousarray(rows[:n, 3]).view(np.uint64))
     if len(rest):
-        yield from links(rest[:, :3], rest[:, 0] >> SEGMENT_BITS, np.ascontiguousarray(rest[:, 3]).view(np.uint64))
+        yield from links(rest[:, :3], rest[:, 0] >> START_SHIFT, np.ascontiguousarray(rest[:, 3]).view(np.uint64))
+
+
+def _keys() -> list[Column]:
+    """The buckets of ``fp``: a ring position, its segment, and one of three parts of the two segments that follow."""
+    keys = []
+    for i in range(SEGMENTS):
+        low, high = F.shiftrightunsigned("fp", i * SEGMENT_BITS), F.shiftleft("fp", 64 - i * SEGMENT_BITS)
+        turned = low.bitwiseOR(high) if i else F.col("fp")
+        own, at = turned.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)), SEGMENT_BITS
+        for k, bits in enumerate(PARTS):
+            part = F.shiftrightunsigned(turned, at).bitwiseAND(F.lit((1 << bits) - 1))
+            keys.append(F.lit(i << START_SHIFT | k << START_SHIFT - 2).bitwiseOR(F.shiftleft(part, SEGMENT_BITS)).bitwiseOR(own))
+            at += bits
+    return keys
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints ``(fp bigint)`` to links ``(u, v)`` with the same components as all links."""
-    mask = (1 << SEGMENT_BITS) - 1
-    segment = [F.shiftrightunsigned("fp", i * SEGMENT_BITS).bitwiseAND(F.lit(mask)) + F.lit(i << SEGMENT_BITS) for i in range(SEGMENTS)]
-    rows = fps.select("fp", F.explode(F.array(*segment)).alias("bucket"))
-    # there are SEGMENTS << SEGMENT_BITS buckets at most, so this table can't outgrow a broadcast
-    blocks = rows.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    cells = rows.join(F.broadcast(blocks), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = fps.select("fp", F.explode(F.array(*_keys())).alias("bucket"))
+    blocks = cut(rows.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    cells = rows.join(sized(blocks, is_small(blocks)), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     cells = cells.select("bucket", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     dealt = cells.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "fp")
-    return dealt.select(F.col("bucket").cast("bigint"), F.col("a").cast("bigint"), F.col("b").cast("bigint"), "fp").mapInArrow(_forests, "u bigint, v bigint")
+    return dealt.select("bucket", F.col("a").cast("bigint"), F.col("b").cast("bigint"), "fp").mapInArrow(_forests, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,32 +191,40 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs``, all columns, less all but one row of each near-duplicate group.
 
     Groups are those of ``overlap``: texts whose sets of five-word shingles have
-    a Jaccard similarity of 0.8 or more, and what they reach. Texts without words
-    are one group. The row with the group's smallest id stays (one with a null id
-    only where the group has no other); of repeated rows of that id, one. The texts
-    cross two shuffles by node and id, so that the copies of a hot group go to
-    different tasks, and those with candidates a third by cluster.
+    a Jaccard similarity of 0.8 or more, and what they reach. Null and empty texts
+    have no words and are one group. The row with the group's smallest id stays
+    (one with a null id only where the group has no other); of repeated rows of
+    that id, one. An empty table gives an empty table; columns may have any names;
+    texts of any length count as a whole.
+
+    Rows are numbered and written once; what stays is settled on numbers. Texts
+    of candidates are fetched, and other rows dropped, by their numbers: from a
+    broadcast of the numbers where these are few (``NUMBERS``), else through one
+    shuffle, where the numbers are the side that is held in memory.
     """
     bounded_batches(docs.sparkSession)
-    at, node, bands, nth = docs.columns.index(text_col), fresh(docs, "__node"), fresh(docs, "__bands"), fresh(docs, "__once")
-    stays_node, stays_id = fresh(docs, "__stays_node"), fresh(docs, "__stays_id")
-    marked = docs.withColumn(node, F.lit(0).cast("bigint")).withColumn(bands, F.array().cast("array<bigint>"))
+    at, node, bands, row = docs.columns.index(text_col), fresh(docs, "__node"), fresh(docs, "__bands"), fresh(docs, "__row")
+    marked = docs.withColumn(node, F.lit(0).cast("bigint")).withColumn(bands, F.array().cast("array<bigint>")).schema
+    columns = marked.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [overlap.shingles((t or "").encode()) for t in b.column(at).to_pylist()]
-            keys = [overlap.bands(s) for s in sets]
+            names, keys = [], []
+            for t in b.column(at):
+                own = overlap.shingles((t.as_py() or "").encode())
+                names.append(overlap.node(own))
+                keys.append(overlap.bands(own))
             offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            names = pa.array([overlap.node(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], names, lists], names=b.schema.names)
-
-    own = written(marked.mapInArrow(run, marked.schema), "marked")
-    ids = own.select(F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(bands).alias("bands"), F.col(text_col).cast("binary").alias("text"))
-    nodes = ids.groupBy("node").agg(F.min("id").alias("id"))
-    nodes = nodes.join(components(overlap.links(ids)), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = F.min_by(F.struct("node", "id"), F.struct(F.col("id").isNull(), "id", "node"))
-    stays = nodes.groupBy("label").agg(first.alias("s")).select(F.col("s.node").alias(stays_node), F.col("s.id").alias(stays_id))
-    kept = own.join(stays, (F.col(node) == F.col(stays_node)) & F.col(id_col).eqNullSafe(F.col(stays_id)), "left_semi")
-    once = F.row_number().over(Window.partitionBy(node, id_col).orderBy(F.xxhash64(text_col)))
-    return kept.withColumn(nth, once).where(F.col(nth) == 1).select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64()), lists], names=columns)
+
+    own = written(docs.mapInArrow(run, marked).withColumn(row, F.monotonically_increasing_id()), "marked")
+    ids = own.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(bands).alias("bands"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    nodes = cut(ids.groupBy("node").agg(first))
+    texts = own.select(F.col(row).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    groups = components(overlap.links(ids.select("node", "bands"), nodes.select("node", "first.row"), texts))
+    label = nodes.join(groups, "node", "left").select("first", F.coalesce("label", "node").alias("label"))
+    stays = label.groupBy("label").agg(F.min("first").alias("first")).select("first.row")
+    goes = cut(own.select(F.col(row).alias("row")).join(stays, "row", "left_anti"))
+    return own.join(numbered(goes), own[row] == goes["row"], "left_anti").select(*docs.columns)
