@@ -96,7 +96,7 @@ def format_log(log: DataFrame) -> DataFrame:
     ids and turns are values like others and come first; repeated events apply
     again; an empty log gives an empty table.
     """
-    bounded_batches(log.sparkSession, 2048)
+    bounded_batches(log.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in log.schema}
     out = f"conv_id {types['conv_id']}, turn {types['turn']}, position bigint, role string, text string, rendered string, loss struct<start:bigint,end:bigint>"
     arrow = [("position", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("rendered", pa.string()), ("loss", pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
@@ -128,12 +128,18 @@ def format_log(log: DataFrame) -> DataFrame:
     return dealt.select("conv_id", "turn", "copy", "kind", "role", "text").mapInArrow(run, out)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, *, ordered: bool = False) -> DataFrame:
     """Parse formatted conversations again and digest what was read.
 
-    Takes the rows of ``format_log`` in their order. A message is read from its
-    rendered segment alone; the loss mask is applied to the segment.
+    Takes the rows of ``format_log``, which are dealt by conversation and sorted
+    by position first. ``ordered``: they still lie as they left that operator, so
+    need neither; an error is raised where that turns out to be wrong. A message is
+    read from its rendered segment alone; the loss mask is applied to the segment.
+    A null id is a value like others; an empty table gives an empty table; texts
+    of any length are read one message at a time; repeated positions raise.
     """
+    if not ordered:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
     conv_type = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +157,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for b in batches:
             kind = b.schema.field(0).type
-            for c, rendered, mask in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for c, position, rendered, mask in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if now is None or c != conv:
                     if now is not None:
                         done.append(closed())
                     conv, now = c, [hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if position != now[1]:
+                    raise ValueError(f"message {position} of conversation {c} is where message {now[1]} should be")
                 head, body = rendered[len(OPEN) : rendered.index(CLOSE, len(OPEN))].split("\n", 1)
                 now[0].update(f"{unescape_role(head)}\n{unescape(body)}\n".encode())
                 now[1] += 1
@@ -172,7 +180,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if done:
             yield flush()
 
-    return formatted.select("conv_id", "rendered", "loss").mapInArrow(
+    return formatted.select("conv_id", "position", "rendered", "loss").mapInArrow(
         run, f"conv_id {conv_type}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 
@@ -180,7 +188,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def log_of_turns(conversations: DataFrame, delta_chars: int = 256) -> DataFrame:
     """A table of finished turns as the log that would have led to it: assistants stream in deltas.
 
-    Turns with the same number are set apart by role and then text.
+    Turns with the same number are set apart by role and then text, repeated rows
+    among them; a null text is empty; null roles, turns and ids are values like
+    others; an empty table gives an empty log; other columns are dropped. A long
+    text streams in as many deltas as it needs.
     """
     from pyspark.sql import Window
 

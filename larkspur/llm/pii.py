@@ -128,10 +128,10 @@ _PLAIN = _Plain()
 _WORD = "|".join(sorted(DIGIT_OF, key=lambda w: (-len(w), w)))
 _RUN = re.compile(rf"(?i)(?:\bplus\b[\s,-]*|\+)?(?<![^\W\d_])(?:{_WORD}|dot|point|[0-9]+)(?![^\W\d_])(?:[\s,.()-]{{0,3}}(?<![^\W\d_])(?:{_WORD}|dot|point|[0-9]+)(?![^\W\d_]))+")
 _RUN_PART = re.compile(rf"(?i)(plus)\b|(?<![^\W\d_])({_WORD})(?![^\W\d_])|\b(dot|point)\b|([0-9]+)|([\s,.()+-]+)")
-_BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(at|@|dot|\.)\s*[\])}>]\s*")
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*+(at|@|dot|\.)\s*+[\])}>]")
 _SAID = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(\s+at\s+|\s*@\s*)(?=[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?\s+dot\s+[A-Za-z0-9-])")
 _DOT = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9-])")
-_TRIGGER = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\bdot\b")
+_TRIGGER = re.compile(r"[\[({<]\s*+(?:at|@|dot|\.)\s*+[\])}>]|\bdot\b")
 # an at or a spaced @ before a domain with plain dots, its ending in one case so that two sentences aren't one name
 _AT_NAME = re.compile(r"(?:@|(?<=\s)[Aa][Tt](?=\s))\s*+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*?\.(?:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9-]))")
 # what tells an address from a word before a website: a letter, and a dot, digit or underscore in it
@@ -162,6 +162,19 @@ def _spelled(run: re.Match) -> tuple[int, int, str] | None:
     return run.start(), run.end(), "".join(out)
 
 
+def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Bracketed signs with the blanks around them; a run of blanks is passed at most twice."""
+    done = 0
+    for m in _BRACKETED.finditer(text):
+        start, end = m.span()
+        while start > done and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        done = end
+        yield start, end, "@" if m[1].lower() in ("at", "@") else "."
+
+
 def _before_names(text: str) -> Iterator[tuple[int, int, str]]:
     """An at or a spaced @ between what looks like an address and a plain domain."""
     for m in _AT_NAME.finditer(text):
@@ -182,7 +195,7 @@ def _undisguised(text: str) -> Rewritten:
         edits += [e for m in _RUN.finditer(text) if (e := _spelled(m))]
     edits += _before_names(text)
     if _TRIGGER.search(low):
-        edits += [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(text)]
+        edits += _bracketed(text)
         said = [(m.start(), m.end(), "@") for m in _SAID.finditer(text)]
         edits += said
         if said or any(e[2] == "@" for e in edits) or "@" in text:
