@@ -10,6 +10,12 @@ SPAN_DDL = "array<struct<kind:string,start:bigint,end:bigint,value:string,base:b
 SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("base", pa.bool_())]))
 
 
+def scored_spans() -> tuple[str, pa.DataType, list[str]]:
+    """Type as DDL and as Arrow type, and field names, of spans with a score in bits (null without a model)."""
+    fields = [*SPAN_ARROW.value_type, pa.field("bits", pa.float64())]
+    return SPAN_DDL.replace("base:boolean", "base:boolean,bits:double"), pa.list_(pa.struct(fields)), [f.name for f in fields]
+
+
 def count(spans: str, kind: str) -> Column:
     """Base spans of one kind."""
     return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
