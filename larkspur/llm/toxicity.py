@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded, class-balanced sample of labelled texts gives the examples. Their
-vocabulary is the ``VOCABULARY`` terms most associated with the label by the
-chi-square statistic; document frequencies of those terms are counted over all
-texts. Terms are words and the character n-grams in them, so that invented or
-inflected words are known by their parts. The examples' TF-IDF vectors form a block-max inverted index: postings of
-a term by block of examples, with the largest weight in each block. A query
-visits blocks by falling upper bound and stops when no bound reaches its k-th
-best cosine, so what it returns is exact.
-
-Copies among the examples say nothing new about a term, so association counts
-clusters of examples whose MinHash signatures agree, not examples.
+A bounded, class-balanced sample of labelled texts gives the examples, and all of
+their words are terms. A term weighs its frequency in the text, its inverse
+document frequency over all texts and its association with the label: the square
+root of its chi-square statistic, which is near zero for most words but leaves none
+out. (Without it neighbours share subject and language, not tone.) Copies among
+the examples say nothing new about a term, so association counts clusters of
+examples whose MinHash signatures agree, not examples.
+
+The examples' vectors form a block-max inverted index: postings of a term by
+block of examples, with the largest weight in each block. A query visits blocks
+by falling upper bound and stops when no bound reaches its k-th best cosine, so
+what it returns is exact. An example whose text is the query's own is left out.
 
 Neighbours vote by their cosine; isotonic regression on left-out votes of the
 examples, weighted to the labels' real frequency, turns votes into scores.
@@ -23,7 +24,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,10 +34,6 @@ from .common import bounded_batches, cut
 
 #: Labelled texts of each class that the classifier is fitted on, at most; the least by hash.
 EXAMPLES_PER_CLASS = 1000
-VOCABULARY = 1024
-#: Chi-square from which a term may enter the vocabulary (one in a million by chance), and the least number of
-#: examples that have it: at least so many, and at least this share of one class.
-LEAST_CHI_SQUARE, LEAST_EXAMPLES, LEAST_SHARE = 24.0, 4, 0.01
 #: MinHash signatures of examples: their length, and the equal places from which two are copies (about 0.5 similar).
 SIGNATURE, ALIKE = 16, 8
 _MULTIPLIERS = [2 * int.from_bytes(xxhash.xxh64_digest(bytes([i])), "big") % (1 << 64) | 1 for i in range(SIGNATURE)]
@@ -46,9 +42,6 @@ NEIGHBOURS = 15
 #: Weight of the average when a share is estimated from few examples.
 PRIOR_WEIGHT = 2.0
 
-#: Characters of the n-grams that are terms beside whole words.
-GRAM = 4
-
 _BREAKS = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
@@ -57,29 +50,15 @@ def normal(text: str) -> str:
     return " ".join(["", *text.lower().encode().translate(_BREAKS).decode().split(), ""])
 
 
-def terms(text: str) -> set[str]:
-    """Words with their bounding spaces, and n-grams within words with them."""
-    out: set[str] = set()
-    for word in set(normal(text).split()):
-        word = f" {word} "
-        out.add(word)
-        out.update(word[i : i + GRAM] for i in range(len(word) - GRAM + 1))
-    return out
-
-
 class Spotter:
-    """Counts the terms of a vocabulary in texts, all in one pass over a text."""
+    """Counts the terms of a vocabulary in texts."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.automaton = ahocorasick.Automaton()
-        for term, number in vocabulary.items():
-            self.automaton.add_word(term, number)
-        if vocabulary:
-            self.automaton.make_automaton()
-        self.any = bool(vocabulary)
+        self.vocabulary = vocabulary
 
     def __call__(self, text: str) -> Counter:
-        return Counter(t for _, t in self.automaton.iter(normal(text))) if self.any else Counter()
+        found = Counter(normal(text).split())
+        return Counter({self.vocabulary[w]: found[w] for w in found.keys() & self.vocabulary.keys()})
 
 
 @dataclass
@@ -87,49 +66,81 @@ class Index:
     """Block-max inverted index over unit vectors of examples."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    examples: list[int]
+    #: Weight of each term: inverse document frequency times association.
+    weight: np.ndarray
+    examples: list
     labels: np.ndarray
-    vectors: list[dict[int, float]]
-    #: term -> block -> (positions in the block, weights)
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
-    #: term x block: largest weight
-    most: np.ndarray | None = None
+    #: Terms and weights of each example, one after the other, and where each begins.
+    terms: np.ndarray
+    weights: np.ndarray
+    starts: np.ndarray
+    #: Postings by term and block: where each list begins, the examples, their weights; the largest weight of each list.
+    lists: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    posted: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+
+    @property
+    def vectors(self) -> list[dict[int, float]]:
+        return [dict(zip(self.terms[a:b].tolist(), self.weights[a:b].tolist(), strict=True)) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
 
     def build(self) -> Index:
-        n_blocks = -(-len(self.vectors) // BLOCK)
-        found: list[dict[int, list[tuple[int, float]]]] = [{} for _ in self.vocabulary]
-        self.most = np.zeros((len(self.vocabulary), n_blocks))
-        for i, vector in enumerate(self.vectors):
-            for t, w in vector.items():
-                found[t].setdefault(i // BLOCK, []).append((i % BLOCK, w))
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
-        self.postings = [{b: (np.array([p for p, _ in ps]), np.array([w for _, w in ps])) for b, ps in by.items()} for by in found]
+        owner = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        n_blocks = -(-(len(self.starts) - 1) // BLOCK)
+        cell = self.terms * n_blocks + owner // BLOCK
+        order = np.argsort(cell, kind="stable")
+        sizes = np.bincount(cell, minlength=len(self.weight) * n_blocks)
+        self.lists, self.owners, self.posted = np.r_[0, np.cumsum(sizes)], owner[order].astype(np.int32), self.weights[order]
+        self.most = np.zeros(len(self.weight) * n_blocks)
+        np.maximum.at(self.most, cell, self.weights)
+        self.most = self.most.reshape(len(self.weight), n_blocks)
         return self
 
+    def _vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.sort(np.fromiter(counts, np.int64, len(counts)))
+        v = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * self.weight[at]
+        norm = math.sqrt(float(v @ v))
+        return (at, v / norm) if norm else (at[:0], v[:0])
+
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in sorted(v.items())} if norm else {}
+        at, v = self._vector(counts)
+        return dict(zip(at.tolist(), v.tolist(), strict=True))
+
+    def _nearest(self, at: np.ndarray, v: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        if not len(at) or not self.most.size:
+            return []
+        n_blocks = self.most.shape[1]
+        bounds = v @ self.most[at]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        owners, scores, done, step = np.empty(0, np.int64), np.empty(0), 0, 2
+        while done < len(order) and (len(scores) < k or bounds[order[done]] >= scores[-1] - 1e-12):
+            some = order[done : done + step]
+            done, step = done + step, step * 2
+            lists = (at[:, None] * n_blocks + some).ravel()
+            begin, sizes = self.lists[lists], self.lists[lists + 1] - self.lists[lists]
+            place = np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+            found = np.bincount(self.owners[place], self.posted[place] * np.repeat(np.repeat(v, len(some)), sizes), len(self.labels))
+            if without >= 0:
+                found[without] = 0
+            hit = np.flatnonzero(found)
+            owners, scores = np.concatenate([owners, hit]), np.concatenate([scores, found[hit]])
+            best = np.lexsort((owners, -scores))[:k]
+            owners, scores = owners[best], scores[best]
+        return list(zip(scores.tolist(), owners.tolist(), strict=True))
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest positive cosine, ties to the earlier one: (cosine, example)."""
-        if not query or not self.vectors:
-            return []
-        at, weights = list(query), np.array(list(query.values()))
-        bounds = weights @ self.most[at]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] < best[-1][0] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for t, q in query.items():
-                if (hit := self.postings[t].get(block)) is not None:
-                    scores[hit[0]] += q * hit[1]
-            found = np.flatnonzero(scores > (best[-1][0] - 1e-12 if len(best) == k else 0))
-            if len(found):
-                best = sorted([*best, *((float(scores[p]), block * BLOCK + p) for p in found.tolist() if block * BLOCK + p != without)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        at = np.array(sorted(query), np.int64)
+        return self._nearest(at, np.array([query[t] for t in at.tolist()], float), k, without)
+
+    def nearest_to(self, counts: dict[int, int], without: int = -1) -> list[tuple[float, int]]:
+        return self._nearest(*self._vector(counts), NEIGHBOURS, without)
+
+
+def text_hash(text: str) -> int:
+    """Names a text for the purpose of leaving it out as its own neighbour."""
+    return xxhash.xxh64_intdigest(normal(text))
 
 
 @dataclass
@@ -138,11 +149,13 @@ class Model:
     #: Votes and the share of toxic texts at each; rising.
     votes: np.ndarray
     shares: np.ndarray
-    #: Share among texts without any vocabulary term.
+    #: Share among texts without any term of weight.
     silent: float
+    #: The first example of each text, by ``text_hash``.
+    own: dict[int, int]
 
     def neighbours(self, text: str, spot: Spotter) -> list[tuple[float, int]]:
-        return self.index.nearest(self.index.vector(spot(text)))
+        return self.index.nearest_to(spot(text), self.own.get(text_hash(text), -1))
 
     def score(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -200,90 +213,92 @@ def learnable(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples_per_class: int = EXAMPLES_PER_CLASS) -> Model:
     """Fit on labelled rows that may be learned from; an id with several labels counts as its largest.
 
-    Document frequencies cover all of ``docs``. To the driver come the ids,
-    labels and vocabulary terms of ``2 * examples_per_class`` texts.
+    Null ids and labels are left out, and labels of ids that ``docs`` lacks; of
+    several rows of an id a word's largest count is taken; a null text is empty.
+    Without examples all scores are equal. Document frequencies cover all of
+    ``docs``. To the driver come the ids, labels and words of
+    ``2 * examples_per_class`` texts.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learnable(F.col(id_col)))
-    known = known.groupBy(id_col).agg(F.max((F.col(label_col) == 1).cast("int")).alias("label"))
-    known = cut(known)
+    known = cut(known.groupBy(id_col).agg(F.max((F.col(label_col) == 1).cast("int")).alias("label")))
     size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64(id_col), id_col).limit(examples_per_class) for c in (0, 1)]
-    chosen = [(r[0], r["label"]) for r in chosen[0].unionByName(chosen[1]).collect()]
-    label_of = dict(chosen)
-    table = spark.createDataFrame(chosen or [], f"id {known.schema[id_col].dataType.simpleString()}, label int")
+    label_of = {r[0]: r["label"] for r in chosen[0].unionByName(chosen[1]).collect()}
+    id_type = known.schema[id_col].dataType.simpleString()
+    table = spark.createDataFrame(list(label_of.items()), f"id {id_type}, label int")
 
-    def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = terms(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * (len(words) + 1), b.column(0).type), pa.array(["", *words], pa.string()), pa.array([_signature(set(normal(text).split())), *[None] * len(words)], pa.list_(pa.int64()))],
-                    ["id", "term", "signature"],
-                )
+                words = Counter(normal(text).split())
+                marks = [*_signature(set(words)), text_hash(text) - (1 << 63)]
+                columns = [pa.array([i] * (len(words) + 1), b.column(0).type), pa.array(["", *words], pa.string()), pa.array([0, *words.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([marks, *[None] * len(words)], pa.list_(pa.int64()))], ["id", "term", "n", "marks"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the chosen ids are bounded by examples_per_class, so their table may be broadcast
     labelled = texts.join(F.broadcast(table), "id", "left_semi").select("id", "text")
-    found = cut(labelled.mapInArrow(distinct_terms, f"id {table.schema['id'].dataType.simpleString()}, term string, signature array<bigint>"))
-    totals = {c: sum(v == c for v in label_of.values()) for c in (0, 1)}
-    cluster_of = _clusters({r["id"]: r["signature"] for r in found.where("signature IS NOT NULL").select("id", "signature").collect()})
-    clustered = spark.createDataFrame([(i, label_of[i], c) for i, c in cluster_of.items()], f"id {table.schema['id'].dataType.simpleString()}, label int, cluster int")
-    marked = found.where("signature IS NULL").join(F.broadcast(clustered), "id")
-    of = lambda c: F.count_distinct(F.when(F.col("label") == c, F.col("cluster")))
-    n1, n0 = map(float, marked.agg(of(1), of(0)).first())
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / F.greatest(F.lit(1e-9), n1 * n0 * (a + b) * (n1 + n0 - a - b))
-    common = (a + b >= LEAST_EXAMPLES) & ((a >= LEAST_SHARE * n1) | (b >= LEAST_SHARE * n0))
-    per_term = marked.groupBy("term").agg(of(1).alias("a"), of(0).alias("b")).withColumn("chi", chi)
-    picked = per_term.where((F.col("chi") >= LEAST_CHI_SQUARE) & common).orderBy(F.desc("chi"), "term").limit(VOCABULARY).collect()
-    vocabulary = {t: i for i, t in enumerate(sorted(r["term"] for r in picked))}
+    found = cut(labelled.mapInArrow(words_of, f"id {id_type}, term string, n bigint, marks array<bigint>").groupBy("id", "term").agg(F.max("n").alias("n"), F.max("marks").alias("marks")))
+    marks = {r["id"]: r["marks"] for r in found.where("term = ''").select("id", "marks").collect()}
+    examples = sorted(marks)
+    counts: dict = {i: {} for i in examples}
+    vocabulary: dict[str, int] = {}
+    words = found.where("term <> ''").select("id", "term", "n").orderBy("term", "id").toArrow()
+    for i, term, n in zip(*(c.to_pylist() for c in words.columns), strict=True):
+        counts[i][vocabulary.setdefault(term, len(vocabulary))] = n
+    cluster_of = _clusters({i: m[:-1] for i, m in marks.items()})
+    kind = [np.unique(np.array([(t, cluster_of[i]) for i in examples if label_of[i] == c for t in counts[i]], np.int64).reshape(-1, 2), axis=0)[:, 0] for c in (0, 1)]
+    b, a = (np.bincount(k, minlength=len(vocabulary)).astype(float) for k in kind)
+    n0, n1 = (len({cluster_of[i] for i in examples if label_of[i] == c}) for c in (0, 1))
+    association = np.sqrt((n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, n1 * n0 * (a + b) * (n1 + n0 - a - b)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, texts, spot = Counter(), 0, Spotter(vocabulary)
+        total, texts = Counter(), 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                total.update(spot(text).keys())
+                total.update(vocabulary.keys() & set(normal(text).split()))
                 texts += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *total], pa.int32()), pa.array([texts, *total.values()], pa.int64())], ["term", "n"])
-
-    counted = texts.select("text").mapInArrow(frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r["term"]: r["n"] for r in counted.collect()}
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(t, 0))) + 1 for t in range(len(vocabulary))])
-
-    def vocabulary_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spot = Spotter(vocabulary)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(spot(t).items()) for t in b.column(1).to_pylist()], pa.map_(pa.int32(), pa.int64()))], ["id", "counts"])
-
-    spotted = labelled.mapInArrow(vocabulary_counts, f"id {table.schema['id'].dataType.simpleString()}, counts map<int,bigint>").collect()
-    counts = {i: {} for i in label_of} | {r["id"]: dict(r["counts"]) for r in spotted}
-    index = Index(vocabulary, idf, [], np.zeros(0), [])
-    rows = [(index.vector(c), label_of[i], i) for i, c in sorted(counts.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(vocabulary.__getitem__, total)], pa.int32()), pa.array([texts, *total.values()], pa.int64())], ["term", "n"])
+
+    counted = texts.select("text").mapInArrow(frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * association
+    empty = np.zeros(0)
+    index = Index(vocabulary, weight, [], empty, empty, empty, empty)
+    rows = [(*index._vector(counts[i]), label_of[i], i) for i in examples]
     # examples of alike strongest terms share a block, which makes block bounds tight
-    rows.sort(key=lambda r: (min(r[0], key=lambda t: (-r[0][t], t)) if r[0] else -1, r[1]))
-    spoken = [r for r in rows if r[0]]
-    index = Index(vocabulary, idf, [r[2] for r in spoken], np.array([r[1] for r in spoken], float), [r[0] for r in spoken]).build()
-    weight = {c: size.get(c, 0) / max(1, totals[c]) for c in (0, 1)}
+    rows.sort(key=lambda r: (int(r[0][np.argmax(r[1])]) if len(r[0]) else -1, r[2]))
+    spoken = [r for r in rows if len(r[0])]
+    joined = [np.concatenate([r[k] for r in spoken]) if spoken else empty for k in (0, 1)]
+    index = Index(vocabulary, weight, [r[3] for r in spoken], np.array([r[2] for r in spoken], float), joined[0].astype(np.int64), joined[1], np.r_[0, np.cumsum([len(r[0]) for r in spoken])].astype(np.int64)).build()
+    totals = Counter(label_of[i] for i in examples)
+    share_of = {c: size.get(c, 0) / max(1, totals[c]) for c in (0, 1)}
     base = size.get(1, 0) / max(1, sum(size.values()))
-    share = lambda labels: (sum(weight[1] for x in labels if x == 1) + PRIOR_WEIGHT * base) / (sum(weight[x] for x in labels) + PRIOR_WEIGHT)
-    votes = [(_vote(near, index.labels), r[1]) for i, r in enumerate(spoken) if (near := index.nearest(r[0], without=i))]
+    silent = [r[2] for r in rows if not len(r[0])]
+    share = (sum(share_of[1] for x in silent if x == 1) + PRIOR_WEIGHT * base) / (sum(share_of[x] for x in silent) + PRIOR_WEIGHT)
+    votes = [(_vote(near, index.labels), r[2]) for i, r in enumerate(spoken) if (near := index._nearest(r[0], r[1], NEIGHBOURS, i))]
     if votes:
         x, y = np.array([v for v, _ in votes]), np.array([float(c) for _, c in votes])
-        at, shares = _isotonic(x, y, np.array([weight[c] for _, c in votes]))
+        at, shares = _isotonic(x, y, np.array([share_of[c] for _, c in votes]))
     else:
         at, shares = np.array([0.0, 1.0]), np.array([base, base])
-    return Model(index, at, shares, min(share([r[1] for r in rows if not r[0]]), 1.0))
+    own: dict[int, int] = {}
+    for k, i in enumerate(index.examples):
+        own.setdefault(marks[i][-1] + (1 << 63), k)
+    return Model(index, at, shares, min(share, 1.0), own)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score`` and ``evidence`` of each row.
 
     ``evidence`` lists the neighbours: their id, label and cosine. A text
-    without vocabulary terms (a null or empty one too) has no neighbours and the
+    without terms of weight (a null or empty one too) has no neighbours and the
     score of such labelled texts. Neither id nor other columns affect a score.
-    Repeated rows score alike; an empty table gives an empty table.
+    Repeated rows and equal texts score alike; texts of any length are read as a
+    whole; an empty table gives an empty table.
     """
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -300,7 +315,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", most: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``most``."""
+    """The rows of ``docs``, all columns, whose score is below ``most``.
+
+    Null, empty, repeated and very long texts are scored as ``score`` does; an
+    empty table gives an empty table; columns may have any names.
+    """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
