@@ -36,18 +36,25 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+#: Arrivals that op4_shards makes of a table's files.
+ARRIVALS = 4
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append the documents as small shards, compact them, and read the committed version back."""
+    """Let the files of the documents arrive one after the other in some groups, compact after each, and read the last version back."""
     store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(read_table(spark, sf_dir, "documents"))
-    store.compact()
+    documents = read_table(spark, sf_dir, "documents")
+    files = sorted(documents.inputFiles())
+    for k in range(min(ARRIVALS, len(files))):
+        store.append(spark.read.schema(documents.schema).parquet(*files[k::ARRIVALS]))
+        store.compact()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     log = chat.log_of_turns(turns.unionByName(chat.escaping_probe(spark, turns)))
-    return chat.read_back(chat.format_log(log))
+    return chat.read_back(chat.format_log(log), ordered=True)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

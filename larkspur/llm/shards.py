@@ -5,16 +5,25 @@ form a run; when a tier has ``fanout`` of them they are merged into files of
 about the target size. Every change is one new manifest, which names the live
 shards; it is written aside and renamed into place without overwriting, so a
 reader sees the old version or the new one, and of two writers one has to
-retry. Rows move by DataFrame reads and writes alone, without a shuffle: a merge
-reads neighbouring shards in as many tasks as it writes files.
+retry. That rename is atomic where the file system's is (HDFS and the like). On a
+local disk or an object store it tests and then writes, so there one writer at a
+time has to be seen to from outside. Rows move by DataFrame reads and writes
+alone, without a shuffle: shards to be merged are dealt by size into files, and
+one task writes each.
+
+Merged shards stay until ``vacuum``, for readers of older versions. A writer that
+dies leaves shards that no manifest names; they are never read, and ``vacuum``
+removes them as well.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -114,18 +123,30 @@ class ShardStore:
         return tuple(sorted((Shard(f"{where}/{f.getPath().getName()}", f.getLen()) for f in files if f.getPath().getName().startswith("part-")), key=lambda s: s.path))
 
     def append(self, df: DataFrame, tries: int = 5) -> Manifest:
-        """Commit one arrival as immutable shards, one for each of its partitions."""
+        """Commit one arrival as immutable shards, one for each of its partitions.
+
+        Its columns must have the names and types of the store's, in their order;
+        nothing is written where they don't.
+        """
+        self._same_columns(df.schema)
         new, schema = self._write(df), df.schema.json()
         for _ in range(tries):
-            now = self.manifest()
-            if now and [f.name for f in StructType.fromJson(json.loads(now.schema))] != df.columns:
-                raise ValueError("the arrival's columns are not the store's")
+            now = self._same_columns(df.schema)
             try:
                 return self._commit(Manifest(now.version + 1 if now else 1, now.schema if now else schema, (now.shards if now else ()) + new))
             except Conflict:
                 continue
         raise Conflict("no version could be committed")
 
+    def _same_columns(self, schema: StructType) -> Manifest | None:
+        """The latest manifest, if it agrees with these columns."""
+        now = self.manifest()
+        if now:
+            own, its = ([(f.name, f.dataType.simpleString()) for f in x.fields] for x in (StructType.fromJson(json.loads(now.schema)), schema))
+            if own != its:
+                raise ValueError(f"the arrival's columns {its} are not the store's {own}")
+        return now
+
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / SMALLEST_TIER_BYTES, self.fanout))) if size > SMALLEST_TIER_BYTES else 0
 
@@ -137,13 +158,18 @@ class ShardStore:
                 tiers.setdefault(self.tier(s.bytes), []).append(s)
         return next((run for _, run in sorted(tiers.items()) if len(run) >= self.fanout), [])
 
-    def compact(self, vacuum: bool = True) -> Manifest | None:
-        """Merge due runs until none is left, one commit for each; drop merged shards if ``vacuum``."""
+    def _merged(self, schema: str, run: list[Shard]) -> tuple[Shard, ...]:
+        """A run's rows in files near the target: the largest shards are dealt first, each to the smallest file."""
+        files: list[list[Shard]] = [[] for _ in range(max(1, round(sum(s.bytes for s in run) / self.target_bytes)))]
+        for s in sorted(run, key=lambda s: (-s.bytes, s.path)):
+            min(files, key=lambda f: sum(x.bytes for x in f)).append(s)
+        return self._write(reduce(DataFrame.union, (self._read(schema, f).coalesce(1) for f in files if f)))
+
+    def compact(self, vacuum: bool = False) -> Manifest | None:
+        """Merge due runs until none is left, one commit for each. ``vacuum``: then drop all that the latest version doesn't name."""
         now = self.manifest()
         while now and (run := self.due(now)):
-            files = max(1, round(sum(s.bytes for s in run) / self.target_bytes))
-            merged = self._write(self._read(now.schema, run).coalesce(files))
-            gone = {s.path for s in run}
+            merged, gone = self._merged(now.schema, run), {s.path for s in run}
             while True:
                 if not gone <= {s.path for s in now.shards}:
                     raise Conflict("another writer has merged these shards")
@@ -152,11 +178,38 @@ class ShardStore:
                     break
                 except Conflict:
                     now = self.manifest()
-            if vacuum:
-                for path in gone:
-                    self._fs.delete(self._path(path), False)
+        if vacuum:
+            self.vacuum(versions=1, older_than=0)
         return now
 
+    def vacuum(self, versions: int = 10, older_than: float = 7 * 86_400) -> int:
+        """Keep the last ``versions``; delete older manifests, and files that no version kept names. Returns how many files went.
+
+        Nothing that is younger than ``older_than`` seconds goes, which has to be
+        longer than any reader or writer takes. The kept versions' manifests are read
+        after the list of files, so a commit in between loses nothing.
+        """
+        until = (time.time() - older_than) * 1000
+        data = self._path("data")
+        folders = list(self._fs.listStatus(data)) if self._fs.exists(data) else []
+        listed = {f"data/{d.getPath().getName()}": [(f.getPath().getName(), f.getModificationTime()) for f in self._fs.listStatus(d.getPath())] for d in folders}
+        numbers = self.versions()
+        live = {s.path for v in numbers[-versions:] for s in self.manifest(v).shards}
+        went = 0
+        for folder, files in listed.items():
+            old = [n for n, t in files if f"{folder}/{n}" not in live and t <= until]
+            if len(old) == len(files):
+                self._fs.delete(self._path(folder), True)
+                went += len(old)
+            else:
+                for n in old:
+                    went += not n.startswith(("_", ".")) and self._fs.delete(self._path(f"{folder}/{n}"), False)
+        for v in numbers[:-versions]:
+            where = self._path(f"manifests/v{v:09d}.json")
+            if self._fs.getFileStatus(where).getModificationTime() <= until:
+                self._fs.delete(where, False)
+        return went
+
     def _read(self, schema: str, shards) -> DataFrame:
         kind = StructType.fromJson(json.loads(schema))
         if not shards:
