@@ -48,9 +48,9 @@ BELOW = 0.01
 #: Bits by which a run must be likelier as a credential than as ordinary text.
 LEAST_BITS = 20
 #: Probability of a symbol or end that a state has never shown.
-UNSEEN = 1e-6
-#: Scores of distinct runs that a task holds at most.
-CACHE_LIMIT = 200_000
+UNSEEN = 2.0**-64
+#: Distinct rejected runs that a task holds about at most.
+CACHE_LIMIT = 400_000
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -343,35 +343,44 @@ def fit(docs: DataFrame, *, text_col: str = "text", labelled_values: int = LABEL
 
 
 class Scorer:
-    """Scores runs under all automata; each distinct run once, as long as the table has room."""
+    """Scores runs under all automata; each distinct run once, as long as the tables have room."""
 
     def __init__(self, model: dict[str, Automaton]):
-        self.model, self.cache = model, {}
+        self.model, self.rejected, self.accepted = model, set(), {}
         least = min((next((n for n, ok in enumerate(a.possible) if ok and n), 2 * DEEPEST) for a in model.values()), default=0)
         self.runs = re.compile(f"[A-Za-z0-9+/_.=-]{{{least},}}") if least else None
 
-    def __call__(self, value: str) -> float | None:
-        """Bits of the best automaton that accepts a value; None where none does."""
-        if value not in self.cache:
-            if len(self.cache) >= CACHE_LIMIT:
-                self.cache.clear()
-            self.cache[value] = max((a.odds(value) for a in self.model.values() if a.accepts(value)), default=None)
-        return self.cache[value]
-
     def bits(self, value: str) -> float | None:
         """Bits of a value that a rule found, whether accepted or not."""
         return max((a.odds(value) for a in self.model.values()), default=None)
 
+    def parts(self, run: str) -> list[tuple[int, int, float]]:
+        """What is accepted of a run: the whole, else the run without signs at its ends, else pieces."""
+        low, high = len(run) - len(run.lstrip(_SIGNS)), len(run.rstrip(_SIGNS))
+        for spans in dict.fromkeys((((0, len(run)),), ((low, high),), tuple(p.span() for p in _CUTS.finditer(run)))):
+            found = [(a, b, max(x.odds(run[a:b]) for x in taking)) for a, b in spans if a < b and (taking := [x for x in self.model.values() if x.accepts(run[a:b])])]
+            if found:
+                return found
+        return []
+
     def found(self, text: str) -> Iterator[tuple[int, int, float]]:
-        """Accepted runs: whole, else without signs at the ends, else in pieces."""
-        for m in self.runs.finditer(text) if self.runs else ():
-            run = m[0]
-            low, high = m.start() + len(run) - len(run.lstrip(_SIGNS)), m.end() - len(run) + len(run.rstrip(_SIGNS))
-            for spans in ([m.span()], [(low, high)], [(m.start() + p.start(), m.start() + p.end()) for p in _CUTS.finditer(run)]):
-                accepted = [(a, b, bits) for a, b in spans if a < b and (bits := self(text[a:b])) is not None]
-                if accepted:
-                    yield from accepted
-                    break
+        """Accepted spans of a text. Most runs are known to be ordinary words, so a text is looked at as a set of them first."""
+        if not self.runs:
+            return
+        for run in set(self.runs.findall(text)).difference(self.rejected):
+            if run in self.accepted:
+                continue
+            if parts := self.parts(run):
+                self.accepted[run] = parts
+            elif len(run) < 2 * DEEPEST:
+                self.rejected.add(run)
+        if self.accepted:
+            for m in self.runs.finditer(text):
+                for a, b, bits in self.accepted.get(m[0], ()):
+                    yield m.start() + a, m.start() + b, bits
+        if len(self.rejected) > CACHE_LIMIT:
+            self.rejected.clear()
+        self.accepted.clear()
 
 
 def find_scored(text: str, scorer: Scorer) -> list[tuple[str, int, int, str, bool, float | None]]:

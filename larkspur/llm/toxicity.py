@@ -8,9 +8,11 @@ out. (Without it neighbours share subject and language, not tone.) Copies among
 the examples say nothing new about a term, so association counts clusters of
 examples whose MinHash signatures agree, not examples.
 
-The examples' vectors form a block-max inverted index: postings of a term by
-block of examples, with the largest weight in each block. A query visits blocks
-by falling upper bound and stops when no bound reaches its k-th best cosine, so
+The examples' vectors form a block-max inverted index. Terms of few examples have
+lists of postings, which a query reads as a whole. Terms of many have a weight for
+every example, and the largest weight in each block of examples. What the lists
+add up to and those largest weights bound a block's cosines; a query visits
+blocks by falling bound and stops when no bound reaches its k-th best cosine, so
 what it returns is exact. An example whose text is the query's own is left out.
 
 Neighbours vote by their cosine; isotonic regression on left-out votes of the
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,91 +44,110 @@ NEIGHBOURS = 15
 #: Weight of the average when a share is estimated from few examples.
 PRIOR_WEIGHT = 2.0
 
+#: Share of the examples from which a term's weights are kept by block.
+MANY = 1 / 16
+
 _BREAKS = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
-def normal(text: str) -> str:
-    """Lower-case words of letters, digits and characters beyond ASCII, between single spaces."""
-    return " ".join(["", *text.lower().encode().translate(_BREAKS).decode().split(), ""])
+def words_of(text: str) -> list[bytes]:
+    """Lower-case words of letters, digits and characters beyond ASCII."""
+    return text.lower().encode().translate(_BREAKS).split()
 
 
 class Spotter:
     """Counts the terms of a vocabulary in texts."""
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, vocabulary: dict[bytes, int]):
         self.vocabulary = vocabulary
 
-    def __call__(self, text: str) -> Counter:
-        found = Counter(normal(text).split())
-        return Counter({self.vocabulary[w]: found[w] for w in found.keys() & self.vocabulary.keys()})
+    def __call__(self, text: str) -> dict[int, int]:
+        return self.count(words_of(text))
+
+    def count(self, words: list[bytes]) -> dict[int, int]:
+        get, out = self.vocabulary.get, {}
+        for w, n in Counter(words).items():
+            if (t := get(w)) is not None:
+                out[t] = n
+        return out
 
 
 @dataclass
 class Index:
     """Block-max inverted index over unit vectors of examples."""
 
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     #: Weight of each term: inverse document frequency times association.
     weight: np.ndarray
     examples: list
     labels: np.ndarray
-    #: Terms and weights of each example, one after the other, and where each begins.
-    terms: np.ndarray
-    weights: np.ndarray
-    starts: np.ndarray
-    #: Postings by term and block: where each list begins, the examples, their weights; the largest weight of each list.
-    lists: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    posted: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    #: Postings by term: where each term's list begins, the examples, their weights.
+    lists: np.ndarray
+    owners: np.ndarray
+    posted: np.ndarray
+    #: Terms of many examples: their row (or -1) by term, the weights by row, block and place in it, and the largest of each block.
+    row: np.ndarray
+    wide: np.ndarray
+    most: np.ndarray
+
+    @classmethod
+    def build(cls, vocabulary: dict[bytes, int], weight: np.ndarray, examples: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+        n, empty = len(vectors), np.zeros(0)
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in vectors])
+        term, w = (np.concatenate([v[k] for v in vectors]) if n else empty for k in (0, 1))
+        term = term.astype(np.int64)
+        many = np.bincount(term, minlength=len(weight)) > max(1, MANY * n)
+        row = np.where(many, np.cumsum(many) - 1, -1)
+        wide, some = np.zeros((int(many.sum()), -(-n // BLOCK), BLOCK)), many[term]
+        wide[row[term[some]], owner[some] // BLOCK, owner[some] % BLOCK] = w[some]
+        order = np.flatnonzero(~many[term])[np.argsort(term[~many[term]], kind="stable")]
+        lists = np.r_[0, np.cumsum(np.bincount(term[order], minlength=len(weight)))]
+        return cls(vocabulary, weight, examples, labels, lists, owner[order], w[order], row, wide, wide.max(2))
 
     @property
     def vectors(self) -> list[dict[int, float]]:
-        return [dict(zip(self.terms[a:b].tolist(), self.weights[a:b].tolist(), strict=True)) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]
-
-    def build(self) -> Index:
-        owner = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        n_blocks = -(-(len(self.starts) - 1) // BLOCK)
-        cell = self.terms * n_blocks + owner // BLOCK
-        order = np.argsort(cell, kind="stable")
-        sizes = np.bincount(cell, minlength=len(self.weight) * n_blocks)
-        self.lists, self.owners, self.posted = np.r_[0, np.cumsum(sizes)], owner[order].astype(np.int32), self.weights[order]
-        self.most = np.zeros(len(self.weight) * n_blocks)
-        np.maximum.at(self.most, cell, self.weights)
-        self.most = self.most.reshape(len(self.weight), n_blocks)
-        return self
+        out: list[dict[int, float]] = [{} for _ in self.examples]
+        for t, r in enumerate(self.row.tolist()):
+            if r >= 0:
+                for i, w in enumerate(self.wide[r].ravel().tolist()):
+                    if w:
+                        out[i][t] = w
+            for k in range(self.lists[t], self.lists[t + 1]):
+                out[self.owners[k]][t] = float(self.posted[k])
+        return out
 
     def _vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.sort(np.fromiter(counts, np.int64, len(counts)))
-        v = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * self.weight[at]
-        norm = math.sqrt(float(v @ v))
-        return (at, v / norm) if norm else (at[:0], v[:0])
+        return _unit(counts, self.weight)
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         at, v = self._vector(counts)
         return dict(zip(at.tolist(), v.tolist(), strict=True))
 
     def _nearest(self, at: np.ndarray, v: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
-        if not len(at) or not self.most.size:
+        n = len(self.examples)
+        if not len(at) or not n:
             return []
-        n_blocks = self.most.shape[1]
-        bounds = v @ self.most[at]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
+        begin, sizes = self.lists[at], self.lists[at + 1] - self.lists[at]
+        place = np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+        cosines = np.bincount(self.owners[place], self.posted[place] * np.repeat(v, sizes), self.most.shape[1] * BLOCK).astype(float).reshape(-1, BLOCK)
+        if without >= 0:
+            cosines[without // BLOCK, without % BLOCK] = -np.inf
+        rows = self.row[at]
+        rows, v = rows[rows >= 0], v[rows >= 0]
+        bounds = cosines.max(1) + v @ self.most[rows]
+        order, least = np.argsort(-bounds, kind="stable"), 0.0
         owners, scores, done, step = np.empty(0, np.int64), np.empty(0), 0, 2
-        while done < len(order) and (len(scores) < k or bounds[order[done]] >= scores[-1] - 1e-12):
+        while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= least - 1e-12:
             some = order[done : done + step]
-            done, step = done + step, step * 2
-            lists = (at[:, None] * n_blocks + some).ravel()
-            begin, sizes = self.lists[lists], self.lists[lists + 1] - self.lists[lists]
-            place = np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
-            found = np.bincount(self.owners[place], self.posted[place] * np.repeat(np.repeat(v, len(some)), sizes), len(self.labels))
-            if without >= 0:
-                found[without] = 0
-            hit = np.flatnonzero(found)
-            owners, scores = np.concatenate([owners, hit]), np.concatenate([scores, found[hit]])
+            some = np.sort(some[bounds[some] >= least - 1e-12])
+            done, step = done + step, len(order)
+            who = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = cosines[some].ravel() + v @ self.wide[rows[:, None], some].reshape(len(rows), len(who))
+            hit = np.flatnonzero(found > max(least - 1e-12, 0))
+            owners, scores = np.concatenate([owners, who[hit]]), np.concatenate([scores, found[hit]])
             best = np.lexsort((owners, -scores))[:k]
             owners, scores = owners[best], scores[best]
+            least = float(scores[-1]) if len(scores) == k else 0.0
         return list(zip(scores.tolist(), owners.tolist(), strict=True))
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
@@ -138,9 +159,19 @@ class Index:
         return self._nearest(*self._vector(counts), NEIGHBOURS, without)
 
 
-def text_hash(text: str) -> int:
+def _unit(counts: dict[int, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, ascending, and their share in the unit vector of a text."""
+    at, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+    order = np.argsort(at)
+    at = at[order]
+    v = (1 + np.log(n[order])) * weight[at]
+    norm = math.sqrt(float(v @ v))
+    return (at, v / norm) if norm else (at[:0], v[:0])
+
+
+def text_hash(words: list[bytes]) -> int:
     """Names a text for the purpose of leaving it out as its own neighbour."""
-    return xxhash.xxh64_intdigest(normal(text))
+    return xxhash.xxh64_intdigest(b" ".join(words))
 
 
 @dataclass
@@ -155,7 +186,8 @@ class Model:
     own: dict[int, int]
 
     def neighbours(self, text: str, spot: Spotter) -> list[tuple[float, int]]:
-        return self.index.nearest_to(spot(text), self.own.get(text_hash(text), -1))
+        words = words_of(text)
+        return self.index.nearest_to(spot.count(words), self.own.get(text_hash(words), -1))
 
     def score(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -164,7 +196,7 @@ class Model:
         return float(0.999 * np.interp(vote, self.votes, self.shares) + 0.001 * vote)
 
 
-def _signature(words: set[str]) -> list[int]:
+def _signature(words: set[bytes]) -> list[int]:
     """Minima of ``SIGNATURE`` hash functions over a text's words."""
     if not words:
         return [0] * SIGNATURE
@@ -229,25 +261,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     id_type = known.schema[id_col].dataType.simpleString()
     table = spark.createDataFrame(list(label_of.items()), f"id {id_type}, label int")
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = Counter(normal(text).split())
-                marks = [*_signature(set(words)), text_hash(text) - (1 << 63)]
-                columns = [pa.array([i] * (len(words) + 1), b.column(0).type), pa.array(["", *words], pa.string()), pa.array([0, *words.values()], pa.int64())]
+                words = Counter(all_words := words_of(text))
+                marks = [*_signature(set(words)), text_hash(all_words) - (1 << 63)]
+                columns = [pa.array([i] * (len(words) + 1), b.column(0).type), pa.array(["", *(w.decode() for w in words)], pa.string()), pa.array([0, *words.values()], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([marks, *[None] * len(words)], pa.list_(pa.int64()))], ["id", "term", "n", "marks"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the chosen ids are bounded by examples_per_class, so their table may be broadcast
     labelled = texts.join(F.broadcast(table), "id", "left_semi").select("id", "text")
-    found = cut(labelled.mapInArrow(words_of, f"id {id_type}, term string, n bigint, marks array<bigint>").groupBy("id", "term").agg(F.max("n").alias("n"), F.max("marks").alias("marks")))
+    found = cut(labelled.mapInArrow(counted_words, f"id {id_type}, term string, n bigint, marks array<bigint>").groupBy("id", "term").agg(F.max("n").alias("n"), F.max("marks").alias("marks")))
     marks = {r["id"]: r["marks"] for r in found.where("term = ''").select("id", "marks").collect()}
     examples = sorted(marks)
     counts: dict = {i: {} for i in examples}
-    vocabulary: dict[str, int] = {}
+    vocabulary: dict[bytes, int] = {}
     words = found.where("term <> ''").select("id", "term", "n").orderBy("term", "id").toArrow()
     for i, term, n in zip(*(c.to_pylist() for c in words.columns), strict=True):
-        counts[i][vocabulary.setdefault(term, len(vocabulary))] = n
+        counts[i][vocabulary.setdefault(term.encode(), len(vocabulary))] = n
     cluster_of = _clusters({i: m[:-1] for i, m in marks.items()})
     kind = [np.unique(np.array([(t, cluster_of[i]) for i in examples if label_of[i] == c for t in counts[i]], np.int64).reshape(-1, 2), axis=0)[:, 0] for c in (0, 1)]
     b, a = (np.bincount(k, minlength=len(vocabulary)).astype(float) for k in kind)
@@ -258,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         total, texts = Counter(), 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                total.update(vocabulary.keys() & set(normal(text).split()))
+                total.update(vocabulary.keys() & set(words_of(text)))
                 texts += 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *map(vocabulary.__getitem__, total)], pa.int32()), pa.array([texts, *total.values()], pa.int64())], ["term", "n"])
 
@@ -266,14 +298,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     df = np.zeros(len(vocabulary) + 1)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * association
-    empty = np.zeros(0)
-    index = Index(vocabulary, weight, [], empty, empty, empty, empty)
-    rows = [(*index._vector(counts[i]), label_of[i], i) for i in examples]
+    rows = [(*_unit(counts[i], weight), label_of[i], i) for i in examples]
     # examples of alike strongest terms share a block, which makes block bounds tight
     rows.sort(key=lambda r: (int(r[0][np.argmax(r[1])]) if len(r[0]) else -1, r[2]))
     spoken = [r for r in rows if len(r[0])]
-    joined = [np.concatenate([r[k] for r in spoken]) if spoken else empty for k in (0, 1)]
-    index = Index(vocabulary, weight, [r[3] for r in spoken], np.array([r[2] for r in spoken], float), joined[0].astype(np.int64), joined[1], np.r_[0, np.cumsum([len(r[0]) for r in spoken])].astype(np.int64)).build()
+    index = Index.build(vocabulary, weight, [r[3] for r in spoken], np.array([r[2] for r in spoken], float), [r[:2] for r in spoken])
     totals = Counter(label_of[i] for i in examples)
     share_of = {c: size.get(c, 0) / max(1, totals[c]) for c in (0, 1)}
     base = size.get(1, 0) / max(1, sum(size.values()))
