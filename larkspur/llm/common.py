@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,17 +17,18 @@ TEXT_ROWS_PER_BATCH = 256
 BYTES_PER_BATCH = 16 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
-    """Keep Arrow batches small enough that a Python worker never holds many long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough that a Python worker never holds many long texts; alike for all operators of a session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a laptop) a temporary folder is set and
-    removed when the interpreter ends.
+    Where a local session has none (tests, a laptop) a temporary folder is set and
+    removed when the interpreter ends. On a cluster such a folder would be another
+    disk on every host, so there an error is raised.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_already = spark.sparkContext.getCheckpointDir()
     if set_already:
         return set_already.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="larkspur-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -50,10 +54,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back (for wide rows)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+#: Folders that ``written`` has made in this process, for ``remove_written``.
+WRITTEN: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete what ``written`` has made, once nothing reads it any more."""
+    while WRITTEN:
+        remove(spark, WRITTEN.pop())
+
+
 #: Rows of a table of group results (a few hundred bytes each) that may be broadcast.
 BROADCAST_ROWS = 50_000
 

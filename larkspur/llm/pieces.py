@@ -4,13 +4,13 @@ When no piece of the vocabulary has a whitespace marker after another
 character, no merge can cross from the end of a word into the marker of the
 next one. A text is then the concatenation of *marked words* (a run of markers
 and what follows up to the next marker), and each of them is segmented alone.
-Words repeat, so each distinct marked word of a worker goes through the library
+Words repeat, so each distinct marked word of a task goes through the library
 once; the ids of a text are joined back from that table by position.
 
-The table lives in the Python worker and is emptied when it reaches
+The table belongs to the task and is emptied when it reaches
 ``TABLE_LIMIT`` entries, which bounds memory without changing any result. A
 table for the whole corpus would need each word of each text to cross a shuffle
-twice, which is many times the input; the worker's table needs no shuffle, so
+twice, which is many times the input; a task's table needs no shuffle, so
 hot sources and groups of copies have no effect either.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Distinct marked words that a worker holds at most.
+#: Distinct marked words that a task holds at most.
 TABLE_LIMIT = 300_000
 MARK = "▁"
 
@@ -73,8 +73,9 @@ def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
     Returns ``id_col``, ``n_tokens`` (bigint, all ids), ``ids`` (binary:
     little-endian unsigned 32-bit integers) and ``decoded`` (string), one row
     for each input row. A null text counts as empty, which has just the begin
-    and end ids. Null ids, repeated rows and ties stay as they are; an empty
-    table gives an empty table; other columns are dropped.
+    and end ids. Null ids, repeated rows and ties stay as they are; texts of any
+    length are encoded as a whole; an empty table gives an empty table; other
+    columns are dropped.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))

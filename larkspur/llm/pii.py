@@ -131,7 +131,6 @@ _RUN_PART = re.compile(rf"(?i)(plus)\b|(?<![^\W\d_])({_WORD})(?![^\W\d_])|\b(dot
 _BRACKETED = re.compile(r"(?i)[\[({<]\s*+(at|@|dot|\.)\s*+[\])}>]")
 _SAID = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(\s+at\s+|\s*@\s*)(?=[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?\s+dot\s+[A-Za-z0-9-])")
 _DOT = re.compile(r"(?i)(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9-])")
-_TRIGGER = re.compile(r"[\[({<]\s*+(?:at|@|dot|\.)\s*+[\])}>]|\bdot\b")
 # an at or a spaced @ before a domain with plain dots, its ending in one case so that two sentences aren't one name
 _AT_NAME = re.compile(r"(?:@|(?<=\s)[Aa][Tt](?=\s))\s*+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*?\.(?:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9-]))")
 # what tells an address from a word before a website: a letter, and a dot, digit or underscore in it
@@ -188,14 +187,18 @@ def _before_names(text: str) -> Iterator[tuple[int, int, str]]:
             yield start, m.end(), "@"
 
 
+def _unbracketed(text: str) -> Rewritten:
+    """Bracketed signs rewritten."""
+    return Rewritten(text, list(_bracketed(text)))
+
+
 def _undisguised(text: str) -> Rewritten:
     """Spelled digits and at/dot words rewritten."""
     low, edits = text.lower(), []
     if not DIGIT_OF.keys().isdisjoint(low.translate(_TO_SPACE).split()):
         edits += [e for m in _RUN.finditer(text) if (e := _spelled(m))]
     edits += _before_names(text)
-    if _TRIGGER.search(low):
-        edits += _bracketed(text)
+    if "dot" in low:
         said = [(m.start(), m.end(), "@") for m in _SAID.finditer(text)]
         edits += said
         if said or any(e[2] == "@" for e in edits) or "@" in text:
@@ -212,11 +215,13 @@ def find(text: str) -> list[tuple[str, int, int, str, bool]]:
     """All personal data of a text: (kind, start, end, source characters, whether plain)."""
     base = base_spans(text)
     out = [(k, a, b, text[a:b], True) for k, a, b in base]
-    first = _plain(text)
-    second = _undisguised(first.text)
-    if second.edited or second.text != text:
-        for kind, a, b in base_spans(second.text):
-            a, b = first.back(*second.back(a, b))
+    chain = [_plain(text)]
+    for step in (_unbracketed, _undisguised):
+        chain.append(step(chain[-1].text))
+    if chain[-1].text != text:
+        for kind, a, b in base_spans(chain[-1].text):
+            for step in reversed(chain):
+                a, b = step.back(a, b)
             if not any(k == kind and x < b and a < y for k, x, y in base):
                 out.append((kind, a, b, text[a:b], False))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -226,7 +231,8 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """``id_col`` and ``found`` (spans in code points of the source, end exclusive) of each row.
 
     Null and empty texts have no spans; repeated rows and null ids stay as they
-    are; an empty table gives an empty table; other columns are dropped.
+    are; texts of any length are read as a whole, in time proportional to it; an
+    empty table gives an empty table; other columns are dropped.
     """
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -45,8 +45,10 @@ DEEPEST = 128
 ALPHA, FIXED_ALPHA = 0.05, 0.001
 #: Share of the labelled values that may lie below the threshold of their kind.
 BELOW = 0.01
-#: Bits by which a run must be likelier as a credential than as ordinary text.
-LEAST_BITS = 20
+#: Bits by which a run must be likelier as a credential than as ordinary text: credentials are taken to be one run in 8,192.
+LEAST_BITS = 13
+#: Weight of a character's own frequency when its frequency after another one is estimated.
+PAIR_WEIGHT = 64
 #: Probability of a symbol or end that a state has never shown.
 UNSEEN = 2.0**-64
 #: Distinct rejected runs that a task holds about at most.
@@ -332,8 +334,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", labelled_values: int = LABEL
     pairs = np.zeros(_PLACES * _PLACES)
     for r in counted.where("kind = ''").collect():
         pairs[int(r["value"])] = r["n"]
-    pairs = pairs.reshape(_PLACES, _PLACES) + 0.5
-    ordinary, model = np.log2(pairs / pairs.sum(1, keepdims=True)), {}
+    pairs = pairs.reshape(_PLACES, _PLACES)
+    single = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * _PLACES)
+    ordinary, model = np.log2((pairs + PAIR_WEIGHT * single) / (pairs.sum(1, keepdims=True) + PAIR_WEIGHT)), {}
     for kind in KINDS:
         chosen = counted.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(labelled_values).collect()
         if chosen:

@@ -176,8 +176,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reachable through links, the row's own included). Null and empty texts have
     fingerprint zero and link like any other. A row with a null id takes part
     and has its group's smallest other id, or null where there is none.
-    Repeated rows are all returned; an empty table gives an empty table; other
-    columns are dropped.
+    Repeated rows are all returned; texts of any length count as a whole; an
+    empty table gives an empty table; other columns are dropped.
     """
     own = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
     nodes = own.groupBy("fp").agg(F.min(id_col).alias("least"))
