@@ -1,5 +1,8 @@
 """Word lists, patterns and constants that results depend on."""
 
+# Fixed value: prices from which a run counts as done.
+ENOUGH_PRICES = 3
+
 # Words dropped from titles.
 STOPWORDS = "the a an and or for with in on at to of by from new free shipping".split()
 

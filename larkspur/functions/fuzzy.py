@@ -23,7 +23,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import C, col
 
@@ -114,6 +114,23 @@ def _vectorised(f):
     return run
 
 
+_MEASURES = {"ratio": ratio, "token_sort": token_sort, "token_set": token_set, "partial": partial, "wratio": wratio}
+
+
+def similarities(names: list[str], a: C, b: C) -> Column:
+    """A struct of several measures of two columns; the texts travel once, and each distinct pair is computed once in a batch."""
+
+    @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in names]))
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        pairs = pd.DataFrame({"a": a, "b": b})
+        known = pairs.dropna().drop_duplicates()
+        for n in names:
+            known[n] = [float(_MEASURES[n](x, y)) for x, y in zip(known["a"], known["b"], strict=True)]
+        return pairs.merge(known.astype({n: "float64" for n in names}), "left", ["a", "b"])[names]
+
+    return run(col(a), col(b))
+
+
 def similarity(name: str, a: C, b: C) -> Column:
     """``ratio, token_sort, token_set, partial`` or ``wratio`` of two columns."""
-    return _vectorised({"ratio": ratio, "token_sort": token_sort, "token_set": token_set, "partial": partial, "wratio": wratio}[name])(col(a), col(b))
+    return _vectorised(_MEASURES[name])(col(a), col(b))

@@ -69,6 +69,12 @@ def shown_count(n: C) -> Column:
     return F.coalesce(F.format_number(col(n), 0), F.lit("N/A"))
 
 
+def method_label(method: C) -> Column:
+    """How the method of an extraction is shown."""
+    m = col(method)
+    return F.when(m.isNull() | (m == "") | (m == "N/A"), "N/A").otherwise(F.lower(m))
+
+
 def stars(r: C) -> Column:
     """Five stars, as many full ones as the rounded rating."""
     n = F.round(col(r)).cast("int")

@@ -83,6 +83,16 @@ def chips(norm: C) -> Column:
     return F.transform(F.regexp_extract_all(col(norm), F.lit(r"(?iU)\bm([1-9])\b"), 1), lambda x: x.cast("int"))
 
 
+def overlap(a: C, b: C) -> Column:
+    """Whether two lists share an entry."""
+    return F.arrays_overlap(col(a), col(b))
+
+
+def common(a: C, b: C) -> Column:
+    """How many distinct entries two lists share."""
+    return F.size(F.array_intersect(col(a), col(b)))
+
+
 def recall(query_tokens: C, title_tokens: C) -> Column:
     q, t = F.transform(col(query_tokens), F.lower), F.transform(col(title_tokens), F.lower)
     hits = F.size(F.filter(q, lambda x: F.array_contains(t, x)))

@@ -51,6 +51,11 @@ def canonical(url: C) -> Column:
     return F.regexp_replace(without_fragment(without_query(url)), "/+$", "")
 
 
+def product_link(url: C) -> Column:
+    """The address of a shown product, where there is one to follow."""
+    return F.when(F.startswith(col(url), F.lit("http")), col(url))
+
+
 def asin(url: C) -> Column:
     return F.nullif(F.upper(F.regexp_extract(col(url), "(?i)/dp/([A-Z0-9]{10})", 1)), F.lit(""))
 

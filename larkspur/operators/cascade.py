@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse, text
+from ..functions import fixed, parse, text
 from ..functions.text import C, col
 from . import filters, matching
 
@@ -45,6 +45,28 @@ def has_price() -> Column:
     return F.coalesce((F.col("status") == "Success") & F.col("price").isNotNull(), F.lit(False))
 
 
+def enough_prices(rows: DataFrame, keys: list[str], least: int = fixed.ENOUGH_PRICES) -> DataFrame:
+    """How many rows of each key have a price, of how many, and whether that is enough."""
+    n = F.count_if(has_price())
+    return rows.groupBy(*keys).agg(n.alias("success_count"), F.count(F.lit(1)).alias("total_sites"), (n >= least).alias("ok"))
+
+
+def output_order(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``place`` of each row among those of its query: by ``site_order``, unknown retailers last, then by the other key ``tie``."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.coalesce("site_order", F.lit(99)), "tie")))
+
+
+def display_order(by: str, group: list[str], tie: str, descending: bool = False) -> Column:
+    """Place of a row within what is shown together, by one column either way; rows without a value come last both ways."""
+    order = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
+    return F.row_number().over(Window.partitionBy(*group).orderBy(order, tie))
+
+
+def not_tried(candidates: DataFrame, tried: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates whose address has not been tried."""
+    return candidates.join(tried.select(*keys), keys, "left_anti")
+
+
 def finalised(rows: DataFrame) -> DataFrame:
     """Success without a price fails; a known page keeps its title and address."""
     bad = (F.col("status") == "Success") & F.col("price").isNull()
@@ -77,6 +99,21 @@ def upserted(rows: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(again.select(*keys), keys, "left_anti").unionByName(again.select(*rows.columns))
 
 
+def second_pass(rows: DataFrame, references: DataFrame, again: DataFrame, threshold: float = fixed.PRICE_GAP) -> DataFrame:
+    """Rows with the outliers among them replaced by what a second run gave; an outlier that it has nothing for failed.
+
+    Without a reference a row is no outlier, and what the second run says is
+    not looked at.
+    """
+    keys = ["query_id", "website"]
+    far = gap_outliers(rows, references, threshold).select(*keys)
+    kept = rows.select(*keys, *[c for c in rows.columns if c not in again.columns and c != "status"]).join(far, keys)
+    redone = kept.join(again, keys, "left")
+    if "status" in rows.columns:
+        redone = redone.withColumn("status", F.coalesce("status", F.lit("Failed")) if "status" in again.columns else F.when(F.col("price").isNull(), "Failed").otherwise("Success"))
+    return upserted(rows, redone, keys)
+
+
 def display(rows: DataFrame) -> DataFrame:
     """Rows as they are shown, all strings."""
     shown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("N/A"))

@@ -79,7 +79,7 @@ def chip_generation(q: Column, t: Column) -> Column:
 
 def screen_size(q: Column, t: Column, url: C) -> Column:
     wanted, has = text.inch_sizes(_n(q), F.array_join(q["model_tokens"], " ")), text.inch_sizes(_n(t), url)
-    return (F.size(wanted) > 0) & (F.size(has) > 0) & ~F.arrays_overlap(wanted, has)
+    return (F.size(wanted) > 0) & (F.size(has) > 0) & ~text.overlap(wanted, has)
 
 
 def year(q: Column, t: Column) -> Column:

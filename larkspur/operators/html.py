@@ -179,14 +179,24 @@ def admission(facts: DataFrame) -> DataFrame:
     return f.withColumn("admitted", F.coalesce(good, F.lit(False))).withColumn("bare", bare)
 
 
-def serp(pages: DataFrame) -> DataFrame:
+def region_prices(prices: DataFrame, keys: list[str]) -> DataFrame:
+    """The lowest and highest price of each region of each page: ``keys, region, low, high``."""
+    return prices.groupBy(*keys, "region").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+
+
+def extractors() -> list[tuple[str, str]]:
+    """The registered extractors, as (retailer, kind of page); the functions behind them take one page."""
+    return [*((w, "serp") for w in _SERP), *((w, "pdp") for w in FIELDS)]
+
+
+def serp(pages: DataFrame, *, tested: bool = False) -> DataFrame:
     """Search pages to ``page_id, website, rank, title, url``.
 
     Rows are admitted by the rules of their retailer; a later path of extraction
     counts where earlier ones gave nothing, and links salvaged from the raw text
-    where no path did. Blocked pages give no rows.
+    where no path did. Blocked pages give no rows; ``tested``: there are none.
     """
-    open_pages = pages.where(~filters.bot_page("html", "website"))
+    open_pages = pages if tested else pages.where(~filters.bot_page("html", "website"))
     rows = admission(serp_facts(open_pages)).where("admitted").select("page_id", "website", "path", "pos", "title", F.col("bare").alias("url"))
     salvaged = salvage(open_pages).select("page_id", "website", F.lit(9).alias("path"), "pos", "title", "url")
     rows = rows.unionByName(salvaged)

@@ -21,6 +21,30 @@ def year_bonus(q: Column, t: Column) -> Column:
     return F.when(F.array_contains(t["years"], F.get(q["years"], F.lit(0))), 5.0).otherwise(0.0)
 
 
+def listings_of(listings: DataFrame, queries: DataFrame, keys: list[str], keep: Column) -> DataFrame:
+    """The listings of each query that pass its filters: an equi join on what they share, filtered before it where a side allows."""
+    return listings.where(keep).join(queries, keys)
+
+
+def source_rank(rows: DataFrame, values: str, name: str) -> DataFrame:
+    """A row for each entry of a list, ranked by its position (from 1), with gaps where entries are dropped later."""
+    rest = [c for c in rows.columns if c != values]
+    return rows.select(*rest, F.posexplode(values).alias("__pos", name)).withColumn("rank", F.col("__pos") + 1).drop("__pos")
+
+
+def distinct_in_order(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """``value`` as a list of its distinct entries for each key, in the order in which they first came."""
+    first = rows.groupBy(*keys, value).agg(F.min(order).alias("__at"))
+    listed = F.array_sort(F.collect_list(F.struct("__at", value)))
+    return first.groupBy(*keys).agg(F.transform(listed, lambda x: x[value]).alias(value))
+
+
+def with_scores(rows: DataFrame, candidates: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Rows with the score of the first candidate of their address, zero where there is none."""
+    first = candidates.groupBy(*keys).agg(F.min_by("score", order).alias("score"))
+    return rows.join(first, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def scored(listings: DataFrame) -> DataFrame:
     """Listings ``(query, title, url, query_form, title_form, ...)`` with ``filtered`` and the score's parts.
 
@@ -31,7 +55,8 @@ def scored(listings: DataFrame) -> DataFrame:
     marked = listings.withColumn("filtered", filters.reason(q, t, "url"))
     passes = F.col("filtered").isNull()
     pair = (F.when(passes, q["normalized"]), F.when(passes, t["normalized"]))
-    marked = marked.withColumn("wratio", fuzzy.similarity("wratio", *pair)).withColumn("token_set", fuzzy.similarity("token_set", *pair))
+    similar = fuzzy.similarities(["wratio", "token_set"], *pair)
+    marked = marked.withColumn("__similar", similar).withColumn("wratio", F.col("__similar.wratio")).withColumn("token_set", F.col("__similar.token_set")).drop("__similar")
     marked = marked.withColumn("model_recall", text.recall(q["model_tokens"], t["model_tokens"]) * 100).withColumn("year_bonus", year_bonus(q, t))
     marked = marked.withColumn("condition_penalty", text.condition_penalty("query", "title"))
     total = score(F.col("wratio"), F.col("token_set"), F.col("model_recall"), F.col("year_bonus"), text.bundle_penalty(q["normalized"], t["normalized"]), F.col("condition_penalty"))

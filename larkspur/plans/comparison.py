@@ -2,48 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, parse
+from ..functions import fixed, fuzzy, parse, urls
 from ..operators import cascade, filters, html, judge, matching
 from ..session import checkpointed
 from ..sources import tables
 
+GROUP = matching.GROUP
+#: Where a listing comes from, in the order in which these are turned to: search pages, refined searches, known pages, a web search.
+SERP, REFINED, KNOWN, DISCOVERED = range(4)
+PAGE = [*GROUP, "source", "stage"]
 
-def compare(queries: DataFrame, plans: DataFrame, captures: DataFrame, references: DataFrame, title_verdicts: DataFrame, price_verdicts: DataFrame) -> DataFrame:
+
+def offers(planned: DataFrame, served: DataFrame, about: DataFrame, discovered: DataFrame | None) -> DataFrame:
+    """Listings ``query_id, website, source, stage, rank, title, url`` from everywhere; of search pages those of the first one that has any."""
+    columns = [*PAGE, "rank", "title", "url"]
+    source = F.when(F.col("kind") == "serp", SERP).otherwise(REFINED).alias("source")
+    parsed = checkpointed(html.serp(served.where("kind IN ('serp', 'refined')"), tested=True)).drop("website")
+    parsed = parsed.join(about.select("page_id", *GROUP, source, "stage"), "page_id").select(*columns)
+    found = cascade.first_stage(parsed.where(F.col("source") == SERP), GROUP).unionByName(parsed.where(F.col("source") == REFINED))
+    asked = planned.select(*GROUP, F.col("domain").alias("site_domain"), F.col("match_query").alias("user_query"))
+    known = tables.catalogued(asked, (*GROUP, "site_domain")).where("domain = site_domain")
+    found = found.unionByName(known.select(*GROUP, F.lit(KNOWN).alias("source"), F.lit(0).alias("stage"), "rank", "title", "url"))
+    if discovered is not None:
+        given = tables.discovered(discovered.join(planned.select(*GROUP, "domain"), GROUP))
+        found = found.unionByName(given.select(*GROUP, F.lit(DISCOVERED).alias("source"), F.lit(0).alias("stage"), "rank", "title", "url"))
+    return found.join(planned.select(*GROUP, F.col("match_query").alias("query")), GROUP)
+
+
+def acceptable(listings: DataFrame, title_verdicts: DataFrame) -> DataFrame:
+    """The listings that may be matched, each with its ``place`` on its page and score; known pages and finds score 100."""
+    formed = filters.with_forms(listings, "query", "title")
+    pages = filters.drop_accessories(formed.where(F.col("source") <= REFINED), PAGE)
+    ranked = matching.ranked(matching.candidates(pages, PAGE), PAGE)
+    q, t = F.col("query_form"), F.col("title_form")
+    fits = ~filters.model(q, t, "url") & ~filters.accessory(q, t) & (F.lower("title") != q["normalized"])
+    given = formed.where((F.col("source") == KNOWN) | ((F.col("source") == DISCOVERED) & fits)).withColumn("score", F.lit(100.0)).withColumn("place", F.col("rank"))
+    tier = matching.accept_tier().isNotNull() & ~filters.skip_candidate("query", q, "title", t, "url")
+    both = ranked.withColumn("good", tier).unionByName(given.withColumn("good", F.lit(True)), allowMissingColumns=True)
+    judged = judge.titles(both.withColumn("expected", F.col("query")).withColumn("scraped", F.col("title")), title_verdicts)
+    return judged.where("good AND match").select(*PAGE, "place", "query", F.col("title").alias("serp_title"), "url", "score")
+
+
+def matched(valid: DataFrame, gone: DataFrame) -> DataFrame:
+    """The match of each query and retailer: the first acceptable listing; where its page is gone, the first known page or find that isn't."""
+    flagged = valid.join(gone.select("url", F.lit(True).alias("gone")), "url", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    order = F.struct("source", "stage", "place", "url")
+    row = F.struct("source", "stage", "place", "url", "serp_title", "score", "gone")
+    later = F.when((F.col("source") >= KNOWN) & ~F.col("gone"), order)
+    picked = flagged.groupBy(*GROUP).agg(F.min_by(row, order).alias("first"), F.min_by(row, later).alias("later"))
+    chosen = picked.select(*GROUP, F.when(F.col("first.gone"), F.col("later")).otherwise(F.col("first")).alias("m"))
+    return chosen.where("m IS NOT NULL").select(*GROUP, "m.*").drop("gone")
+
+
+def extracted(valid: DataFrame, match: DataFrame, fields: DataFrame, price_verdicts: DataFrame) -> DataFrame:
+    """Fields of the match's product page, or of what is tried next: ``GROUP, stage, method, url, score`` and the fields.
+
+    A page's first valid stage counts; where its price is refused, its later
+    stages are tried, then the next acceptable listings of the same search page. A
+    match whose extracted title is an accessory or another model failed.
+    """
+    m = match.select(*GROUP, F.col("source").alias("m_source"), F.col("stage").alias("m_stage"), F.col("place").alias("m_place"))
+    same = valid.join(m, GROUP).where("source = m_source AND stage = m_stage AND place >= m_place")
+    attempt = F.row_number().over(Window.partitionBy(*GROUP).orderBy("place", "url"))
+    listed = same.withColumn("attempt", attempt).where(F.col("attempt") <= 1 + fixed.MAX_ATTEMPTS).select(*GROUP, "attempt", "query", "serp_title", "url", "score")
+    tries = listed.join(fields.where(F.col("reject_reason").isNull()).select(*GROUP, "url", "stage", "method", *cascade.FIELDS), [*GROUP, "url"])
+    checked = cascade.rechecked(filters.with_forms(tries, "query", "title").withColumn("status", F.lit("Success")))
+    odd = cascade.unscored_sanity("query", "serp_title", "title", fuzzy.similarity("token_set", F.lower("query"), F.lower("title")))
+    judged = judge.prices(checked.withColumn("odd", odd), price_verdicts)
+    good = (F.col("status") == "Success") & ~F.col("odd") & F.col("plausible")
+    row = F.struct("stage", "method", "url", "score", *cascade.FIELDS)
+    own = F.min_by("status", F.when(F.col("attempt") == 1, F.col("stage"))).alias("own")
+    found = judged.groupBy(*GROUP).agg(own, F.min_by(row, F.when(good, F.struct("attempt", "stage"))).alias("found"))
+    return found.where("coalesce(own, 'Success') = 'Success' AND found IS NOT NULL").select(*GROUP, "found.*")
+
+
+def compare(
+    queries: DataFrame, plans: DataFrame, captures: DataFrame, references: DataFrame, title_verdicts: DataFrame, price_verdicts: DataFrame, *, discovered: DataFrame | None = None, second: DataFrame | None = None
+) -> DataFrame:
     """Queries ``(query_id, user_query)`` and captures ``(page_id, query_id, website, kind, stage, method, url, http_status, html)``.
 
-    Search captures give listings, of which the best acceptable one that no
-    title verdict refuses is matched; product captures of its address give
-    fields, the first valid stage of them counts; prices are judged, compared
-    with references, and every query has a row for every retailer.
+    Search captures (kind *serp*, then *refined*) give listings, known pages and
+    ``discovered`` ones ``(query_id, website, title, url)`` come after them. The best
+    acceptable one that no title verdict refuses is matched; product captures
+    (*pdp*) of its address give fields, with what ``extracted`` tries after them.
+    Prices are judged and compared with references; outliers are replaced by the
+    row of a ``second`` run ``(query_id, website, title, price, ...)`` where there was
+    one. Every query has a row for every retailer; a failed row of a known page
+    keeps its title and address.
     """
     spark = queries.sparkSession
-    sites = tables.retailers(spark)
-    planned = checkpointed(cascade.planned(tables.asked(queries), sites, plans))
+    planned = checkpointed(cascade.planned(tables.asked(queries), tables.retailers(spark), plans))
     served = tables.usable_captures(captures)
     # what a page is about is joined from its narrow columns, so that its text is read for parsing alone
-    about = captures.select("page_id", "query_id", "website", "stage", "method", "url")
-    # pages are parsed once: what they give is written before it is joined, scored and judged
-    listings = checkpointed(html.serp(served.where("kind = 'serp'"))).drop("website").join(about.select("page_id", "query_id", "website", "stage"), "page_id")
-    listings = cascade.first_stage(listings, matching.GROUP).join(planned.select("query_id", "website", F.col("match_query").alias("query")), matching.GROUP)
-    listings = filters.drop_accessories(filters.with_forms(listings, "query", "title"), matching.GROUP)
-    ranked = matching.ranked(matching.candidates(listings))
-    judged = judge.titles(ranked.withColumn("expected", F.col("query")).withColumn("scraped", F.col("title")), title_verdicts)
-    ok = F.col("match") & ~filters.skip_candidate("query", F.col("query_form"), "title", F.col("title_form"), "url") & matching.accept_tier().isNotNull()
-    matched = checkpointed(matching.first_valid(judged, ok, F.lit(True)).select("query_id", "website", F.col("url").alias("matched_url"), "score"))
-    fields = checkpointed(html.product_fields(served.where("kind = 'pdp'"))).drop("website").join(about, "page_id")
-    hits = fields.join(matched, (fields.query_id == matched.query_id) & (fields.website == matched.website) & (fields.url == matched.matched_url)).drop(matched.query_id, matched.website)
-    found = cascade.first_success(hits, matching.GROUP, keep=["stage", "method", "url", "score", *cascade.FIELDS])
-    asked = planned.select("query_id", "website", F.col("match_query").alias("query"))
-    found = cascade.rechecked(filters.with_forms(found.join(asked, matching.GROUP), "query", "title").withColumn("status", F.lit("Success")))
-    found = found.where("status = 'Success'").drop("status", "query", "query_form", "title_form")
-    found = judge.prices(found, price_verdicts).where("plausible")
-    rows = cascade.always(planned, found.withColumn("status", cascade.status("title", "price")))
-    expected = references.where(F.col("ref_price") > 0).select("query_id", "website", "ref_price")
+    about = captures.select("page_id", *GROUP, "kind", "stage", "method", "url", "http_status")
+    valid = checkpointed(acceptable(offers(planned, served, about, discovered), title_verdicts))
+    gone = about.where((F.col("kind") == "pdp") & ~urls.reachable("url", F.col("http_status"))).select("url").distinct()
+    match = checkpointed(matched(valid, gone))
+    # pages are parsed once: what they give is written before it is joined and judged
+    fields = checkpointed(html.product_fields(served.where("kind = 'pdp'"))).drop("website").join(about.select("page_id", *GROUP, "stage", "method", "url"), "page_id")
+    found = extracted(valid, match, fields, price_verdicts).withColumn("status", cascade.status("title", "price"))
+    known = match.where(F.col("source") == KNOWN).select(*GROUP, F.col("serp_title").alias("known_title"), F.col("url").alias("known_url"))
+    rows = cascade.always(planned, found).join(known, GROUP, "left").withColumn("known", F.col("known_url").isNotNull() & (F.col("status") != "Success"))
+    rows = rows.withColumn("title", F.when(F.col("known"), F.col("known_title")).otherwise(F.col("title"))).withColumn("url", F.when(F.col("known"), F.col("known_url")).otherwise(F.col("url")))
+    rows = cascade.finalised(rows.withColumn("status", F.when(F.col("known"), "Success").otherwise(F.col("status")))).select(*GROUP, "site_order", *cascade.FIELDS, "status", "method", "url")
+    expected = references.where(F.col("ref_price") > 0).select(*GROUP, "ref_price")
     far = (F.col("price") > 0) & (parse.gap("price", "ref_price") > fixed.PRICE_GAP)
-    rows = rows.join(expected, matching.GROUP, "left").withColumn("price_outlier", F.coalesce(far, F.lit(False)))
+    rows = rows.join(expected, GROUP, "left").withColumn("price_outlier", F.coalesce(far, F.lit(False))).drop("ref_price")
+    if second is not None:
+        rows = cascade.second_pass(rows, expected, second)
     return rows.withColumn("trust_label", judge.trust("average_rating", "review_count")).select(
         "query_id", "site_order", "website", "title", "price", "average_rating", "review_count", "status", "method", "url", "price_outlier", "trust_label"
     ).orderBy("query_id", "site_order")

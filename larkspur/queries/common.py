@@ -44,6 +44,11 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({columns}))"
 
 
+def expect(rows: list[tuple], columns: str) -> str:
+    """SQL for the rows that a query on fixed input has to give."""
+    return f"SELECT * FROM {values(rows, columns)}"
+
+
 def array(strings: list[str]) -> str:
     return "[" + ", ".join(map(literal, strings)) + "]"
 

@@ -11,8 +11,9 @@ from ..functions import fixed, text
 from ..operators import cascade, html, matching
 from ..session import shared_dir
 from ..sources import sinks, tables
+from ..sources.settings import Settings
 from ..streaming import jobs
-from .common import formed_pairs, on_pairs, query, table, values
+from .common import expect, formed_pairs, on_pairs, query, table, values
 from .pages import ANSWERS, PLANS, serp_pages
 from .relational import PLACED, scored
 from .scalars import DUCK_CHIPS
@@ -105,7 +106,19 @@ def ag05(spark, d):
     return formed_pairs(spark, d).select("pair_id", F.array_max(c).alias("newest"), F.array_min(c).alias("oldest"))
 
 
-@query("FL-16_serp_admission")
+SONY, CASE, HARD = "Sony WH-1000XM5 Headphones", "Case for Sony headphones", "Headphones hard case"
+ADMITTED = [
+    (1, "Amazon.com", 0, 0, SONY, True), (1, "Amazon.com", 0, 1, CASE, True), (1, "Amazon.com", 0, 2, "Sony sponsored row", False), (1, "Amazon.com", 0, 3, "See options", False),
+    (1, "Amazon.com", 1, 4, SONY, True), (1, "Amazon.com", 1, 5, CASE, True), (1, "Amazon.com", 1, 6, "Sony sponsored row", True), (1, "Amazon.com", 1, 7, "See options", False),
+    (2, "BestBuy.com", 0, 0, "Sony WH-1000XM5 Wireless Headphones", True), (2, "BestBuy.com", 0, 1, "Sony WH-1000XM5 again", True),
+    (2, "BestBuy.com", 1, 2, "Sony WH-1000XM5 Wireless Headphones", True), (2, "BestBuy.com", 1, 3, "Sony WH-1000XM5 again", True),
+    (3, "Walmart.com", 0, 0, "Sony WH-1000XM5 Headphones Black", True), (3, "Walmart.com", 0, 1, "Other Sponsored Headphones", False),
+    (4, "Newegg.com", 0, 0, SONY, True), (4, "Newegg.com", 0, 1, HARD, False), (4, "Newegg.com", 0, 2, SONY, True), (4, "Newegg.com", 0, 3, HARD, True), (4, "Newegg.com", 1, 4, SONY, True), (4, "Newegg.com", 1, 5, HARD, True),
+    (7, "Walmart.com", 0, 0, "hidden listing", True), (8, "Amazon.com", 1, 0, "Lenovo Tab P12 tablet 128GB", True),
+]
+
+
+@query("FL-16_serp_admission", expect(ADMITTED, "page_id, website, path, pos, title, admitted"))
 def fl16(spark, d):
     return html.admission(html.serp_facts(serp_pages(spark))).select("page_id", "website", "path", "pos", "title", "admitted")
 
@@ -140,3 +153,27 @@ def ca06(spark, d):
     failed = ranked.where("place = 1 AND event_type = 'view'").select("user_id", F.col("event_id").alias("tried"))
     rest = ranked.join(failed, "user_id").where("event_id <> tried")
     return matching.first_valid(rest, F.col("event_type") != "view", F.lit(True), ["user_id"], fixed.MAX_ATTEMPTS).select("user_id", "event_id")
+
+
+ENV = [(0, {}), (1, {"LLM_PRICE_VERIFY": "off", "PRICE_GAP_RESCRAPE": " 0 "}), (2, {"MIN_MATCH_SCORE_SOFT_FLOOR": "60", "PRICE_GAP_RESCRAPE_THRESHOLD": "x"}), (3, {"PAGE_SETTLE_MIN_S": "9", "PAGE_SETTLE_MAX_S": "2"})]
+
+
+@query("SRC-10_settings", expect([(0, 42.0, 0.2, True, True, 3.0, 8.0), (1, 42.0, 0.2, False, False, 3.0, 8.0), (2, 47.9, 0.2, True, True, 3.0, 8.0), (3, 42.0, 0.2, True, True, 2.0, 9.0)], "i, soft_floor, price_gap, price_gap_enabled, price_verify, settle_min_s, settle_max_s"))
+def src10(spark, d):
+    read = [(i, Settings.from_env(env)) for i, env in ENV]
+    rows = [(i, s.soft_floor, s.price_gap, s.price_gap_enabled, s.price_verify, s.settle_min_s, s.settle_max_s) for i, s in read]
+    return spark.createDataFrame(rows, "i int, soft_floor double, price_gap double, price_gap_enabled boolean, price_verify boolean, settle_min_s double, settle_max_s double")
+
+
+@query("UD-01_extractors", expect([(w, k) for _, w, _, _ in fixed.RETAILERS for k in ("serp", "pdp")], "website, kind"))
+def ud01(spark, d):
+    return spark.createDataFrame(html.extractors(), "website string, kind string")
+
+
+FINDS = [(1, "Amazon.com", "amazon.com", " Sony XM5 ", " https://www.amazon.com/dp/B0AAAAAAA1#x "), (1, "BestBuy.com", "bestbuy.com", "Sony", "https://www.bestbuy.com/product/sony/JJ8"), (2, "Walmart.com", "walmart.com", "", "https://www.walmart.com/ip/x/731473988"), (2, "Newegg.com", "newegg.com", "Search", "https://www.newegg.com/p/pl?d=x")]
+
+
+@query("SRC-06_discovered", expect([(1, "Amazon.com", 1, "Sony XM5", "https://www.amazon.com/dp/B0AAAAAAA1"), (1, "BestBuy.com", 1, "Sony", "https://www.bestbuy.com/product/sony/JJ8")], "query_id, website, rank, title, url"))
+def src06(spark, d):
+    found = spark.createDataFrame(FINDS, "query_id int, website string, domain string, title string, url string")
+    return tables.discovered(found).select("query_id", "website", "rank", "title", "url")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed, parse, text, urls
 from ..operators import cascade, html, judge, matching
 from ..plans import comparison
-from ..sources import tables
+from ..sources import sinks, tables
 from ..streaming import progress
-from .common import formed_pairs, query, table, values
+from .common import expect, formed_pairs, query, table, values
 
 # Captured search and product pages of the four retailers.
 
@@ -67,6 +67,27 @@ def pdp_pages(spark):
     return spark.createDataFrame(PDPS, "page_id int, query_id int, website string, url string, html string")
 
 
+#: What the fixed pages and bodies above have to give.
+HOSTED = [(1, "walmart.com", 1, "Sony WH-1000XM5", "https://www.walmart.com/ip/Sony/731473988"), (2, "bestbuy.com", 1, "Lenovo Tab P12", "https://www.bestbuy.com/site/product/6551465.p")]
+NEWEGG = [(4, 1, "Sony WH-1000XM5 Headphones", "https://www.newegg.com/sony-wh-1000xm5/p/0TH-000U-00JF1?Item=9SIA"), (4, 2, "Headphones hard case", "https://www.newegg.com/case/p/0TH-000U-00CASE"), (6, 1, "Newegg 3C6-0002-009C6", "https://www.newegg.com/p/3C6-0002-009C6")]
+LISTED = [
+    (1, "Amazon.com", 1, "Sony WH-1000XM5 Headphones", "https://www.amazon.com/sony-wh-1000xm5-headphones/dp/B0AAAAAAA1"), (1, "Amazon.com", 2, "Case for Sony headphones", "https://www.amazon.com/case-for-sony-headphones/dp/B0AAAAAAA2"),
+    (2, "BestBuy.com", 1, "Sony WH-1000XM5 Wireless Headphones", "https://www.bestbuy.com/site/sony-wh1000xm5/6505727.p"), (3, "Walmart.com", 1, "Sony WH-1000XM5 Headphones Black", "https://www.walmart.com/ip/Sony-WH-1000XM5/731473988"),
+    *((p, "Newegg.com", r, t, u) for p, r, t, u in NEWEGG), (5, "BestBuy.com", 1, "Lenovo Tab P12", "https://www.bestbuy.com/site/lenovo-tab-p12/6551465.p"), (5, "BestBuy.com", 2, "Product", "https://www.bestbuy.com/site/product/6551465.p"),
+    (8, "Amazon.com", 1, "Lenovo Tab P12 tablet 128GB", "https://www.amazon.com/dp/B0CCCCCCC1"),
+]
+FACTS = [
+    (11, "all", 2, "$348.00", 348.0, False, False, False), (11, "all", 3, "$20.00", 20.0, True, False, False), (11, "p0", 0, "$348.00", 348.0, False, False, False), (11, "p0", 1, "$20.00", 20.0, True, False, False), (11, "s0", 4, "$348.00", 348.0, False, False, False),
+    (15, "all", 5, "$133.25", 133.25, False, False, True), (15, "all", 6, "$1,599.00", 1599.0, False, False, False), (15, "b0", 0, "$133.25", 133.25, False, False, True), (15, "b0-", 3, "", None, False, False, False),
+    (15, "b2", 1, "$1,599.00", 1599.0, False, False, False), (15, "b2-", 4, "", None, False, False, False), (15, "r2", 2, "$1,599.00", 1599.0, False, False, False),
+    (16, "all", 1, "$542.00", 542.0, False, False, False), (16, "p1", 0, "$542.00", 542.0, False, False, False), (16, "strike", 2, "$1,496.00", 1496.0, False, False, False),
+]
+SAID = [
+    ("start", "Amazon.com", "Starting your search…"), ("site_started", "BestBuy.com", "Checking Best Buy…"), ("site_finished", "Walmart.com", "Finished with Walmart — found a price."),
+    ("site_finished", "Newegg.com", "Finished with Newegg — no price found this time."), ("recheck_site", "Other.com", "Checking Other again…"), ("wrapping_up", "Amazon.com", "Putting your table together…"),
+    ("done", "Amazon.com", "Search finished, but we couldn't find prices on any store."), ("done", "Amazon.com", "All done! Here is your comparison."), ("done", "Amazon.com", "All done! We found prices on 3 of 4 stores."),
+]
+
 # sources and sinks
 
 ASKED = [(1, "  sony headphones "), (2, ""), (3, "   "), (4, "x" * 501), (5, "lenovo tab p12")]
@@ -83,12 +104,12 @@ def src02(spark, d):
     return tables.usable_captures(p).select("page_id")
 
 
-@query("SRC-04_hosted_fields")
+@query("SRC-04_hosted_fields", expect([(1, "Sony", 348.0, 4.6, 1234, None), (2, "Sony", None, None, None, "missing price"), (3, "Access Denied", 5.0, None, None, "generic page title")], "page_id, title, price, average_rating, review_count, reject_reason"))
 def src04(spark, d):
-    return tables.hosted_fields(spark.createDataFrame(FIELD_BODIES, "page_id int, body string"))
+    return tables.hosted_fields(spark.createDataFrame(FIELD_BODIES, "page_id int, body string")).withColumn("price", F.col("price").cast("double"))
 
 
-@query("SRC-05_hosted_serp")
+@query("SRC-05_hosted_serp", expect(HOSTED, "page_id, domain, rank, title, url"))
 def src05(spark, d):
     return tables.hosted_serp(spark.createDataFrame(BODIES, "page_id int, domain string, body string"))
 
@@ -120,21 +141,31 @@ def sink01(spark, d):
     return cascade.display(p).select("p_partkey", text.truncated("product_title").alias("title"), F.col("price_shown").alias("price"))
 
 
-@query("SINK-02_response_json", "SELECT r_regionkey AS query_id, '[' || string_agg('{\"k\":' || n_nationkey || ',\"n\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']' AS body FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SINK-02_response_json", """
+    SELECT user_id AS query_id, '{"rows":[' || string_agg('{"site_order":' || event_id || ',"website":"' || event_type || '","title":"t","price":1.5,"status":"' || CASE WHEN event_type <> 'view' THEN 'Success' ELSE 'Failed' END
+            || '","method":"http","has_price":' || CASE WHEN event_type <> 'view' THEN 'true' ELSE 'false' END || '}', ',' ORDER BY event_id)
+        || '],"success_count":' || count(*) FILTER (event_type <> 'view') || ',"total_sites":' || count(*) || ',"checks_skipped":[{"component":"title verify","consequence":"c","cause":"no key"},{"component":"price verify","consequence":"c","cause":"quota"}]}' AS body
+    FROM events GROUP BY 1""")
 def sink02(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("query_id"), F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")).alias("row"))
-    return n.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list("row"))).alias("body"))
+    status = F.when(F.col("event_type") != "view", "Success").otherwise("Failed")
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("query_id"), F.col("event_id").alias("site_order"), F.col("event_type").alias("website"), F.lit("t").alias("title"), F.lit(1.5).alias("price"),
+        F.lit(None).cast("double").alias("average_rating"), F.lit(None).cast("bigint").alias("review_count"), status.alias("status"), F.lit("http").alias("method"),
+    )
+    skipped = spark.createDataFrame([("price verify", "c", "quota", 2), ("title verify", "c", "no key", 1)], "component string, consequence string, cause string, component_order int")
+    return sinks.response_json(rows, skipped)
 
 
 @query("SINK-05_enough_prices", "SELECT user_id, count(*) FILTER (event_type = 'purchase') >= 3 AS ok FROM events GROUP BY 1")
 def sink05(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "purchase") >= 3).alias("ok"))
+    rows = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "purchase", "Success").otherwise("Failed").alias("status"), F.col("event_id").alias("price"))
+    return cascade.enough_prices(rows, ["user_id"]).select("user_id", "ok")
 
 
 MESSAGES = [("start", "Amazon.com", False, 0), ("site_started", "BestBuy.com", False, 0), ("site_finished", "Walmart.com", True, 1), ("site_finished", "Newegg.com", False, 1), ("recheck_site", "Other.com", False, 1), ("wrapping_up", "Amazon.com", False, 2), ("done", "Amazon.com", False, 0), ("done", "Amazon.com", False, 4), ("done", "Amazon.com", False, 3)]
 
 
-@query("SF-32_messages")
+@query("SF-32_messages", expect(SAID, "kind, website, message"))
 def sf32(spark, d):
     m = spark.createDataFrame(MESSAGES, "kind string, website string, got boolean, success int")
     return m.select("kind", "website", progress.message("kind", "website", "got", "success", F.lit(4)).alias("message"))
@@ -143,7 +174,7 @@ def sf32(spark, d):
 # JSON
 
 
-@query("JS-01_products")
+@query("JS-01_products", expect([(1, 0, 0, "A"), (1, 1, 1, "B"), (2, 0, 0, ""), (2, 0, 1000, "C")], "page_id, pos, item, name"))
 def js01(spark, d):
     p = html.json_ld_products(spark.createDataFrame(LD, "page_id int, pos int, body string"), ["page_id"])
     return p.select("page_id", "pos", "item", F.try_variant_get("product", "$.name", "string").alias("name"))
@@ -208,29 +239,29 @@ def _serp_of(website: str):
 
 
 def _expect(rows, columns="page_id, rank, title, url"):
-    return f"SELECT * FROM {values(rows, columns)}"
+    return expect(rows, columns)
 
 
 query("EX-01_amazon_serp", _expect([(1, 1, "Sony WH-1000XM5 Headphones", "https://www.amazon.com/sony-wh-1000xm5-headphones/dp/B0AAAAAAA1"), (1, 2, "Case for Sony headphones", "https://www.amazon.com/case-for-sony-headphones/dp/B0AAAAAAA2"), (8, 1, "Lenovo Tab P12 tablet 128GB", "https://www.amazon.com/dp/B0CCCCCCC1")]))(_serp_of("Amazon.com"))
 query("EX-02_bestbuy_serp", _expect([(2, 1, "Sony WH-1000XM5 Wireless Headphones", "https://www.bestbuy.com/site/sony-wh1000xm5/6505727.p"), (5, 1, "Best Buy SKU 6551465", "https://www.bestbuy.com/site/product/6551465.p")]) + " WHERE page_id = 2 UNION ALL " + _expect([(5, 1, "Lenovo Tab P12", "https://www.bestbuy.com/site/lenovo-tab-p12/6551465.p"), (5, 2, "Product", "https://www.bestbuy.com/site/product/6551465.p")]))(_serp_of("BestBuy.com"))
 query("EX-03_walmart_serp", _expect([(3, 1, "Sony WH-1000XM5 Headphones Black", "https://www.walmart.com/ip/Sony-WH-1000XM5/731473988")]))(_serp_of("Walmart.com"))
-query("EX-04_newegg_serp")(_serp_of("Newegg.com"))
+query("EX-04_newegg_serp", _expect(NEWEGG))(_serp_of("Newegg.com"))
 
 
-@query("EX-05_salvage")
+@query("EX-05_salvage", expect([(4, "Newegg.com", 0, "Newegg 0TH-000U-00JF1", "https://www.newegg.com/sony-wh-1000xm5/p/0TH-000U-00JF1?Item=9SIA"), (5, "BestBuy.com", 0, "Lenovo Tab P12", "https://www.bestbuy.com/site/lenovo-tab-p12/6551465.p"), (5, "BestBuy.com", 1, "Product", "https://www.bestbuy.com/site/product/6551465.p"), (6, "Newegg.com", 0, "Newegg 3C6-0002-009C6", "https://www.newegg.com/p/3C6-0002-009C6")], "page_id, website, pos, title, url"))
 def ex05(spark, d):
     return html.salvage(serp_pages(spark)).select("page_id", "website", "pos", "title", "url")
 
 
-@query("EX-06_serp_dispatch")
+@query("EX-06_serp_dispatch", expect(LISTED, "page_id, website, rank, title, url"))
 def ex06(spark, d):
     return html.serp(serp_pages(spark).drop("query_id")).select("page_id", "website", "rank", "title", "url")
 
 
-@query("EX-08_price_facts")
+@query("EX-08_price_facts", expect(FACTS, "page_id, region, pos, raw, price, in_addon, teaser, financing"))
 def ex08(spark, d):
     f = html.product_facts(pdp_pages(spark).where("website = 'Amazon.com'"))
-    return f.select("page_id", F.explode(html.judged_prices()).alias("x")).select("page_id", "x.*")
+    return f.select("page_id", F.explode(html.judged_prices()).alias("x")).select("page_id", "x.*").withColumn("price", F.col("price").cast("double"))
 
 
 @query("EX-07_product_fields", _expect([(11, "Sony WH-1000XM5 Headphones", 348.0), (12, "Sony WH-1000XM5 Wireless Headphones", 399.99), (13, "Sony WH-1000XM5 Headphones Black", 329.5), (14, "Sony WH-1000XM5 Headphones", None), (15, "Apple MacBook Pro 14 inch M5", 1599.0), (16, "Apple MacBook Air M4", 1496.0)], "page_id, title, price"))
@@ -264,7 +295,7 @@ def ur04(spark, d):
     return f.groupBy("page_id", F.col("absolute").alias("link")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("EX-13_model_serp")
+@query("EX-13_model_serp", expect(HOSTED, "page_id, domain, rank, title, url"))
 def ex13(spark, d):
     return tables.model_serp(spark.createDataFrame(BODIES, "page_id int, domain string, body string"))
 
@@ -313,17 +344,48 @@ def ca04(spark, d):
     return compared(spark).select("query_id", "website", F.col("price").cast("double").alias("price"), "status", "price_outlier")
 
 
+def part_captures(spark, d):
+    """A search page and a product page for each part, at one retailer each: captures that grow with the table."""
+    p = table(spark, d, "part")
+    site, key = (F.col("p_partkey") % 4).cast("int"), F.col("p_partkey").cast("string")
+    name = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("item"))
+    slug = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-")
+    of = lambda *cases: F.coalesce(*(F.when(site == k, c) for k, c in enumerate(cases)))
+    number = F.format_string("731%07d", "p_partkey")
+    path = of(F.format_string("/dp/B%09d", "p_partkey"), F.concat(F.lit("/site/"), slug, F.lit("/"), number, F.lit(".p")), F.concat(F.lit("/ip/"), slug, F.lit("/"), number), F.concat(F.lit("/"), slug, F.lit("/p/0TH-"), number))
+    home = of(*(F.lit(f"https://www.{r[2]}") for r in fixed.RETAILERS))
+    link = F.concat(F.lit("<a href='"), home, path, F.lit("'>"), name, F.lit("</a>"))
+    card = of(
+        F.concat(F.format_string("<div data-component-type='s-search-result' data-asin='B%09d'><h2>", "p_partkey"), link, F.lit("</h2></div>")), F.concat(F.lit("<li class='sku-item'><h4 class='sku-title'>"), link, F.lit("</h4></li>")),
+        F.concat(F.lit("<div data-item-id='1'>"), link, F.lit("</div>")), F.concat(F.lit("<div class='item-cell'>"), F.replace(link, F.lit("<a "), F.lit("<a class='item-title' ")), F.lit("</div>")),
+    )
+    product = F.to_json(F.struct(F.lit("Product").alias("@type"), name.alias("name"), F.struct(F.round("p_retailprice", 2).alias("price")).alias("offers")))
+    page = F.concat(F.lit("<html><script type='application/ld+json'>"), product, F.lit("</script><h1>"), name, F.lit("</h1></html>"))
+    website = of(*(F.lit(r[1]) for r in fixed.RETAILERS))
+    row = lambda k, kind, url, html_: F.struct((F.col("p_partkey") * 2 + k).alias("page_id"), F.col("p_partkey").alias("query_id"), website.alias("website"), F.lit(kind).alias("kind"), F.lit(1).alias("stage"), F.lit("http").alias("method"), url.alias("url"), F.lit(200).alias("http_status"), html_.alias("html"))
+    return p.select(F.explode(F.array(row(0, "serp", F.concat(home, F.lit("/s?k="), key), F.concat(F.lit("<html>"), card, F.lit("</html>"))), row(1, "pdp", F.concat(home, path), page))).alias("c")).select("c.*")
+
+
+@query("CA-04_comparison_of_parts", """
+    SELECT p_partkey AS query_id, w AS website, CASE WHEN k = p_partkey % 4 THEN round(p_retailprice, 2) END AS price, CASE WHEN k = p_partkey % 4 THEN 'Success' ELSE 'Failed' END AS status
+    FROM part, (SELECT unnest(['Amazon.com', 'BestBuy.com', 'Walmart.com', 'Newegg.com']) AS w, unnest(range(4)) AS k)""")
+def ca04_parts(spark, d):
+    """The whole plan over a table of pages that grows with the data."""
+    q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("user_query"))
+    nothing = lambda ddl: spark.createDataFrame([], ddl)
+    rows = comparison.compare(
+        q, nothing("query_id bigint, website string, search_query string, match_query string"), part_captures(spark, d), nothing("query_id bigint, website string, ref_price decimal(38,10)"),
+        nothing("expected string, scraped string, match boolean"), nothing("website string, title string, price decimal(38,10), plausible boolean"),
+    )
+    return rows.select("query_id", "website", F.col("price").cast("double").alias("price"), "status")
+
+
 @query("CA-05_price_check", "SELECT l_orderkey, CASE WHEN min(l_linenumber) FILTER (l_discount < 0.05) IS NULL THEN 'Failed' ELSE 'Success' END AS status FROM lineitem GROUP BY 1")
 def ca05(spark, d):
     tries = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("try_order"), F.col("l_extendedprice").alias("price"), (F.col("l_discount") < 0.05).alias("passes"))
     return cascade.price_checked(tries, ["l_orderkey"]).select("l_orderkey", "status")
 
 
-@query("CA-07_recheck")
-def ca07(spark, d):
-    return cascade.rechecked(formed_pairs(spark, d).withColumn("status", F.lit("Success"))).select("pair_id", "status")
-
-
 @query("CA-08_finalise", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Failed' ELSE 'Success' END AS status, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 1 THEN NULL ELSE p_name END AS title FROM part")
 def ca08(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.lit("u").alias("url"), F.when(F.col("p_size") % 3 != 0, F.col("p_retailprice")).alias("price"), F.lit("Success").alias("status"), (F.col("p_size") % 2 == 0).alias("known"))
@@ -339,15 +401,15 @@ def ca09(spark, d):
 
 
 @query("CA-10_second_pass", """
-    SELECT o_orderkey AS query_id, CASE WHEN abs(o_totalprice - r) / r > 0.2 THEN r ELSE o_totalprice END AS price
-    FROM (SELECT o_orderkey, o_totalprice, (SELECT avg(o_totalprice) FROM orders) AS r FROM orders)""")
+    SELECT o_orderkey AS query_id, CASE WHEN abs(o_totalprice - r) / r <= 0.2 THEN o_totalprice WHEN o_orderstatus <> 'P' THEN o_totalprice + 1 END AS price,
+        CASE WHEN abs(o_totalprice - r) / r > 0.2 AND o_orderstatus = 'P' THEN 'Failed' ELSE 'Success' END AS status
+    FROM (SELECT *, (SELECT avg(o_totalprice) FROM orders) AS r FROM orders)""")
 def ca10(spark, d):
-    o = table(spark, d, "orders")
-    ref = o.agg(F.avg("o_totalprice").alias("ref_price"))
-    rows = o.select(F.col("o_orderkey").alias("query_id"), F.lit("Amazon.com").alias("website"), F.col("o_totalprice").alias("price"))
-    references = rows.select("query_id", "website").crossJoin(F.broadcast(ref))
-    again = cascade.gap_outliers(rows, references, fixed.PRICE_GAP).withColumn("price", F.col("ref_price"))
-    return cascade.upserted(rows, again, ["query_id", "website"]).select("query_id", "price")
+    """Outliers take what a second run found, which found nothing for some."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.lit("Amazon.com").alias("website"), F.col("o_totalprice").alias("price"), F.lit("Success").alias("status"), "o_orderstatus")
+    references = o.select("query_id", "website").crossJoin(F.broadcast(o.agg(F.avg("price").alias("ref_price"))))
+    again = o.where("o_orderstatus <> 'P'").select("query_id", "website", (F.col("price") + 1).alias("price"), "status")
+    return cascade.second_pass(o.drop("o_orderstatus"), references, again).select("query_id", "price", "status")
 
 
 @query("CA-11_extended_searches", "SELECT CAST(query_id AS INTEGER) AS query_id, n FROM " + values([(1, 4), (2, 3), (3, 1)], "query_id, n"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, fuzzy, parse, urls
 from ..operators import cascade, filters
-from .common import array, duck_any, formed_pairs, on_pairs, query, table, values
-from .scalars import DUCK_CHIPS, DUCK_CODES, DUCK_NON_NEW, DUCK_USED, PATH, ROWS, U, duck_inches, duck_series, texts, url_rows
+from .common import DUCK_PAIRS, array, duck_any, expect, formed_pairs, on_pairs, query, table, values
+from .scalars import DUCK_CHIPS, DUCK_CODES, DUCK_NON_NEW, DUCK_SETS, DUCK_USED, PATH, ROWS, U, duck_inches, duck_series, texts, url_rows
 
 MAC = r"^(refurbished\s+)?apple\s+macbook"
 DOCK = r"\b(usb c hub|docking station|hub adapter)\b"
@@ -87,7 +87,7 @@ def fl15(spark, d):
     return table(spark, d, "documents").select("doc_id", filters.bot_page("text").alias("blocked"))
 
 
-@query("FL-17_product_url")
+@query("FL-17_product_url", expect([(i, i in (0, 1, 2, 6, 11, 12, 13, 14, 15)) for i, _, _ in ROWS], "i, product"))
 def fl17(spark, d):
     return url_rows(spark).select("i", urls.is_product("url", "domain").alias("product"))
 
@@ -147,7 +147,7 @@ def fl24(spark, d):
     return o.select("o_orderkey", cascade.has_price().alias("has_price"))
 
 
-@query("FL-25_unscored_sanity")
+@query("FL-25_unscored_sanity", f"WITH RECURSIVE {DUCK_PAIRS}, {DUCK_SETS} SELECT pair_id, (trim(title) <> trim(query) AND token_set < 30) OR (NOT {DUCK_USED} AND {DUCK_NON_NEW}) AS refused FROM p JOIN alike USING (pair_id)")
 def fl25(spark, d):
     p = formed_pairs(spark, d)
     return p.select("pair_id", cascade.unscored_sanity("query", "query", "title", fuzzy.similarity("token_set", "query_form.normalized", "title_form.normalized")).alias("refused"))
@@ -160,6 +160,11 @@ def fl26(spark, d):
     return p.select("pair_id", ok.alias("accepted"))
 
 
+@query("CA-07_recheck", on_pairs(f"CASE WHEN {ACCESSORY} OR {MODEL} THEN 'Failed' ELSE 'Success' END AS status"))
+def ca07(spark, d):
+    return cascade.rechecked(formed_pairs(spark, d).withColumn("status", F.lit("Success"))).select("pair_id", "status")
+
+
 def _fill() -> None:
     from .common import DUCK_PAIRS, ORACLE_SQL
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, parse
-from ..operators import cascade, judge, matching
+from ..functions import fixed, parse, text
+from ..operators import cascade, html, judge, matching
 from ..sources import tables
 from ..streaming import progress
 from .common import query, table, values
@@ -39,9 +38,10 @@ def jn02(spark, d):
     SELECT l_orderkey AS query_id, l_linenumber AS rank, p_name AS title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
     WHERE NOT contains(p_name, 'new') AND o_orderstatus <> 'F'""")
 def jn03(spark, d):
-    listings = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where(~F.contains("p_name", F.lit("new")))
-    q = table(spark, d, "orders").where("o_orderstatus <> 'F'")
-    return listings.join(q, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.col("p_name").alias("title"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("p_partkey"))
+    listings = rows.join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title")), "p_partkey")
+    q = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("query_id"))
+    return matching.listings_of(listings, q, ["query_id"], ~F.contains("title", F.lit("new"))).select("query_id", "rank", "title")
 
 
 GAPS = """
@@ -61,19 +61,21 @@ def jn04(spark, d):
 @query("JN-05_not_tried", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
 def jn05(spark, d):
     tried = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").join(tried, "p_partkey", "left_anti").select("p_partkey")
+    return cascade.not_tried(table(spark, d, "part"), tried, ["p_partkey"]).select("p_partkey")
 
 
 @query("JN-06_known_page", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 def jn06(spark, d):
-    known = table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"))
-    return table(spark, d, "customer").join(F.broadcast(known), "c_nationkey", "left_semi").select("c_custkey")
+    address = lambda c, rest="": F.concat(F.lit("https://www.amazon.com/dp/"), F.col(c).cast("string"), F.lit(rest))
+    known = table(spark, d, "nation").where("n_regionkey = 2").select(address("n_nationkey").alias("url"))
+    rows = table(spark, d, "customer").select("c_custkey", F.replace(address("c_nationkey", "?ref=1"), F.lit("dp"), F.lit("DP")).alias("url"))
+    return tables.in_catalogue(rows, known).select("c_custkey")
 
 
 @query("JN-07_score_by_url", "SELECT p_partkey, coalesce(s, 0.0) AS score FROM part LEFT JOIN (SELECT l_partkey, min_by(l_discount, l_orderkey * 10 + l_linenumber) AS s FROM lineitem WHERE l_tax > 0.05 GROUP BY 1) ON l_partkey = p_partkey")
 def jn07(spark, d):
-    first = table(spark, d, "lineitem").where("l_tax > 0.05").groupBy("l_partkey").agg(F.min_by("l_discount", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("s"))
-    return table(spark, d, "part").join(first, F.col("l_partkey") == F.col("p_partkey"), "left").select("p_partkey", F.coalesce("s", F.lit(0.0)).alias("score"))
+    scored = table(spark, d, "lineitem").where("l_tax > 0.05").select(F.col("l_partkey").alias("p_partkey"), F.col("l_discount").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return matching.with_scores(table(spark, d, "part").select("p_partkey"), scored, ["p_partkey"], F.col("at"))
 
 
 KNOWN_QUERIES = [(1, "Lenovo Tab P12"), (2, "MacBook Pro M5"), (3, "macbook pro 14"), (4, "Bose QuietComfort Ultra"), (5, "QC Ultra"), (6, "LG OLED65C4PUA"), (7, "toaster"), (8, "  ")]
@@ -96,8 +98,10 @@ def jn09(spark, d):
 
 @query("JN-10_judged", "SELECT d.doc_id, coalesce(l.quality = 1, TRUE) AS match, l.doc_id IS NOT NULL AS verified FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def jn10(spark, d):
-    verdicts = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("v"))
-    return table(spark, d, "documents").select("doc_id").join(verdicts, "doc_id", "left").select("doc_id", F.coalesce("v", F.lit(True)).alias("match"), F.col("v").isNotNull().alias("verified"))
+    title = F.concat(F.lit("document "), F.col("doc_id").cast("string"))
+    rows = table(spark, d, "documents").select("doc_id", F.lit("a document").alias("expected"), title.alias("scraped"))
+    verdicts = table(spark, d, "labels").select(F.lit("a document").alias("expected"), title.alias("scraped"), (F.col("quality") == 1).alias("match"))
+    return judge.titles(rows, verdicts).select("doc_id", "match", "verified")
 
 
 # aggregates
@@ -106,14 +110,13 @@ def jn10(spark, d):
 @query("AG-01_success_count", "SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'N') AS n, count(*) AS total, count(*) FILTER (l_returnflag <> 'N') >= 3 AS ok FROM lineitem GROUP BY 1")
 def ag01(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") != "N", "Success").otherwise("Failed").alias("status"), F.col("l_extendedprice").alias("price"))
-    n = F.count_if(cascade.has_price())
-    return rows.groupBy("l_orderkey").agg(n.alias("n"), F.count(F.lit(1)).alias("total"), (n >= 3).alias("ok"))
+    return cascade.enough_prices(rows, ["l_orderkey"]).select("l_orderkey", F.col("success_count").alias("n"), F.col("total_sites").alias("total"), "ok")
 
 
-@query("AG-02_region_prices", "SELECT l_orderkey, min(l_extendedprice) FILTER (l_linestatus = 'O') AS low, max(l_extendedprice) FILTER (l_linestatus = 'F') AS high FROM lineitem GROUP BY 1")
+@query("AG-02_region_prices", "SELECT l_orderkey, l_linestatus AS region, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1, 2")
 def ag02(spark, d):
-    p = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.when(F.col("l_linestatus") == "O", p)).alias("low"), F.max(F.when(F.col("l_linestatus") == "F", p)).alias("high"))
+    prices = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linestatus").alias("region"), F.col("l_extendedprice").alias("price"))
+    return html.region_prices(prices, ["l_orderkey"])
 
 
 @query("AG-03_first_success", "SELECT user_id, min_by(value, event_id) AS price, min(event_id) AS stage FROM events WHERE value >= 10 GROUP BY 1")
@@ -122,16 +125,16 @@ def ag03(spark, d):
     return cascade.first_success(staged, ["user_id"])
 
 
-@query("AG-04_first_cause", "SELECT user_id, min_by(event_type, event_id) AS cause FROM events GROUP BY 1")
+@query("AG-04_first_cause", "SELECT event_type AS component, min_by(CAST(user_id AS VARCHAR), event_id) AS cause FROM events GROUP BY 1")
 def ag04(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("cause"))
+    log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("component"), F.col("user_id").cast("string").alias("cause"))
+    return judge.degradations(log).select("component", "cause")
 
 
 @query("AG-06_distinct_in_order", "WITH f AS (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY seen) AS kinds FROM f GROUP BY 1")
 def ag06(spark, d):
-    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("at"))
-    listed = F.array_sort(F.collect_list(F.struct("at", "event_type")))
-    return first.groupBy("user_id").agg(F.array_join(F.transform(listed, lambda x: x["event_type"]), ",").alias("kinds"))
+    listed = matching.distinct_in_order(table(spark, d, "events"), ["user_id"], "event_type", "event_id")
+    return listed.select("user_id", F.array_join("event_type", ",").alias("kinds"))
 
 
 RUNNING = """
@@ -158,8 +161,7 @@ def ag08(spark, d):
 
 @query("AG-09_joined_names", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
 def ag09(spark, d):
-    listed = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(listed, lambda x: x["n_name"]), ", ").alias("names"))
+    return progress.joined_names(table(spark, d, "nation"), ["n_regionkey"], "n_name", "n_nationkey")
 
 
 # windows and order
@@ -170,17 +172,9 @@ def wn01(spark, d):
     return matching.serp_rank(table(spark, d, "lineitem").where("l_quantity > 5"), ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "rank")
 
 
-@query("WN-02_source_rank", "SELECT doc_id, CAST(i AS INTEGER) AS rank, word FROM (SELECT doc_id, string_split(left(text, 60), ' ') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word)")
+@query("WN-02_source_rank", "SELECT doc_id, CAST(i AS INTEGER) AS rank, word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word)")
 def wn02(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("pos", "word"))
-    return w.select("doc_id", (F.col("pos") + 1).alias("rank"), "word")
-
-
-# the query above takes the first 60 characters, as its SQL does; this one whole texts
-@query("WN-02_source_rank_whole", "SELECT doc_id, CAST(i AS INTEGER) AS rank, word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word)")
-def wn02_whole(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    return w.select("doc_id", (F.col("pos") + 1).alias("rank"), "word")
+    return matching.source_rank(table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("words")), "words", "word")
 
 
 @query("WN-03_keep_first", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
@@ -247,10 +241,10 @@ def wn11(spark, d):
     return matching.serp_rank(f, ["user_id"], ["at"], fixed.MAX_REFINEMENTS).select("user_id", "search")
 
 
-@query("SO-01_output_order", "SELECT s_suppkey, row_number() OVER (ORDER BY coalesce(nullif(s_suppkey % 5, 4), 99), s_suppkey) AS place FROM supplier")
+@query("SO-01_output_order", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(nullif(s_suppkey % 5, 4), 99), s_suppkey) AS place FROM supplier")
 def so01(spark, d):
-    order = Window.orderBy(F.coalesce(F.nullif(F.col("s_suppkey") % 5, F.lit(4)), F.lit(99)), "s_suppkey")
-    return table(spark, d, "supplier").select("s_suppkey", F.row_number().over(order).alias("place"))
+    rows = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.nullif(F.col("s_suppkey") % 5, F.lit(4)).alias("site_order"), F.col("s_suppkey").alias("tie"))
+    return cascade.output_order(rows, ["s_nationkey"]).select("s_suppkey", "place")
 
 
 @query("SO-02_nulls_last", """
@@ -258,8 +252,8 @@ def so01(spark, d):
     SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY v ASC NULLS LAST, n_nationkey) AS up, row_number() OVER (PARTITION BY n_regionkey ORDER BY v DESC NULLS LAST, n_nationkey) AS down FROM x""")
 def so02(spark, d):
     n = table(spark, d, "nation").withColumn("v", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey") % 7))
-    w = Window.partitionBy("n_regionkey")
-    return n.select("n_nationkey", F.row_number().over(w.orderBy(F.asc_nulls_last("v"), "n_nationkey")).alias("up"), F.row_number().over(w.orderBy(F.desc_nulls_last("v"), "n_nationkey")).alias("down"))
+    place = lambda descending: cascade.display_order("v", ["n_regionkey"], "n_nationkey", descending)
+    return n.select("n_nationkey", place(False).alias("up"), place(True).alias("down"))
 
 
 LOG = [(3, "price verify", "timeout"), (1, "title verify", "no key"), (5, "title verify", "quota"), (4, "search plan", "no key"), (9, "other", "x")]
@@ -292,7 +286,7 @@ def st02(spark, d):
 def st03(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
     lit = lambda *v: F.array(*map(F.lit, v))
-    return e.select("user_id", F.arrays_overlap("kinds", lit("click", "purchase")).alias("hit"), F.size(F.array_intersect("kinds", lit("click", "view"))).alias("both"))
+    return e.select("user_id", text.overlap("kinds", lit("click", "purchase")).alias("hit"), text.common("kinds", lit("click", "view")).alias("both"))
 
 
 @query("ST-04_upsert", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END AS price FROM orders")
@@ -330,9 +324,7 @@ def ss06(spark, d):
 
 @query("SS-07_timed_reveal", "SELECT e.event_id FROM events e WHERE e.user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING min(event_id) <= 5000)")
 def ss07(spark, d):
-    e = table(spark, d, "events")
-    shown = e.groupBy("user_id").agg(F.min("event_id").alias("at")).where("at <= 5000")
-    return e.join(shown, "user_id", "left_semi").select("event_id")
+    return progress.revealed(table(spark, d, "events"), ["user_id"], "event_id", 5000).select("event_id")
 
 
 # judgements

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, fuzzy, parse, text, urls
 from ..operators import matching
-from .common import PAIRS, array, duck_any, duck_norm, formed_pairs, on_pairs, pairs, query, table, values
+from .common import DUCK_PAIRS, array, duck_any, duck_norm, expect, formed_pairs, on_pairs, pairs, query, table, values
 
 STOP = array(fixed.STOPWORDS)
 
@@ -93,23 +93,33 @@ steps(pair_id, a, b, i, best) AS (
 
 
 @query("SF-10_ratio", f"""
-    WITH RECURSIVE texts AS (SELECT pair_id, {duck_norm("query")} AS a, {duck_norm("title")} AS b FROM {values([(i, *p) for i, p in enumerate(PAIRS)], "pair_id, query, title, url")}),
-    {DUCK_LCS} SELECT CAST(pair_id AS BIGINT) AS pair_id, 200.0 * best[len(best)] / (length(a) + length(b)) AS ratio FROM steps WHERE i = length(a)""")
+    WITH RECURSIVE {DUCK_PAIRS}, texts AS (SELECT pair_id, q AS a, t AS b FROM p), {DUCK_LCS}
+    SELECT pair_id, CASE WHEN length(a) + length(b) = 0 THEN 100.0 ELSE 200.0 * best[len(best)] / (length(a) + length(b)) END AS ratio FROM steps WHERE i = length(a)""")
 def sf10_ratio(spark, d):
-    p = pairs(spark, d).where("pair_id < 0").select((-1 - F.col("pair_id")).alias("pair_id"), text.normalized("query").alias("a"), text.normalized("title").alias("b"))
-    return p.select("pair_id", fuzzy.similarity("ratio", "a", "b").alias("ratio"))
+    return formed_pairs(spark, d).select("pair_id", fuzzy.similarity("ratio", "query_form.normalized", "title_form.normalized").alias("ratio"))
 
 
-# the query above takes the example pairs, as its SQL does; this one all pairs
-@query("SF-10_ratio_all")
-def sf10_ratio_all(spark, d):
-    return formed_pairs(spark, d).select("pair_id", fuzzy.similarity("ratio", "query_form.normalized", "title_form.normalized").alias("ratio"))
+# words of both sides, shared and own ones; then four pairs of strings for each pair: sorted words, and the three of token_set
+DUCK_SETS = f"""
+w AS (SELECT pair_id, list_filter(string_split(q, ' '), lambda x: x <> '') AS x, list_filter(string_split(t, ' '), lambda x: x <> '') AS y FROM p),
+s AS (SELECT *, list_sort(list_distinct(list_filter(x, lambda v: list_contains(y, v)))) AS shared,
+    list_sort(list_distinct(list_filter(x, lambda v: NOT list_contains(y, v)))) AS own_x, list_sort(list_distinct(list_filter(y, lambda v: NOT list_contains(x, v)))) AS own_y FROM w),
+j AS (SELECT *, array_to_string(shared, ' ') AS i, array_to_string(list_concat(shared, own_x), ' ') AS ix, array_to_string(list_concat(shared, own_y), ' ') AS iy FROM s),
+texts AS (
+    SELECT pair_id * 4 AS pair_id, array_to_string(list_sort(x), ' ') AS a, array_to_string(list_sort(y), ' ') AS b FROM j
+    UNION ALL SELECT pair_id * 4 + 1, ix, iy FROM j UNION ALL SELECT pair_id * 4 + 2, i, ix FROM j UNION ALL SELECT pair_id * 4 + 3, i, iy FROM j),
+{DUCK_LCS},
+r AS (SELECT pair_id, CASE WHEN length(a) + length(b) = 0 THEN 100.0 ELSE 200.0 * best[len(best)] / (length(a) + length(b)) END AS ratio FROM steps WHERE i = length(a)),
+alike AS (SELECT j.pair_id, a.ratio AS token_sort, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN len(shared) > 0 AND (len(own_x) = 0 OR len(own_y) = 0) THEN 100.0
+        WHEN len(shared) = 0 THEN b.ratio ELSE greatest(b.ratio, c.ratio, e.ratio) END AS token_set
+    FROM j JOIN r a ON a.pair_id = j.pair_id * 4 JOIN r b ON b.pair_id = j.pair_id * 4 + 1 JOIN r c ON c.pair_id = j.pair_id * 4 + 2 JOIN r e ON e.pair_id = j.pair_id * 4 + 3)
+"""
 
 
-@query("SF-11_token_set")
+@query("SF-11_token_set", f"WITH RECURSIVE {DUCK_PAIRS}, {DUCK_SETS} SELECT pair_id, token_set, token_sort FROM alike")
 def sf11(spark, d):
-    p = formed_pairs(spark, d)
-    return p.select("pair_id", *(fuzzy.similarity(f, "query_form.normalized", "title_form.normalized").alias(f) for f in ("token_set", "token_sort")))
+    similar = fuzzy.similarities(["token_set", "token_sort"], "query_form.normalized", "title_form.normalized")
+    return formed_pairs(spark, d).select("pair_id", similar.alias("s")).select("pair_id", "s.*")
 
 
 DUCK_RECALL = "CASE WHEN len(qm) = 0 THEN 1.0 ELSE len(list_filter(qm, lambda x: list_contains(tm, x))) / len(qm) END"
@@ -287,9 +297,14 @@ def sf34(spark, d):
     return table(spark, d, "part").select("p_partkey", parse.stars((F.col("p_size") % 6).cast("double")).alias("stars"))
 
 
-@query("SF-35_method_label", "SELECT page_id, lower(upper(split_part(url, ':', 1))) AS label, CASE WHEN url LIKE 'http%' THEN url END AS link FROM pages")
+@query("SF-35_method_label", """
+    WITH m AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'N/A' ELSE upper(event_type) END AS method, CASE event_id % 4 WHEN 0 THEN 'N/A' WHEN 1 THEN '' WHEN 2 THEN '/p/' || event_id ELSE 'https://x.com/' || event_id END AS url FROM events)
+    SELECT event_id, CASE WHEN method IS NULL OR method IN ('', 'N/A') THEN 'N/A' ELSE lower(method) END AS label, CASE WHEN url LIKE 'http%' THEN url END AS link FROM m""")
 def sf35(spark, d):
-    return table(spark, d, "pages").select("page_id", F.lower(F.upper(F.split_part("url", F.lit(":"), F.lit(1)))).alias("label"), F.when(F.startswith("url", F.lit("http")), F.col("url")).alias("link"))
+    i, tail = F.col("event_id"), F.col("event_id").cast("string")
+    method = F.when(i % 6 == 1, "").when(i % 6 == 2, "N/A").when(i % 6 > 2, F.upper("event_type"))
+    url = F.when(i % 4 == 0, "N/A").when(i % 4 == 1, "").when(i % 4 == 2, F.concat(F.lit("/p/"), tail)).otherwise(F.concat(F.lit("https://x.com/"), tail))
+    return table(spark, d, "events").select("event_id", parse.method_label(method).alias("label"), urls.product_link(url).alias("link"))
 
 
 # URLs
@@ -343,7 +358,14 @@ def ur02(spark, d):
     return url_rows(spark).select("i", urls.normal("url").alias("url"))
 
 
-@query("UR-03_coerce_url")
+COERCED = {
+    0: "https://www.bestbuy.com/site/a/6551465.p", 1: "https://www.newegg.com/p/3C6-0002-009C6", 2: "https://www.bestbuy.com/site/a-b-65inch-O2X-Pro/6551465.p?skuId=6551465",
+    3: "https://www.bestbuy.com/site/product/6551465.p", 4: "https://www.bestbuy.com/site/sony-headphones/1234567.p", 5: "https://www.bestbuy.com/site/sony/1234567.p",
+    8: "https://www.newegg.com/Product.aspx?Item=N82E16834156463", 9: "https://www.newegg.com/p/N82E16834156463?x=1",
+}
+
+
+@query("UR-03_coerce_url", expect([(i, COERCED.get(i, u)) for i, u, _ in ROWS], "i, url"))
 def ur03(spark, d):
     return urls.coerced(url_rows(spark)).select("i", "url")
 
@@ -361,7 +383,7 @@ def ur06(spark, d):
     return url_rows(spark).where("domain = 'newegg.com' AND url LIKE 'http%'").select("i", urls.newegg_segment("url").alias("segment"))
 
 
-@query("UR-07_title_from_url")
+@query("UR-07_title_from_url", expect([(0, "A"), (2, "A B 65Inch O2X Pro"), (3, "Best Buy SKU 6551465"), (4, "Sony Headphones"), (5, "Sony"), (6, "Abc"), (7, "Searchpage.Jsp")], "i, title"))
 def ur07(spark, d):
     return url_rows(spark).where("domain = 'bestbuy.com'").select("i", urls.bestbuy_title(urls.canonical("url")).alias("title"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import cascade
 
 
 def dump_pages(captures: DataFrame, path: str) -> None:
@@ -13,6 +14,22 @@ def dump_pages(captures: DataFrame, path: str) -> None:
     captures.withColumn("site", text.site_slug("website")).write.partitionBy("site", "kind").parquet(path)
 
 
+def response_json(rows: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """One JSON document for each query: its rows in site order, how many have a price, of how many, and which checks were skipped.
+
+    ``rows`` are final rows; ``skipped`` has ``component, consequence, cause,
+    component_order`` of the whole run, a handful that every response repeats.
+    """
+    out = cascade.responses(rows)
+    checks = F.array().cast("array<struct<component:string,consequence:string,cause:string>>")
+    if skipped is not None:
+        listed = F.array_sort(F.collect_list(F.struct("component_order", "component", "consequence", "cause")))
+        every = skipped.agg(F.transform(listed, lambda x: F.struct(x["component"], x["consequence"], x["cause"])).alias("__skipped"))
+        out, checks = out.crossJoin(F.broadcast(every)), F.col("__skipped")
+    body = F.to_json(F.struct("rows", "success_count", "total_sites", checks.alias("checks_skipped")))
+    return out.select("query_id", body.alias("body"))
+
+
 def job_logs(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """Log lines ``job_id, folder, seq, line`` of jobs ``(job_id, query)`` from their events ``(job_id, seq, ts, kind)``.
 

@@ -43,12 +43,26 @@ def known_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN_PAGES, "domain string, include_re string, exclude_re string, title string, url string")
 
 
-def catalogued(queries: DataFrame) -> DataFrame:
+def discovered(found: DataFrame) -> DataFrame:
+    """What a search of the web found, ``(query_id, website, domain, title, url)``, as listings of rank 1 where it is a product's address."""
+    rows = urls.coerced(found.withColumn("url", F.trim("url")).withColumn("title", F.trim("title")))
+    best_buy = (F.col("domain") == "bestbuy.com") & F.contains(F.lower("url"), F.lit("/product/"))
+    good = (F.col("title") != "") & F.startswith("url", F.lit("http")) & (urls.is_product("url", "domain") | best_buy)
+    return rows.where(good).withColumn("rank", F.lit(1)).withColumn("url", urls.without_fragment("url"))
+
+
+def in_catalogue(rows: DataFrame, known: DataFrame, url: str = "url") -> DataFrame:
+    """Rows whose address is one of ``known``, without regard to case, query and fragment."""
+    key = lambda c: F.lower(urls.canonical(c))
+    return rows.withColumn("__key", key(url)).join(known.select(key("url").alias("__key")), "__key", "left_semi").drop("__key")
+
+
+def catalogued(queries: DataFrame, keep: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Known pages for each query: a theta join with six rows, by the patterns."""
     norm = queries.withColumn("norm", text.normalized("user_query"))
     known = F.broadcast(known_pages(queries.sparkSession))
     hit = F.regexp_like("norm", F.concat(F.lit("(?i)"), "include_re")) & F.coalesce(~F.regexp_like("norm", F.concat(F.lit("(?i)"), "exclude_re")), F.lit(True))
-    return norm.join(known, hit).select("query_id", "domain", F.lit(1).alias("rank"), "title", "url")
+    return norm.join(known, hit).select(*keep, "domain", F.lit(1).alias("rank"), "title", "url")
 
 
 def more_searches(query: str = "user_query", norm: str = "norm") -> Column:

@@ -18,13 +18,15 @@ from ..functions.text import C, col
 
 # Percent of stages that do not depend on stores.
 STAGE_PERCENT = {"start": 0, "recheck": 82, "recheck_site": 88, "wrapping_up": 95, "done": 100, "error": 100}
+# Percent with which a store's stages begin.
+STORE_BASE = {"site_started": 5, "site_finished": 10}
 # How stores are called.
 STORE_NAMES = {"Amazon.com": "Amazon", "Walmart.com": "Walmart", "BestBuy.com": "Best Buy", "Newegg.com": "Newegg"}
 
 
 def percent(kind: C, done: C, total: C) -> Column:
     share = F.floor(col(done) * 70 / F.greatest(col(total), F.lit(1)))
-    p = F.when(col(kind) == "site_started", 5 + share).when(col(kind) == "site_finished", 10 + share)
+    p = F.when(col(kind) == "site_started", STORE_BASE["site_started"] + share).when(col(kind) == "site_finished", STORE_BASE["site_finished"] + share)
     for k, v in STAGE_PERCENT.items():
         p = p.when(col(kind) == k, v)
     return F.greatest(F.lit(0), F.least(F.lit(100), p)).cast("int")
@@ -65,6 +67,18 @@ def latest(events: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row")).select(*keys, "__row.*")
 
 
+def revealed(events: DataFrame, keys: list[str], order: str, until) -> DataFrame:
+    """The events of all keys whose first one came by ``until``, as a recorded run shows them at that time."""
+    shown = events.groupBy(*keys).agg(F.min(order).alias("__at")).where(F.col("__at") <= until)
+    return events.join(shown, keys, "left_semi")
+
+
+def joined_names(rows: DataFrame, keys: list[str], name: str, order: str) -> DataFrame:
+    """The names of each key in one line, in order."""
+    listed = F.array_sort(F.collect_list(F.struct(order, name)))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x[name]), ", ").alias("names"))
+
+
 def timed_out(elapsed: C, limit_s: int = fixed.SITE_TIMEOUT_S) -> Column:
     return F.when(col(elapsed) > limit_s, "Failed").otherwise("Success")
 
@@ -81,11 +95,13 @@ def streamed_progress(events: DataFrame, total: int = len(fixed.RETAILERS), time
         (done,) = state.get if state.exists else (0,)
         seq = pct = 0
         for batch in batches:
-            for row in batch.sort_values("seq").itertuples():
-                done += row.kind == "site_finished"
-                base = {"site_started": 5, "site_finished": 10}.get(row.kind)
-                pct = STAGE_PERCENT.get(row.kind, pct) if base is None else min(100, base + done * 70 // max(total, 1))
-                seq = max(seq, int(row.seq))
+            kinds = batch.sort_values("seq")["kind"]
+            finished = done + (kinds == "site_finished").cumsum()
+            telling = kinds[kinds.isin([*STAGE_PERCENT, *STORE_BASE])]
+            if len(telling):
+                kind, so_far = telling.iloc[-1], int(finished[telling.index[-1]])
+                pct = STAGE_PERCENT[kind] if kind in STAGE_PERCENT else min(100, STORE_BASE[kind] + so_far * 70 // max(total, 1))
+            done, seq = int(finished.iloc[-1]), max(seq, int(batch["seq"].max()))
         if pct >= 100:
             if state.exists:
                 state.remove()
