@@ -147,11 +147,12 @@ class Block:
         norm = math.sqrt(float(query @ query)) or 1.0
         # rough products are those with the query's direction, which can't underflow
         base, rough, margin = norm**2 + self.largest**2, (query / norm).astype(np.float32), len(query) * (ROUGH_ERROR * self.largest + 1e-38)
-        ids, scores, done, step, least = np.empty(0, np.int64), np.empty(0), 0, 4, -np.inf
+        ids, scores, done, least = np.empty(0, np.int64), np.empty(0), 0, -np.inf
+        step = 4 if math.isinf(bound) else 32  # a bound from an earlier search needs fewer rounds to tighten
         while done < len(order) and near[order[done]] <= ratio * bound:
             leaves = order[done : done + step]
             leaves = leaves[near[leaves] <= ratio * bound]
-            done, step = done + step, step * 2
+            done, step = done + step, step * 4
             at = np.concatenate([np.arange(self.ends[x - 1] if x else 0, self.ends[x]) for x in leaves])
             about = self.rough[at] @ rough
             if len(at) > k + 1:
