@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,8 +164,11 @@ def _unit(counts: dict[int, int], weight: np.ndarray) -> tuple[np.ndarray, np.nd
     """Terms, ascending, and their share in the unit vector of a text."""
     at, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
     order = np.argsort(at)
-    at = at[order]
-    v = (1 + np.log(n[order])) * weight[at]
+    return _scaled(at[order], n[order], weight)
+
+
+def _scaled(at: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v = (1 + np.log(n)) * weight[at]
     norm = math.sqrt(float(v @ v))
     return (at, v / norm) if norm else (at[:0], v[:0])
 
@@ -275,15 +279,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     found = cut(labelled.mapInArrow(counted_words, f"id {id_type}, term string, n bigint, marks array<bigint>").groupBy("id", "term").agg(F.max("n").alias("n"), F.max("marks").alias("marks")))
     marks = {r["id"]: r["marks"] for r in found.where("term = ''").select("id", "marks").collect()}
     examples = sorted(marks)
-    counts: dict = {i: {} for i in examples}
-    vocabulary: dict[bytes, int] = {}
-    words = found.where("term <> ''").select("id", "term", "n").orderBy("term", "id").toArrow()
-    for i, term, n in zip(*(c.to_pylist() for c in words.columns), strict=True):
-        counts[i][vocabulary.setdefault(term.encode(), len(vocabulary))] = n
-    cluster_of = _clusters({i: m[:-1] for i, m in marks.items()})
-    kind = [np.unique(np.array([(t, cluster_of[i]) for i in examples if label_of[i] == c for t in counts[i]], np.int64).reshape(-1, 2), axis=0)[:, 0] for c in (0, 1)]
+    # words stay in arrays, so that the driver holds them once and gives them back
+    words = found.where("term <> ''").select("id", "term", "n").toArrow().combine_chunks()
+    owner = pc.index_in(words["id"], pa.array(examples, words["id"].type)).to_numpy().astype(np.int64)
+    coded = pc.dictionary_encode(words["term"]).combine_chunks()
+    coded = coded if isinstance(coded, pa.DictionaryArray) else pa.array([], pa.string()).dictionary_encode()
+    spelled = pc.sort_indices(coded.dictionary).to_numpy()
+    number = np.empty(len(spelled), np.int64)
+    number[spelled] = np.arange(len(spelled))
+    vocabulary = {t.encode(): i for i, t in enumerate(coded.dictionary.take(pa.array(spelled)).to_pylist())}
+    term, n = number[coded.indices.to_numpy()], words["n"].to_numpy().astype(float)
+    del words, coded
+    order = np.lexsort((term, owner))
+    owner, term, n = owner[order], term[order], n[order]
+    label = np.array([label_of[i] for i in examples], np.int64)
+    clustered = _clusters({i: m[:-1] for i, m in marks.items()})
+    cluster = np.array([clustered[i] for i in examples], np.int64)
+    kind = [np.unique((term * len(examples) + cluster[owner])[label[owner] == c]) // max(1, len(examples)) for c in (0, 1)]
     b, a = (np.bincount(k, minlength=len(vocabulary)).astype(float) for k in kind)
-    n0, n1 = (len({cluster_of[i] for i in examples if label_of[i] == c}) for c in (0, 1))
+    n0, n1 = (len(set(cluster[label == c].tolist())) for c in (0, 1))
     association = np.sqrt((n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, n1 * n0 * (a + b) * (n1 + n0 - a - b)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     df = np.zeros(len(vocabulary) + 1)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * association
-    rows = [(*_unit(counts[i], weight), label_of[i], i) for i in examples]
+    cuts = np.searchsorted(owner, np.arange(len(examples) + 1)).tolist()
+    rows = [(*_scaled(term[x:y], n[x:y], weight), label_of[i], i) for i, x, y in zip(examples, cuts[:-1], cuts[1:], strict=True)]
     # examples of alike strongest terms share a block, which makes block bounds tight
     rows.sort(key=lambda r: (int(r[0][np.argmax(r[1])]) if len(r[0]) else -1, r[2]))
     spoken = [r for r in rows if len(r[0])]
