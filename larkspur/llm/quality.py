@@ -53,8 +53,8 @@ SETTLED_WORDS = 300
 SHARE = 0.75
 #: Rows of a group that starts are made from; random starts; steps over all rows, at most (they settle long before).
 START_ROWS, STARTS, MOST_STEPS = 1500, 50, 50
-#: Change of a logarithmic determinant that counts as settled.
-SETTLED = 1e-4
+#: Change of a logarithmic determinant that counts as settled (a thousandth of the determinant, far below its sampling error).
+SETTLED = 1e-3
 #: Rows that pass the base rules from which a group has its own estimate; smaller ones pool by language, then together.
 LEAST_ROWS = 100
 #: Chance that a text of the group's own distribution is rejected, were it normal.
@@ -281,12 +281,17 @@ def estimate(rows: DataFrame, small: bool) -> DataFrame:
     now = started.where("NOT whole").drop("whole")
     if now.isEmpty():
         return final
-    large = rows.where(F.col("of") > START_ROWS)
+    large, done = rows.where(F.col("of") > START_ROWS), None
     for _ in range(MOST_STEPS):
-        last, now = now, cut(_estimates(_step(large, now, small)))
-        change = last.select("group", F.col("logdet").alias("before")).join(now, "group").agg(F.max(F.abs(F.col("before") - F.col("logdet")))).first()[0]
-        if change is None or change < SETTLED:
+        before = now.select("group", F.col("logdet").alias("before"))
+        stepped = _estimates(_step(large, now, small)).join(before, "group")
+        stepped = cut(stepped.withColumn("settled", F.abs(F.col("before") - F.col("logdet")) < SETTLED).drop("before"))
+        # a group takes part until it has settled, so that later steps read the others' rows only
+        finished, now = stepped.where("settled").drop("settled"), stepped.where("NOT settled").drop("settled")
+        done = finished if done is None else done.unionByName(finished)
+        if now.isEmpty():
             break
+    now = cut(done.unionByName(now))
     kept = large.join(sized(now, small), "group").where(_distance() / _INSIDE <= quantile(0.975, _P))
     return final.unionByName(cut(_estimates(kept.groupBy("group").agg(*_moments()), _WITHIN)).select("group", "centre", "inverse"))
 
