@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neighbours, packing, pieces, pii, quality, secrets, shards, simhash, spans, toxicity
+from . import chat, interaction, neighbours, packing, pieces, pii, quality, secrets, shards, simhash, spans, toxicity
 from .common import read_table, shared_dir
 
 
@@ -85,6 +85,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_nearest": op2_nearest,
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_interaction": op11_interaction,
 }
 
 #: The control strings of the chat template, as DuckDB replaces them.
@@ -118,4 +123,36 @@ ORACLE_SQL: dict[str, str] = {
             sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
             CAST(sum(8 + length({_ROLE}) + length({_ESCAPE.format('text')})) AS BIGINT) AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op11_interaction": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        masks AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+                + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+            FROM texts LEFT JOIN (
+                SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+        counts AS (SELECT part, mask, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+        letters AS (SELECT substr('ABCDE', k + 1, 1) AS f, 1 << k AS b FROM range(5) t(k)),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE a.b + b.b + c.b + d.b + e.b = 31 AND (a.b | b.b | c.b | d.b | e.b) = 31),
+        steps AS (
+            SELECT filter_order, step, f, b, (SELECT coalesce(sum(p.b), 0) FROM letters p WHERE contains(substr(filter_order, 1, step - 1), p.f)) AS before
+            FROM orders, range(1, 6) t(step), letters WHERE f = substr(filter_order, step, 1)),
+        walked AS (
+            SELECT part, filter_order, CAST(step AS INT) AS step, f,
+                CAST(sum(CASE WHEN mask & before = 0 AND mask & b = 0 THEN docs ELSE 0 END) AS BIGINT) AS kept,
+                CAST(sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN docs ELSE 0 END) AS BIGINT) AS removed,
+                CAST(sum(CASE WHEN mask & before <> 0 AND mask & b <> 0 THEN docs ELSE 0 END) AS BIGINT) AS redundant,
+                CAST(sum(CASE WHEN mask = b THEN docs ELSE 0 END) AS BIGINT) AS unique_fails,
+                CAST(sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+                CAST(sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+            FROM counts, (SELECT filter_order, step, f, b, CAST(before AS BIGINT) AS before FROM steps) GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM walked""",
 }
