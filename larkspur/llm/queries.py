@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, interaction, neighbours, packing, pieces, pii, quality, secrets, shards, simhash, spans, toxicity
+from . import chat, interaction, neighbours, packing, pieces, pii, quality, secrets, shards, simhash, spans, toxicity, trie
 from .common import read_table, shared_dir
 
 
@@ -89,6 +89,10 @@ def op11_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_nearest": op2_nearest,
@@ -101,6 +105,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_interaction": op11_interaction,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: The control strings of the chat template, as DuckDB replaces them.
@@ -155,4 +160,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
             CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
         FROM walked""",
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE placed AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        crc(c, s, k, v) AS (
+            SELECT DISTINCT c, CAST(c AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM placed
+            UNION ALL
+            SELECT c, s, k + 1, list_reduce(list_prepend(xor(v, CAST(ascii(substr(s, k + 1, 1)) AS BIGINT)), CAST(range(8) AS BIGINT[])), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))
+            FROM crc WHERE k < length(s)),
+        convs AS (SELECT c, c - ((c % 5) + 5) % 5 AS base, xor(v, 4294967295) % 9 AS h FROM crc WHERE k = length(s)),
+        turns AS (
+            SELECT v.c, p.pos AS depth, p.role, p.text FROM convs v JOIN placed p ON p.c = v.base AND p.pos <= v.h
+            UNION ALL
+            SELECT v.c, p.pos - v.h + (SELECT count(*) FROM placed b WHERE b.c = v.base AND b.pos <= v.h), p.role, p.text FROM convs v JOIN placed p ON p.c = v.c AND p.pos > v.h),
+        paths AS (
+            SELECT c, 0 AS depth, '' AS key, 0 AS bytes FROM convs
+            UNION ALL
+            SELECT c, depth, sha256(string_agg(sha256(strlen(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY depth)) AS key, strlen(text) AS bytes FROM turns),
+        nodes AS (SELECT depth, key, min(c) AS owner, count(*) AS n, max(bytes) AS bytes FROM paths GROUP BY depth, key),
+        parents AS (
+            SELECT n.depth, n.key, p.owner AS parent, u.key AS above FROM nodes n JOIN paths u ON u.c = n.owner AND u.depth = n.depth - 1 JOIN nodes p ON p.depth = u.depth AND p.key = u.key),
+        children AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n FROM parents GROUP BY ALL),
+        subtrees AS (
+            SELECT a.depth, a.key, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((w.n - 1) * w.bytes) AS saved
+            FROM nodes w LEFT JOIN children k USING (depth, key) JOIN paths a ON a.c = w.owner AND a.depth <= w.depth GROUP BY a.depth, a.key),
+        ends AS (
+            SELECT depth, key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha
+            FROM (SELECT c, max(depth) AS depth FROM paths GROUP BY c) JOIN paths USING (c, depth) GROUP BY depth, key)
+        SELECT n.owner AS conv_id, CAST(depth AS BIGINT) AS depth, p.parent AS parent_conv_id, n.n AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+            CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+        FROM nodes n JOIN subtrees s USING (depth, key) LEFT JOIN parents p USING (depth, key) LEFT JOIN children k USING (depth, key) LEFT JOIN ends e USING (depth, key)""",
 }
