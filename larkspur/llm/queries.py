@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, interaction, neighbours, packing, pieces, pii, quality, secrets, shards, simhash, spans, toxicity, trie
+from . import backoff, chat, interaction, neighbours, packing, pieces, pii, quality, secrets, shards, simhash, spans, toxicity, trie
 from .common import read_table, shared_dir
 
 
@@ -89,6 +89,10 @@ def op11_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(read_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -105,6 +109,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_interaction": op11_interaction,
+    "op12_backoff": op12_backoff,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
