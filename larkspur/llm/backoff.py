@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
 
-#: Tokens of an n-gram, and the weight of the shorter context in the estimate of the longer.
-ORDER, MU = 3, 256.0
+#: Tokens of the longest n-grams, and the weight of the shorter context in the estimate of the longer.
+ORDER, MU = 2, 256.0
 #: One in so many ids is held out: those with this remainder.
 FOLDS, HELD_OUT = 7, 2
 #: Tokens in a block; a longer text is a block of its own.
@@ -194,11 +194,15 @@ class Block:
 
 
 class Automaton:
-    """States, arcs and failure arcs that the texts of a block can reach."""
+    """States, arcs and failure arcs that the texts of a block can reach.
+
+    Arcs lie in arrays, one entry for each distinct n-gram of the block; a walk looks
+    them up in a table of those that its own text can meet.
+    """
 
     def __init__(self, block: Block, counts: dict[int, np.ndarray], *, order: int, mu: float, learned: int, distinct: int):
-        width = self.width = len(block.words)
-        single = (counts[1] + 1.0) / (learned + distinct + 1.0)
+        self.block, width = block, len(block.words)
+        p = single = (counts[1] + 1.0) / (learned + distinct + 1.0)
         self.single = np.log10(single)
         # state 0 has no context; the others are the contexts that occur and can be gone on from
         state, states = {0: np.zeros(1, np.int64)}, 1
@@ -211,39 +215,43 @@ class Automaton:
             states += int(goes_on.sum())
             fail.append((state[n - 1][block.suffixes(n)] if n > 1 else np.zeros(width, np.int64))[goes_on])
             price.append(np.log10(mu / (counts[n][goes_on] + mu)))
-        self.fail, self.price = np.concatenate(fail).tolist(), np.concatenate(price).tolist()
+        self.fail, self.price = np.concatenate(fail), np.concatenate(price)
         self.start = max(int(state[1][0]), 0) if order > 1 else 0
-        self.arcs: dict[int, int] = {}
-        weight, to, p = [], [], single
+        #: For each length: whether an n-gram is an arc, its state and token as one number, its weight, and the state it leads to.
+        self.arcs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in range(1, order + 1):
-            every = np.arange(width) if n == 1 else np.flatnonzero(counts[n] > 0)
-            token = block.tokens[block.gram(n).first]
-            if n > 1:
+            token, occurs = block.tokens[block.gram(n).first], counts[n] > 0
+            if n == 1:
+                source, occurs = np.zeros(width, np.int64), np.ones(width, bool)  # from no context, the unknown has an arc too
+            else:
                 context = block.contexts(n)
-                of_context, below = counts[n - 1][context], p[block.suffixes(n)]
+                of_context, below, source = counts[n - 1][context], p[block.suffixes(n)], state[n - 1][context]
                 p = np.where(of_context > 0, (counts[n] + mu * below) / (of_context + mu), below)
-            source = np.zeros(width, np.int64) if n == 1 else state[n - 1][context]
-            if n < order:  # where the n-gram is no context, the walk goes on from the root: no context is longer than what occurs
-                target = np.maximum(state[n], 0)
-            else:
-                target = np.maximum(state[n - 1][block.suffixes(n)], 0) if n > 1 else source
-            done = len(to)
-            self.arcs.update(zip((source[every] * width + (every if n == 1 else token[every])).tolist(), range(done, done + len(every)), strict=True))
-            weight += np.log10(p[every]).tolist()
-            to += target[every].tolist()
-        self.weight, self.to = weight, to
-
-    def walk(self, tokens: list[int]) -> float:
-        """The log10 probability of a text's tokens, read from left to right."""
-        arcs, weight, to, fail, price, width = self.arcs.get, self.weight, self.to, self.fail, self.price, self.width
+            # the longest context that what was read ends with; after an end nothing is read
+            target = state[n] if n < order else state[n - 1][block.suffixes(n) if n > 1 else np.zeros(width, np.int64)]
+            self.arcs[n] = occurs, source * width + token, np.log10(p), np.maximum(target, 0)
+
+    def walk(self, begin: int, end: int) -> float:
+        """The log10 probability of the tokens at ``begin`` to ``end``, read from left to right."""
+        table: dict[int, int] = {}
+        weight: list[float] = []
+        to: list[int] = []
+        for n, (occurs, key, log_p, target) in self.arcs.items():
+            at = self.block.gram(n).at[begin:end]
+            at = at[at >= 0]
+            at = at[occurs[at]]
+            table.update(zip(key[at].tolist(), range(len(weight), len(weight) + len(at)), strict=True))
+            weight += log_p[at].tolist()
+            to += target[at].tolist()
+        fail, price, width = self.fail, self.price, len(self.block.words)
         state, total = self.start, 0.0
-        for token in tokens:
-            while (arc := arcs(state * width + token)) is None:
+        for token in self.block.tokens[begin:end].tolist():
+            while (arc := table.get(state * width + token)) is None:
                 total += price[state]
-                state = fail[state]
+                state = int(fail[state])
             total += weight[arc]
             state = to[arc]
-        return total
+        return float(total)
 
 
 def _asks(lengths: list[int], parts: int):
@@ -322,9 +330,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
         b = Block(block.to_pylist()[0])
         counts, _ = b.counts(known.to_pylist(), parts, order)
         automaton = Automaton(b, counts, order=order, mu=mu, learned=learned, distinct=distinct)
-        tokens, begins = b.tokens[1:], np.concatenate([[0], b.ends[:-1]])
-        sums = lambda x: np.add.reduceat(x[tokens], begins)
-        scores = [automaton.walk(tokens[a:e].tolist()) for a, e in zip(begins, b.ends, strict=True)]
+        begins = np.concatenate([[0], b.ends[:-1]])
+        sums = lambda x: np.add.reduceat(x[b.tokens[1:]], begins)
+        scores = [automaton.walk(a + 1, e + 1) for a, e in zip(begins, b.ends, strict=True)]
         return pa.table(
             {
                 "id": pa.array(b.row["ids"], pa.int64()), "n_tokens": b.ends - begins, "n_known": sums((counts[1] > 0).astype(np.int64)),
