@@ -47,8 +47,8 @@ FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS = 1 << 20
 #: The end of a text: no word has a blank in it.
 END = b" "
-#: Blocks for each part that asks are dealt into, and parts at least.
-BLOCKS_PER_PART, LEAST_PARTS = 4, 16
+#: Parts that asks are dealt into, at least; there are as many as blocks.
+LEAST_PARTS = 16
 
 _BLOCK = "block bigint, ids array<bigint>, learned array<boolean>, ends binary, tokens binary, words binary"
 _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("learned", pa.list_(pa.bool_())), ("ends", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary())])
@@ -107,6 +107,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts from 0 as integers of the least width that holds them, after one byte that says which."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or counts.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
 @dataclass
 class _Grams:
     """The distinct n-grams of one length in a block."""
@@ -178,7 +188,7 @@ class Block:
         g = self.gram(n)
         for part, which in self.dealt(n, shared, parts):
             keys = b"\n".join([self.words[i] for i in which]) if n == 1 else g.key[which].tobytes()
-            yield {"n": n, "part": part, "block": self.row["block"], "keys": keys, "own": g.own[which].astype(np.int64).tobytes()}
+            yield {"n": n, "part": part, "block": self.row["block"], "keys": keys, "own": _packed(g.own[which])}
 
     def counts(self, answers: list[dict], parts: int, order: int) -> tuple[dict[int, np.ndarray], np.ndarray | None]:
         """Counts over all blocks up to ``order``, and which of the longest n-grams other blocks have too."""
@@ -186,7 +196,7 @@ class Block:
         for n in range(1, order + 1):
             out[n], others = self.gram(n).own.copy(), np.zeros(len(self.gram(n).key), bool)
             for part, which in self.dealt(n, shared if n > 2 else None, parts):
-                added = np.frombuffer(more[n, part], np.int64)
+                added = _unpacked(more[n, part]) - 1
                 out[n][which] += np.maximum(added, 0)
                 others[which] = added >= 0
             shared = others
@@ -275,9 +285,9 @@ def _asks_after(n: int, parts: int):
 
 
 def _answer(asks: pa.Table) -> pa.Table:
-    """All asks of one length and part: what other blocks add to each count (-1 where no other has the n-gram), and sums over the part."""
+    """All asks of one length and part: one more than what other blocks add to each count (0 where no other has the n-gram), and sums over the part."""
     n, part = asks["n"][0].as_py(), asks["part"][0].as_py()
-    own = [np.frombuffer(x, np.int64) for x in asks["own"].to_pylist()]
+    own = [_unpacked(x) for x in asks["own"].to_pylist()]
     cuts, every = [0, *accumulate(map(len, own))], np.concatenate(own)
     if n == 1:
         numbers = _Numbers()
@@ -285,10 +295,10 @@ def _answer(asks: pa.Table) -> pa.Table:
     else:
         _, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in asks["keys"].to_pylist()]), return_inverse=True)
     total = np.bincount(at, weights=every).astype(np.int64)  # exact below 2^53
-    more = np.where(np.bincount(at)[at] > 1, total[at] - every, -1)
+    more = np.where(np.bincount(at)[at] > 1, total[at] - every + 1, 0)
     known = [int(total.sum()), int((total > 0).sum())] if n == 1 else [0, 0]
     rows = [
-        {"n": n, "part": part, "block": block, "more": more[a:b].tobytes(), "learned": known[0] if k == 0 else 0, "distinct": known[1] if k == 0 else 0}
+        {"n": n, "part": part, "block": block, "more": _packed(more[a:b]), "learned": known[0] if k == 0 else 0, "distinct": known[1] if k == 0 else 0}
         for k, (block, a, b) in enumerate(zip(asks["block"].to_pylist(), cuts, cuts[1:], strict=False))
     ]
     return pa.Table.from_pylist(rows, schema=_ANSWER_ARROW)
@@ -318,7 +328,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     read = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(~held_out(F.col(id_col)), F.lit(False)).alias("learned"), text.alias("text"))
     blocks = written(read.mapInArrow(_tokenise, _BLOCK), "lm-blocks")
-    parts = max(LEAST_PARTS, blocks.count() // BLOCKS_PER_PART)
+    parts = max(LEAST_PARTS, blocks.count())
     first = [1, 2] if order > 1 else [1]
     answers = written(_answers(blocks.mapInArrow(_asks(first, parts), _ASK)), "lm-answers")
     for n in range(3, order + 1):

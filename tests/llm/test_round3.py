@@ -143,7 +143,7 @@ def test_scores_are_probabilities(spark):
     ids = [i for i in range(100, 400) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
     texts = ["a b a", "a b b", "a b c", "a b unknown"]
     rows = seen + list(zip(ids, texts, strict=True))
-    score = {r.doc_id: r.score for r in backoff.score(spark.createDataFrame(rows, "doc_id bigint, text string"), mu=1.5).collect()}
+    score = {r.doc_id: r.score for r in backoff.score(spark.createDataFrame(rows, "doc_id bigint, text string"), order=3, mu=1.5).collect()}
     # the price of the end after each is taken off by the model learned from the same texts
     ends = {"a b a": "b a", "a b b": "b b", "a b c": "b c", "a b unknown": "unknown"}
     model = slow_model(seen, 3, 1.5)
