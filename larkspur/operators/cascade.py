@@ -89,9 +89,9 @@ def price_checked(tries: DataFrame, keys: list[str]) -> DataFrame:
     return tries.select(*keys).distinct().join(passing, keys, "left").withColumn("status", F.when(F.col("try_order").isNull(), "Failed").otherwise("Success"))
 
 
-def gap_outliers(rows: DataFrame, references: DataFrame, threshold: float) -> DataFrame:
+def gap_outliers(rows: DataFrame, references: DataFrame, threshold: float, keys: list[str] = matching.GROUP) -> DataFrame:
     """Rows whose price is further from its reference than the threshold, strictly."""
-    joined = rows.where(F.col("price") > 0).join(references.where(F.col("ref_price") > 0), ["query_id", "website"])
+    joined = rows.where(F.col("price") > 0).join(references.where(F.col("ref_price") > 0), keys)
     return joined.withColumn("gap", parse.gap("price", "ref_price")).where(F.col("gap") > threshold)
 
 

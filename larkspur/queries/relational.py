@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed, parse, text
-from ..operators import cascade, html, judge, matching
+from ..functions import fixed, text
+from ..operators import cascade, html, judge, matching, similarity
 from ..sources import tables
 from ..streaming import progress
-from .common import query, table, values
+from .common import duck_norm, query, table, values
+from .scalars import DUCK_LCS, DUCK_SETS
 
 # Retailers for SQL.
 SITES = values([(0, "Amazon.com"), (1, "BestBuy.com"), (2, "Walmart.com"), (3, "Newegg.com")], "site_order, website")
@@ -44,6 +45,39 @@ def jn03(spark, d):
     return matching.listings_of(listings, q, ["query_id"], ~F.contains("title", F.lit("new"))).select("query_id", "rank", "title")
 
 
+SIMILAR = 90.0
+TITLES = f"titles AS (SELECT q, count(*) AS n FROM (SELECT {duck_norm("p_name || ' ' || p_brand || ' ' || p_type")} AS q FROM part) GROUP BY q)"
+KINDS = f"titles AS (SELECT q, count(*) AS n FROM (SELECT {duck_norm("p_name || ' ' || p_type")} AS q FROM part) GROUP BY q)"
+# a distance with substitutions is no larger than one without; it leaves few pairs for the exact measure
+ALL_PAIRS = "pairs AS (SELECT CAST(row_number() OVER () AS BIGINT) AS pair_id, x.q, y.q AS t, x.n AS parts_a, y.n AS parts_b FROM titles x JOIN titles y ON x.q < y.q {})"
+
+
+def _similar(spark, d, columns, measure):
+    """Similar pairs of distinct texts made from ``part``, with the number of parts that have each."""
+    rows = table(spark, d, "part").select(text.normalized(F.concat_ws(" ", *columns)).alias("text"))
+    n = rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    pairs = similarity.similar_pairs(rows, "text", measure, SIMILAR)
+    for side in "ab":
+        pairs = pairs.join(n.select(F.col("text").alias(side), F.col("n").alias(f"parts_{side}")), side)
+    return pairs.select("a", "b", "score", "parts_a", "parts_b")
+
+
+@query("JN-03_similar_titles", f"""
+    WITH RECURSIVE {TITLES}, {ALL_PAIRS.format("WHERE 10 * levenshtein(x.q, y.q) <= length(x.q) + length(y.q)")},
+    texts AS (SELECT pair_id, q AS a, t AS b FROM pairs), {DUCK_LCS}
+    SELECT s.a, s.b, 200.0 * best[len(best)] / (length(s.a) + length(s.b)) AS score, parts_a, parts_b FROM steps s JOIN pairs USING (pair_id)
+    WHERE i = length(s.a) AND 200 * best[len(best)] >= {SIMILAR} * (length(s.a) + length(s.b))""")
+def jn03_similar(spark, d):
+    return _similar(spark, d, ["p_name", "p_brand", "p_type"], "ratio")
+
+
+@query("JN-03_alike_words", f"""
+    WITH RECURSIVE {KINDS}, {ALL_PAIRS.format("")}, p AS (SELECT pair_id, q, t FROM pairs), {DUCK_SETS}
+    SELECT q AS a, t AS b, token_set AS score, parts_a, parts_b FROM alike JOIN pairs USING (pair_id) WHERE token_set >= {SIMILAR}""")
+def jn03_alike(spark, d):
+    return _similar(spark, d, ["p_name", "p_type"], "token_set")
+
+
 GAPS = """
     SELECT l_orderkey AS query_id, l_linenumber, l_extendedprice / l_quantity AS price, p_retailprice AS ref_price,
         abs(l_extendedprice / l_quantity - p_retailprice) / p_retailprice AS gap
@@ -52,10 +86,9 @@ GAPS = """
 
 @query("JN-04_price_gap_join", f"SELECT query_id, l_linenumber, gap FROM ({GAPS}) WHERE gap > 0.2")
 def jn04(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), "l_linenumber", "l_partkey", F.lit("Amazon.com").alias("website"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), "l_linenumber", "l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     ref = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("ref_price"))
-    joined = rows.join(ref, "l_partkey").where("price > 0 AND ref_price > 0")
-    return joined.withColumn("gap", parse.gap("price", "ref_price")).where("gap > 0.2").select("query_id", "l_linenumber", "gap")
+    return cascade.gap_outliers(rows, ref, 0.2, ["l_partkey"]).select("query_id", "l_linenumber", "gap")
 
 
 @query("JN-05_not_tried", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
