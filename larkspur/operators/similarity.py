@@ -12,6 +12,10 @@ pairs that are alike as a whole. A text may also be alike for the words that it
 shares alone; then the rest of its letters is few, and one of its rarest words, as
 many as have more letters than that, is a word of the other.
 
+Before the measure decides, a pair meets two sketches of 64 bits: the parities of a
+text's letters and of its pairs of letters. An edit changes one letter, so one bit,
+and up to three pairs of letters.
+
 A q-gram that many texts list is dealt into blocks of these, and each pair of blocks
 meets in a task of its own; so no list is in one place, whatever its length.
 """
@@ -52,8 +56,14 @@ def _blocks(rows: DataFrame, side: str) -> DataFrame:
     return checkpointed(counts.where(F.col(f"n_{side}") > 1))
 
 
+def _parities(values: Column) -> Column:
+    """64 bits, each the parity of how many of the values have its number."""
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(v), F.lit(64)).cast("int"))
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda bits, v: bits.bitwiseXOR(bit(v)))
+
+
 def _meet(left: DataFrame, right: DataFrame, close: Column) -> DataFrame:
-    """Distinct pairs ``x < y`` of ids whose lists ``id, key, size`` meet and that are ``close`` (of ``size`` and ``other``)."""
+    """Distinct pairs ``x < y`` of ids whose lists ``id, key, size`` meet and that are ``close`` (of ``size, letters, twos`` and those of the ``other``)."""
     many = _small(checkpointed(_blocks(left, "l").join(_blocks(right, "r"), "key", "full")))
     one = lambda c: F.coalesce(c, F.lit(1))
 
@@ -61,7 +71,7 @@ def _meet(left: DataFrame, right: DataFrame, close: Column) -> DataFrame:
         rows = rows.join(many, "key", "left").withColumn(own, F.pmod(F.xxhash64("id"), one(f"n_{own}")).cast("int"))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), one(f"n_{other}") - 1))).drop("n_l", "n_r")
 
-    others = dealt(right, "r", "l").withColumnsRenamed({"id": "other_id", "size": "other"})
+    others = dealt(right, "r", "l").withColumnsRenamed({c: f"other_{c}" for c in ("id", "size", "letters", "twos")})
     met = dealt(left, "l", "r").join(others, ["key", "l", "r"]).where((F.col("id") != F.col("other_id")) & close)
     return met.select(F.least("id", "other_id").alias("x"), F.greatest("id", "other_id").alias("y")).distinct()
 
@@ -78,12 +88,17 @@ def candidates(texts: DataFrame, measure: str, least: float) -> DataFrame:
     size = F.length("text")
     padded = F.concat(F.lit(" " * (q - 1)), F.col("text"), F.lit(" " * (q - 1)))
     grams = F.transform(F.sequence(F.lit(1), size + q - 1), lambda i: F.substring(padded, i, F.lit(q)))
+    letters = F.filter(F.split("text", ""), lambda c: c != "")
+    known = texts.withColumn("grams", grams).select("id", size.alias("size"), _parities(letters).alias("letters"), _parities(F.col("grams")).alias("twos"), "grams")
+    facts = ["id", "size", "letters", "twos"]
     # a q-gram that a text has three times is three keys
-    each = texts.select("id", size.alias("size"), F.explode(grams).alias("gram")).groupBy("id", "size", "gram").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    each = checkpointed(each.select("id", "size", F.explode(F.sequence(F.lit(1), "n")).alias("i"), "gram").select("id", "size", F.concat_ws(":", "i", "gram").alias("key")))
+    each = known.select(*facts, F.explode("grams").alias("gram")).groupBy(*facts, "gram").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    each = checkpointed(each.select(*facts, F.explode(F.sequence(F.lit(1), "n")).alias("i"), "gram").select(*facts, F.concat_ws(":", "i", "gram").alias("key")))
     edits = F.floor(F.col("size") * (2 * (100 - least) / least) + 1e-9)
     listed = checkpointed(_rarest(each, F.lit(1), F.col("before") <= q * edits))
-    close = F.least("size", "other") * 200 >= (F.col("size") + F.col("other")) * least - 1e-9
+    apart = (F.col("size") + F.col("other_size")) * ((100 - least) / 100) + 1e-9
+    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}")))
+    close = (F.abs(F.col("size") - F.col("other_size")) <= apart) & (differ("letters") <= apart) & (differ("twos") <= (2 * q - 1) * apart)
     pairs = _meet(listed, listed, close)
     if measure == "token_set":
         rows = texts.select("id", size.alias("size"), F.explode("words").alias("key"))
