@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import jobs, pages, predicates, relational, scalars  # noqa: F401
+from .queries import jobs, pages, predicates, relational, scalars, streams  # noqa: F401
 from .queries.common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
