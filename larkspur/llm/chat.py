@@ -197,8 +197,9 @@ def log_of_turns(conversations: DataFrame, delta_chars: int = 256) -> DataFrame:
 
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / delta_chars).cast("int"))
-    streamed = F.transform(starts, lambda i: F.struct(F.lit("delta").alias("kind"), F.substring(F.col("text"), i * delta_chars + 1, F.lit(delta_chars)).alias("piece")))
+    # cut in one pass: a substring would look for its beginning from the start each time
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    streamed = F.transform(F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(pieces), lambda p: F.struct(F.lit("delta").alias("kind"), p.alias("piece")))
     whole = F.array(F.struct(F.lit("delta").alias("kind"), F.col("text").alias("piece")))
     opened = F.array(F.struct(F.lit("open").alias("kind"), F.lit("").alias("piece")))
     events = F.concat(opened, F.when(F.col("role") == "assistant", streamed).otherwise(whole))

@@ -7,6 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,29 +53,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that ``written`` makes while ``own_folders`` is open in this thread.
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back (for wide rows)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    if (folders := _FOLDERS.get()) is not None:
+        folders.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
-#: Folders that ``written`` has made in this process, for ``remove_written``.
-WRITTEN: list[str] = []
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever Spark keeps it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def remove_written(spark: SparkSession) -> None:
-    """Delete what ``written`` has made, once nothing reads it any more."""
-    while WRITTEN:
-        remove(spark, WRITTEN.pop())
+@contextmanager
+def own_folders(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``written`` makes inside, at the end; what other threads write stays."""
+    mine = _FOLDERS.set([])
+    try:
+        yield
+    finally:
+        for path in _FOLDERS.get():
+            remove(spark, path)
+        _FOLDERS.reset(mine)
 
 
 #: Rows of a table of group results (a few hundred bytes each) that may be broadcast.

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -219,10 +219,13 @@ def find(text: str) -> list[tuple[str, int, int, str, bool]]:
     for step in (_unbracketed, _undisguised):
         chain.append(step(chain[-1].text))
     if chain[-1].text != text:
+        # plain spans of a kind lie one after the other, so only the last that begins before an end can overlap
+        plain = {kind: [(x, y) for k, x, y in base if k == kind] for kind in KINDS}
         for kind, a, b in base_spans(chain[-1].text):
             for step in reversed(chain):
                 a, b = step.back(a, b)
-            if not any(k == kind and x < b and a < y for k, x, y in base):
+            at = bisect_left(plain[kind], (b,)) - 1
+            if at < 0 or plain[kind][at][1] <= a:
                 out.append((kind, a, b, text[a:b], False))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -36,18 +36,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-#: Arrivals that op4_shards makes of a table's files.
-ARRIVALS = 4
-
-
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Let the files of the documents arrive one after the other in some groups, compact after each, and read the last version back."""
+    """Let the documents arrive in parts, compact after each, and read the last version back."""
     store = shards.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    documents = read_table(spark, sf_dir, "documents")
-    files = sorted(documents.inputFiles())
-    for k in range(min(ARRIVALS, len(files))):
-        store.append(spark.read.schema(documents.schema).parquet(*files[k::ARRIVALS]))
-        store.compact()
+    shards.arrive(store, read_table(spark, sf_dir, "documents"), "doc_id")
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

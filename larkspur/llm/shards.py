@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TARGET_BYTES = 128 << 20
@@ -222,3 +223,20 @@ class ShardStore:
         if now is None:
             raise ValueError(f"no table at {self.path}")
         return self._read(now.schema, now.shards)
+
+
+#: Parts in which ``arrive`` lets a table in: so many that runs are merged, whatever the table's size and files.
+ARRIVALS = 2 * FANOUT
+
+
+def arrive(store: ShardStore, rows: DataFrame, id_col: str, arrivals: int = ARRIVALS) -> None:
+    """Append a table in ``arrivals`` parts, dealt by id, and compact after each; what merging leaves behind goes at once.
+
+    An arrival has as many files as its share of the table's. Rows without an id arrive
+    together; an empty table commits empty arrivals.
+    """
+    files = max(1, len(rows.inputFiles()) // arrivals)
+    part = F.pmod(F.xxhash64(id_col), F.lit(arrivals))
+    for k in range(arrivals):
+        store.append(rows.where(part == k).coalesce(files))
+        store.compact(vacuum=True)

@@ -5,14 +5,17 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from itertools import permutations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from larkspur.llm import backoff, interaction, trie
+from larkspur.llm import backoff, chat, common, interaction, pii, shards, trie
 from larkspur.llm.queries import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -21,6 +24,62 @@ TURNS = "conv_id bigint, turn bigint, role string, text string, conv string, dep
 MORE = (None, None, None, None, None)
 
 
+# 4, 5, 7: what the last round left
+
+
+def test_shards_of_one_file_are_merged(spark, tmp_path):
+    """A table of one file arrives in parts, whose shards are merged; older versions can be read until vacuum."""
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    assert len(documents.inputFiles()) == 1
+    store = shards.ShardStore(spark, f"{tmp_path}/store")
+    shards.arrive(store, documents, "doc_id")
+    assert store.versions()[-1] > shards.ARRIVALS and len(store.manifest().shards) < shards.ARRIVALS / 2
+    assert sorted(r.doc_id for r in store.read().select("doc_id").collect()) == sorted(r.doc_id for r in documents.select("doc_id").collect())
+    store.append(documents.limit(3))
+    before = store.versions()[-1]
+    store.append(documents.limit(5))
+    assert store.read(before).count() == documents.count() + 3 and store.read().count() == documents.count() + 8
+
+
+def test_one_long_turn_is_cut_in_linear_time(spark):
+    def took(n):
+        turns = spark.createDataFrame([(1, 0, "assistant", "a")], "conv_id bigint, turn bigint, role string, text string").withColumn("text", F.repeat(F.lit("Ä😀\n z"), n // 5))
+        began = time.perf_counter()
+        row = chat.log_of_turns(turns).where("kind = 'delta'").agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("deltas"), F.max(F.length("text")).alias("most")).first()
+        assert (row.n, row.deltas, row.most) == (n // 5 * 5, -(-(n // 5 * 5) // 256), 256)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(20_000_000) < 60
+
+
+def test_many_spans_and_disguises_take_linear_time():
+    def took(n):
+        text = " ".join(f"a{k}@ex.com b{k} [at] ex.com" for k in range(n))
+        began = time.perf_counter()
+        found = pii.find(text)
+        assert sum(base for *_, base in found) == n and len(found) == 2 * n
+        return time.perf_counter() - began
+
+    small = took(5000)
+    assert took(100_000) < 60 * small + 1
+
+
+def test_folders_of_two_runs_do_not_meet(spark):
+    with common.own_folders(spark):
+        mine = common.written(spark.range(3), "mine")
+        with ThreadPoolExecutor(1) as other:
+
+            def run():
+                with common.own_folders(spark):
+                    return common.written(spark.range(4), "other").count()
+
+            assert other.submit(run).result() == 4
+        assert mine.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
+        spark.read.parquet(*mine.inputFiles()).count()
+
+
 # 11: filter interaction
 
 
