@@ -55,8 +55,8 @@ SHARE = 0.75
 START_ROWS, STARTS, MOST_STEPS = 1500, 50, 50
 #: Change of a logarithmic determinant that counts as settled (a thousandth of the determinant, far below its sampling error).
 SETTLED = 1e-3
-#: Rows that pass the base rules from which a group has its own estimate; smaller ones pool by language, then together.
-LEAST_ROWS = 100
+#: Rows that pass the base rules from which a group has its own estimate, ten for each statistic; smaller ones pool by language, then together.
+LEAST_ROWS = 40
 #: Chance that a text of the group's own distribution is rejected, were it normal.
 REJECT = 1e-9
 BINS_PER_OCTAVE = 64

@@ -15,7 +15,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import backoff, chat, common, interaction, pii, shards, trie
+from larkspur.llm import backoff, chat, common, interaction, pii, quality, shards, trie
 from larkspur.llm.queries import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -41,6 +41,21 @@ def test_shards_of_one_file_are_merged(spark, tmp_path):
     assert store.read(before).count() == documents.count() + 3 and store.read().count() == documents.count() + 8
 
 
+def test_small_groups_have_their_own_estimate(spark):
+    """Two sources of forty texts each with opposed centres: what is usual in one is an outlier in the other."""
+    rng = random.Random(5)
+
+    def text(letters):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(max(1, round(rng.gauss(letters, 1))))) for _ in range(rng.randint(80, 160))]
+        words = [w.capitalize() if rng.random() < 0.1 else w for w in words]
+        return " ".join(w + rng.choice([",", ".", ""]) for w in words)
+
+    rows = [(k, text(4 if k % 2 else 12), "en", "short" if k % 2 else "long") for k in range(80)]
+    rows += [(100, text(12), "en", "short"), (101, text(4), "en", "long")]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not kept[100] and not kept[101] and sum(kept.values()) >= 79
+
+
 def test_one_long_turn_is_cut_in_linear_time(spark):
     def took(n):
         turns = spark.createDataFrame([(1, 0, "assistant", "a")], "conv_id bigint, turn bigint, role string, text string").withColumn("text", F.repeat(F.lit("Ä😀\n z"), n // 5))
