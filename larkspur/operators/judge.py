@@ -28,13 +28,21 @@ def suggested(act: C, suggestion: C, expected: C) -> Column:
 
 
 def titles(rows: DataFrame, verdicts: DataFrame, enabled: bool = True) -> DataFrame:
-    """``expected, scraped`` with ``match`` and ``verified``: without a verdict a title is accepted unverified."""
-    joined = rows.join(verdicts.select("expected", "scraped", F.col("match").alias("__match")), ["expected", "scraped"], "left")
+    """``expected, scraped`` with ``match`` and ``verified``: without a verdict a title is accepted unverified.
+
+    Where verdicts have an ``action`` and a ``suggested_search``, rows have a ``suggestion`` too.
+    """
+    says = "action" in verdicts.columns
+    more = [F.col("action").alias("__action"), F.col("suggested_search").alias("__suggested")] if says else []
+    joined = rows.join(verdicts.select("expected", "scraped", F.col("match").alias("__match"), *more), ["expected", "scraped"], "left")
     e, s = F.trim(F.coalesce("expected", F.lit(""))), F.trim(F.coalesce("scraped", F.lit("")))
     checked = F.lit(enabled) & (e != "") & (s != "")
     same = F.lower(e) == F.lower(s)
     match = F.when(~checked | same, True).otherwise(F.coalesce("__match", F.lit(True)))
-    return joined.select(*rows.columns, match.alias("match"), (checked & (same | F.col("__match").isNotNull())).alias("verified"))
+    out = [match.alias("match"), (checked & (same | F.col("__match").isNotNull())).alias("verified")]
+    if says:
+        out.append(F.when(~match, suggested(action("__action", match), "__suggested", "expected")).alias("suggestion"))
+    return joined.select(*rows.columns, *out)
 
 
 def prices(rows: DataFrame, verdicts: DataFrame, enabled: bool = True) -> DataFrame:

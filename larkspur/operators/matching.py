@@ -106,6 +106,33 @@ def first_valid(ordered: DataFrame, passes: Column, costs: Column, group: list[s
     return tried.where("__pass").withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__pass", "__cost", "__first")
 
 
+def picked(rows: DataFrame, keys: list[str], place: str, fields: list[str], most: int = fixed.MAX_ATTEMPTS) -> DataFrame:
+    """What one look through the candidates of each key gives, in the order of ``place``.
+
+    Rows have booleans ``gone, skip, match`` (not null) and a string ``suggestion``. A
+    candidate whose page is gone or that is to be skipped costs nothing; any other
+    costs a check, of which there are ``most``, and is taken if it matches; if not,
+    what it suggests to search for instead is noted. Returns ``keys``, ``taken`` (a
+    struct of ``fields``, null where nothing was), ``checks`` and ``refinements``, in
+    the order in which they came. A key has the rows of one page, so the list is short.
+    """
+    kept = F.struct(*fields)
+    listed = F.array_sort(F.collect_list(F.struct(place, "gone", "skip", "match", "suggestion", kept.alias("row"))))
+    kind = rows.select(kept.alias("row")).schema["row"].dataType
+    empty = F.struct(F.lit(0).alias("checks"), F.lit(False).alias("over"), F.lit(None).cast(kind).alias("taken"), F.array().cast("array<string>").alias("refinements"))
+
+    def look(s: Column, c: Column) -> Column:
+        new = c["suggestion"].isNotNull() & ~F.array_contains(s["refinements"], c["suggestion"])
+        noted = F.when(~c["match"] & F.coalesce(new, F.lit(False)), F.array_append(s["refinements"], c["suggestion"])).otherwise(s["refinements"])
+        taken = F.when(c["match"], c["row"]).otherwise(s["taken"])
+        checked = F.struct((s["checks"] + 1).alias("checks"), c["match"].alias("over"), taken.alias("taken"), noted.alias("refinements"))
+        ended = F.struct(s["checks"].alias("checks"), F.lit(True).alias("over"), s["taken"].alias("taken"), s["refinements"].alias("refinements"))
+        return F.when(s["over"] | c["gone"] | c["skip"], s).when(s["checks"] >= most, ended).otherwise(checked)
+
+    out = rows.groupBy(*keys).agg(listed.alias("__listed")).withColumn("__end", F.aggregate("__listed", empty, look))
+    return out.select(*keys, "__end.taken", "__end.checks", "__end.refinements")
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("__first", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__first = 1").drop("__first")

@@ -14,6 +14,9 @@ GROUP = matching.GROUP
 #: Where a listing comes from, in the order in which these are turned to: search pages, refined searches, known pages, a web search.
 SERP, REFINED, KNOWN, DISCOVERED = range(4)
 PAGE = [*GROUP, "source", "stage"]
+#: What is kept of a listing that is taken.
+ROW = ["place", "url", "serp_title", "score"]
+AMAZON = "Amazon.com"
 
 
 def offers(planned: DataFrame, served: DataFrame, about: DataFrame, discovered: DataFrame | None) -> DataFrame:
@@ -32,29 +35,62 @@ def offers(planned: DataFrame, served: DataFrame, about: DataFrame, discovered:
     return found.join(planned.select(*GROUP, F.col("match_query").alias("query")), GROUP)
 
 
-def acceptable(listings: DataFrame, title_verdicts: DataFrame) -> DataFrame:
-    """The listings that may be matched, each with its ``place`` on its page and score; known pages and finds score 100."""
+def candidates(listings: DataFrame, title_verdicts: DataFrame, gone: DataFrame) -> DataFrame:
+    """The listings that may be matched, each with its ``place`` on its page and score; known pages and finds score 100.
+
+    ``gone``: its page is not there any more; ``skip``: no answer to the query, found
+    without asking; ``unsafe``: not even for a retailer that takes what its search
+    gives; ``match`` and ``suggestion``: what was said of its title.
+    """
     formed = filters.with_forms(listings, "query", "title")
     pages = filters.drop_accessories(formed.where(F.col("source") <= REFINED), PAGE)
     ranked = matching.ranked(matching.candidates(pages, PAGE), PAGE)
     q, t = F.col("query_form"), F.col("title_form")
     fits = ~filters.model(q, t, "url") & ~filters.accessory(q, t) & (F.lower("title") != q["normalized"])
     given = formed.where((F.col("source") == KNOWN) | ((F.col("source") == DISCOVERED) & fits)).withColumn("score", F.lit(100.0)).withColumn("place", F.col("rank"))
-    tier = matching.accept_tier().isNotNull() & ~filters.skip_candidate("query", q, "title", t, "url")
-    both = ranked.withColumn("good", tier).unionByName(given.withColumn("good", F.lit(True)), allowMissingColumns=True)
+    unsafe = filters.skip_candidate("query", q, "title", t, "url") | ((F.col("website") == AMAZON) & filters.ram_kit(urls.path("url"), "title"))
+    other = filters.model(q, t, "url") | filters.accessory(q, t) | filters.earbuds_vs_headphones(q, t) | filters.known_earbuds(q, "url")
+    no = F.lit(False)
+    both = ranked.withColumn("unsafe", F.coalesce(unsafe, no)).withColumn("skip", F.col("unsafe") | F.coalesce(other, no))
+    both = both.unionByName(given.withColumn("unsafe", no).withColumn("skip", no), allowMissingColumns=True)
     judged = judge.titles(both.withColumn("expected", F.col("query")).withColumn("scraped", F.col("title")), title_verdicts)
-    return judged.where("good AND match").select(*PAGE, "place", "query", F.col("title").alias("serp_title"), "url", "score")
+    if "suggestion" not in judged.columns:
+        judged = judged.withColumn("suggestion", F.lit(None).cast("string"))
+    flagged = judged.join(gone.select("url", F.lit(True).alias("gone")), "url", "left").withColumn("gone", F.coalesce("gone", no))
+    return flagged.select(*PAGE, "place", "query", F.col("title").alias("serp_title"), "url", "score", "gone", "skip", "unsafe", "match", "suggestion")
+
 
+def looked_through(listed: DataFrame) -> DataFrame:
+    """One look through each search page: ``PAGE, taken, checks, refinements``."""
+    return matching.picked(listed.where(F.col("source") <= REFINED), PAGE, "place", ROW)
 
-def matched(valid: DataFrame, gone: DataFrame) -> DataFrame:
-    """The match of each query and retailer: the first acceptable listing; where its page is gone, the first known page or find that isn't."""
-    flagged = valid.join(gone.select("url", F.lit(True).alias("gone")), "url", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+def matched(listed: DataFrame, looks: DataFrame) -> DataFrame:
+    """The match of each query and retailer, and where it comes from.
+
+    It is what the look through the first search page that gives something has taken;
+    where no page does, of Amazon's own pages the first listing that is not unsafe and
+    matches, if its page is there; then the first known page or find that matches and is there.
+    """
     order = F.struct("source", "stage", "place", "url")
-    row = F.struct("source", "stage", "place", "url", "serp_title", "score", "gone")
-    later = F.when((F.col("source") >= KNOWN) & ~F.col("gone"), order)
-    picked = flagged.groupBy(*GROUP).agg(F.min_by(row, order).alias("first"), F.min_by(row, later).alias("later"))
-    chosen = picked.select(*GROUP, F.when(F.col("first.gone"), F.col("later")).otherwise(F.col("first")).alias("m"))
-    return chosen.where("m IS NOT NULL").select(*GROUP, "m.*").drop("gone")
+    row = F.struct("source", "stage", *ROW)
+    taken = F.struct("source", "stage", *(F.col(f"taken.{c}").alias(c) for c in ROW))
+    by_look = looks.where("taken IS NOT NULL").groupBy(*GROUP).agg(F.min_by(taken, F.struct("source", "stage")).alias("by_look"))
+    safe = F.min_by(F.struct(row.alias("row"), "gone"), F.when((F.col("website") == AMAZON) & (F.col("source") == SERP) & F.col("match") & ~F.col("unsafe"), order)).alias("safe")
+    later = F.min_by(row, F.when((F.col("source") >= KNOWN) & F.col("match") & ~F.col("gone"), order)).alias("later")
+    refined = F.col("by_look.source") == REFINED
+    first = F.when(~refined, F.col("by_look"))
+    own = F.when(~F.col("safe.gone"), F.col("safe.row"))
+    chosen = listed.groupBy(*GROUP).agg(safe, later).join(by_look, GROUP, "left").select(*GROUP, F.coalesce(first, own, "by_look", "later").alias("m"))
+    return chosen.where("m IS NOT NULL").select(*GROUP, "m.*")
+
+
+def refinements(looks: DataFrame, most: int = fixed.MAX_REFINEMENTS) -> DataFrame:
+    """What verdicts said to search for instead, where nothing was taken: ``GROUP, rank, search``, as many as are tried."""
+    said = looks.where(F.col("taken").isNull() & (F.col("source") == SERP)).select(*GROUP, "stage", F.posexplode("refinements").alias("at", "search"))
+    said = said.withColumn("key", F.lower(F.trim("search"))).where("key <> ''")
+    first = said.groupBy(*GROUP, "key").agg(F.min(F.struct("stage", "at", "search")).alias("first"))
+    return matching.serp_rank(first.select(*GROUP, "first.*"), GROUP, ["stage", "at"], most).select(*GROUP, "rank", "search")
 
 
 def extracted(valid: DataFrame, match: DataFrame, fields: DataFrame, price_verdicts: DataFrame) -> DataFrame:
@@ -65,7 +101,9 @@ def extracted(valid: DataFrame, match: DataFrame, fields: DataFrame, price_verdi
     match whose extracted title is an accessory or another model failed.
     """
     m = match.select(*GROUP, F.col("source").alias("m_source"), F.col("stage").alias("m_stage"), F.col("place").alias("m_place"))
-    same = valid.join(m, GROUP).where("source = m_source AND stage = m_stage AND place >= m_place")
+    # what a try does not cost is left out before tries are numbered
+    good = (F.col("match") & ~F.col("gone") & ~F.col("skip")) | (F.col("place") == F.col("m_place"))
+    same = valid.join(m, GROUP).where("source = m_source AND stage = m_stage AND place >= m_place").where(good)
     attempt = F.row_number().over(Window.partitionBy(*GROUP).orderBy("place", "url"))
     listed = same.withColumn("attempt", attempt).where(F.col("attempt") <= 1 + fixed.MAX_ATTEMPTS).select(*GROUP, "attempt", "query", "serp_title", "url", "score")
     tries = listed.join(fields.where(F.col("reject_reason").isNull()).select(*GROUP, "url", "stage", "method", *cascade.FIELDS), [*GROUP, "url"])
@@ -98,9 +136,9 @@ def compare(
     served = tables.usable_captures(captures)
     # what a page is about is joined from its narrow columns, so that its text is read for parsing alone
     about = captures.select("page_id", *GROUP, "kind", "stage", "method", "url", "http_status")
-    valid = checkpointed(acceptable(offers(planned, served, about, discovered), title_verdicts))
     gone = about.where((F.col("kind") == "pdp") & ~urls.reachable("url", F.col("http_status"))).select("url").distinct()
-    match = checkpointed(matched(valid, gone))
+    valid = checkpointed(candidates(offers(planned, served, about, discovered), title_verdicts, gone))
+    match = checkpointed(matched(valid, looked_through(valid)))
     # pages are parsed once: what they give is written before it is joined and judged
     fields = checkpointed(html.product_fields(served.where("kind = 'pdp'"))).drop("website").join(about.select("page_id", *GROUP, "stage", "method", "url"), "page_id")
     found = extracted(valid, match, fields, price_verdicts).withColumn("status", cascade.status("title", "price"))
