@@ -1,4 +1,4 @@
-"""The whole comparison: queries and captured pages to one ordered row for each query and retailer."""
+"""The whole comparison: queries and captured pages to one row for each query and retailer."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..functions import fixed, fuzzy, parse, urls
 from ..operators import cascade, filters, html, judge, matching
 from ..session import checkpointed
 from ..sources import tables
+from .hooks import Hooks, watched
 
 GROUP = matching.GROUP
 #: Where a listing comes from, in the order in which these are turned to: search pages, refined searches, known pages, a web search.
@@ -118,7 +119,7 @@ def extracted(valid: DataFrame, match: DataFrame, fields: DataFrame, price_verdi
 
 
 def compare(
-    queries: DataFrame, plans: DataFrame, captures: DataFrame, references: DataFrame, title_verdicts: DataFrame, price_verdicts: DataFrame, *, discovered: DataFrame | None = None, second: DataFrame | None = None
+    queries: DataFrame, plans: DataFrame, captures: DataFrame, references: DataFrame, title_verdicts: DataFrame, price_verdicts: DataFrame, *, discovered: DataFrame | None = None, second: DataFrame | None = None, hooks: Hooks | None = None
 ) -> DataFrame:
     """Queries ``(query_id, user_query)`` and captures ``(page_id, query_id, website, kind, stage, method, url, http_status, html)``.
 
@@ -128,19 +129,21 @@ def compare(
     (*pdp*) of its address give fields, with what ``extracted`` tries after them.
     Prices are judged and compared with references; outliers are replaced by the
     row of a ``second`` run ``(query_id, website, title, price, ...)`` where there was
-    one. Every query has a row for every retailer; a failed row of a known page
+    one. ``hooks`` take counts of the stages as they run. Every query has a row for every retailer; a failed row of a known page
     keeps its title and address.
     """
     spark = queries.sparkSession
-    planned = checkpointed(cascade.planned(tables.asked(queries), tables.retailers(spark), plans))
+    planned = checkpointed(watched(hooks, cascade.planned(tables.asked(queries), tables.retailers(spark), plans), "planned"))
     served = tables.usable_captures(captures)
     # what a page is about is joined from its narrow columns, so that its text is read for parsing alone
     about = captures.select("page_id", *GROUP, "kind", "stage", "method", "url", "http_status")
     gone = about.where((F.col("kind") == "pdp") & ~urls.reachable("url", F.col("http_status"))).select("url").distinct()
-    valid = checkpointed(candidates(offers(planned, served, about, discovered), title_verdicts, gone))
-    match = checkpointed(matched(valid, looked_through(valid)))
+    valid = candidates(offers(planned, served, about, discovered), title_verdicts, gone)
+    valid = checkpointed(watched(hooks, valid, "candidates", gone=F.col("gone"), skipped=F.col("skip"), refused=~F.col("match")))
+    match = checkpointed(watched(hooks, matched(valid, looked_through(valid)), "matched"))
     # pages are parsed once: what they give is written before it is joined and judged
-    fields = checkpointed(html.product_fields(served.where("kind = 'pdp'"))).drop("website").join(about.select("page_id", *GROUP, "stage", "method", "url"), "page_id")
+    fields = html.product_fields(served.where("kind = 'pdp'"))
+    fields = checkpointed(watched(hooks, fields, "fields", rejected=F.col("reject_reason").isNotNull())).drop("website").join(about.select("page_id", *GROUP, "stage", "method", "url"), "page_id")
     found = extracted(valid, match, fields, price_verdicts).withColumn("status", cascade.status("title", "price"))
     known = match.where(F.col("source") == KNOWN).select(*GROUP, F.col("serp_title").alias("known_title"), F.col("url").alias("known_url"))
     rows = cascade.always(planned, found).join(known, GROUP, "left").withColumn("known", F.col("known_url").isNotNull() & (F.col("status") != "Success"))
@@ -151,6 +154,7 @@ def compare(
     rows = rows.join(expected, GROUP, "left").withColumn("price_outlier", F.coalesce(far, F.lit(False))).drop("ref_price")
     if second is not None:
         rows = cascade.second_pass(rows, expected, second)
+    rows = watched(hooks, rows, "rows", succeeded=F.col("status") == "Success", outliers=F.col("price_outlier"))
     return rows.withColumn("trust_label", judge.trust("average_rating", "review_count")).select(
         "query_id", "site_order", "website", "title", "price", "average_rating", "review_count", "status", "method", "url", "price_outlier", "trust_label"
-    ).orderBy("query_id", "site_order")
+    )

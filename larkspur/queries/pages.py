@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, parse, text, urls
 from ..operators import cascade, html, judge, matching
 from ..plans import comparison
+from ..plans.hooks import Hooks
 from ..sources import sinks, tables
 from ..streaming import progress
 from .common import expect, formed_pairs, query, table, values
@@ -344,26 +345,43 @@ def ca04(spark, d):
     return compared(spark).select("query_id", "website", F.col("price").cast("double").alias("price"), "status", "price_outlier")
 
 
-def part_captures(spark, d):
-    """A search page and a product page for each part, at one retailer each: captures that grow with the table."""
-    p = table(spark, d, "part")
-    site, key = (F.col("p_partkey") % 4).cast("int"), F.col("p_partkey").cast("string")
-    name = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("item"))
+def part_pages(spark, d, item="item", turn=0):
+    """``page_id, query_id, website, url, price, name, card, html`` of a product page for each part, at one retailer each.
+
+    Pages of another ``turn`` are of another item, with another address and price.
+    """
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", (F.round("p_retailprice", 2) + turn).alias("price"))
+    site = (F.col("p_partkey") % 4).cast("int")
+    name = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit(item))
     slug = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-")
     of = lambda *cases: F.coalesce(*(F.when(site == k, c) for k, c in enumerate(cases)))
-    number = F.format_string("731%07d", "p_partkey")
-    path = of(F.format_string("/dp/B%09d", "p_partkey"), F.concat(F.lit("/site/"), slug, F.lit("/"), number, F.lit(".p")), F.concat(F.lit("/ip/"), slug, F.lit("/"), number), F.concat(F.lit("/"), slug, F.lit("/p/0TH-"), number))
+    own = F.col("p_partkey") + 5_000_000 * turn
+    number = F.format_string("731%07d", own)
+    path = of(F.format_string("/dp/B%09d", own), F.concat(F.lit("/site/"), slug, F.lit("/"), number, F.lit(".p")), F.concat(F.lit("/ip/"), slug, F.lit("/"), number), F.concat(F.lit("/"), slug, F.lit("/p/0TH-"), number))
     home = of(*(F.lit(f"https://www.{r[2]}") for r in fixed.RETAILERS))
     link = F.concat(F.lit("<a href='"), home, path, F.lit("'>"), name, F.lit("</a>"))
     card = of(
-        F.concat(F.format_string("<div data-component-type='s-search-result' data-asin='B%09d'><h2>", "p_partkey"), link, F.lit("</h2></div>")), F.concat(F.lit("<li class='sku-item'><h4 class='sku-title'>"), link, F.lit("</h4></li>")),
+        F.concat(F.format_string("<div data-component-type='s-search-result' data-asin='B%09d'><h2>", own), link, F.lit("</h2></div>")), F.concat(F.lit("<li class='sku-item'><h4 class='sku-title'>"), link, F.lit("</h4></li>")),
         F.concat(F.lit("<div data-item-id='1'>"), link, F.lit("</div>")), F.concat(F.lit("<div class='item-cell'>"), F.replace(link, F.lit("<a "), F.lit("<a class='item-title' ")), F.lit("</div>")),
     )
-    product = F.to_json(F.struct(F.lit("Product").alias("@type"), name.alias("name"), F.struct(F.round("p_retailprice", 2).alias("price")).alias("offers")))
+    product = F.to_json(F.struct(F.lit("Product").alias("@type"), name.alias("name"), F.struct(F.col("price")).alias("offers")))
     page = F.concat(F.lit("<html><script type='application/ld+json'>"), product, F.lit("</script><h1>"), name, F.lit("</h1></html>"))
     website = of(*(F.lit(r[1]) for r in fixed.RETAILERS))
-    row = lambda k, kind, url, html_: F.struct((F.col("p_partkey") * 2 + k).alias("page_id"), F.col("p_partkey").alias("query_id"), website.alias("website"), F.lit(kind).alias("kind"), F.lit(1).alias("stage"), F.lit("http").alias("method"), url.alias("url"), F.lit(200).alias("http_status"), html_.alias("html"))
-    return p.select(F.explode(F.array(row(0, "serp", F.concat(home, F.lit("/s?k="), key), F.concat(F.lit("<html>"), card, F.lit("</html>"))), row(1, "pdp", F.concat(home, path), page))).alias("c")).select("c.*")
+    return p.select("p_partkey", website.alias("website"), F.concat(home, path).alias("url"), F.concat(home, F.lit("/s?k="), F.col("p_partkey").cast("string")).alias("search"), "price", name.alias("name"), card.alias("card"), page.alias("html"))
+
+
+def _capture(rows, k, kind, url, html_, status=200):
+    """Captures of one kind; ``k`` tells the pages of a part apart."""
+    return rows.select(
+        (F.col("p_partkey") * 4 + k).alias("page_id"), F.col("p_partkey").alias("query_id"), "website", F.lit(kind).alias("kind"), F.lit(1).alias("stage"), F.lit("http").alias("method"),
+        F.col(url).alias("url"), (F.lit(status) if isinstance(status, int) else status).alias("http_status"), html_.alias("html"),
+    )
+
+
+def part_captures(spark, d):
+    """A search page and a product page for each part: captures that grow with the table."""
+    p = part_pages(spark, d)
+    return _capture(p, 0, "serp", "search", F.concat(F.lit("<html>"), "card", F.lit("</html>"))).unionByName(_capture(p, 1, "pdp", "url", F.col("html")))
 
 
 @query("CA-04_comparison_of_parts", """
@@ -371,13 +389,57 @@ def part_captures(spark, d):
     FROM part, (SELECT unnest(['Amazon.com', 'BestBuy.com', 'Walmart.com', 'Newegg.com']) AS w, unnest(range(4)) AS k)""")
 def ca04_parts(spark, d):
     """The whole plan over a table of pages that grows with the data."""
-    q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("user_query"))
+    return _compared_parts(spark, d).select("query_id", "website", F.col("price").cast("double").alias("price"), "status")
+
+
+def _compared_parts(spark, d, hooks=None):
     nothing = lambda ddl: spark.createDataFrame([], ddl)
-    rows = comparison.compare(
-        q, nothing("query_id bigint, website string, search_query string, match_query string"), part_captures(spark, d), nothing("query_id bigint, website string, ref_price decimal(38,10)"),
-        nothing("expected string, scraped string, match boolean"), nothing("website string, title string, price decimal(38,10), plausible boolean"),
+    return comparison.compare(
+        _asked_parts(spark, d), nothing("query_id bigint, website string, search_query string, match_query string"), part_captures(spark, d), nothing("query_id bigint, website string, ref_price decimal(38,10)"),
+        nothing("expected string, scraped string, match boolean"), nothing("website string, title string, price decimal(38,10), plausible boolean"), hooks=hooks,
     )
-    return rows.select("query_id", "website", F.col("price").cast("double").alias("price"), "status")
+
+
+def _asked_parts(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("user_query"))
+
+
+@query("CA-04_comparison_of_offers", """
+    SELECT p_partkey AS query_id, w AS website, CASE WHEN k <> p_partkey % 4 OR p_partkey % 5 = 4 THEN 'Failed' ELSE 'Success' END AS status,
+        CASE WHEN k <> p_partkey % 4 OR p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 5 = 2 THEN round(p_retailprice, 2) WHEN p_partkey % 5 = 3 THEN round(p_retailprice, 2) + 7 ELSE round(p_retailprice, 2) + 1 END AS price
+    FROM part, (SELECT unnest(['Amazon.com', 'BestBuy.com', 'Walmart.com', 'Newegg.com']) AS w, unnest(range(4)) AS k)""")
+def ca04_offers(spark, d):
+    """Two listings for each part. By its number: the first one's page is gone, its title or price is refused, nothing
+    is wrong, its price is far from what is expected and a second run finds another, or finds none."""
+    one, two = part_pages(spark, d, "first item"), part_pages(spark, d, "second item", 1)
+    case = F.col("p_partkey") % 5
+    both = one.join(two.select("p_partkey", F.col("card").alias("other")), "p_partkey")
+    pages = _capture(both, 0, "serp", "search", F.concat(F.lit("<html>"), "card", "other", F.lit("</html>")))
+    pages = pages.unionByName(_capture(one, 1, "pdp", "url", F.col("html"), F.when(case == 0, 404).otherwise(200))).unionByName(_capture(two, 2, "pdp", "url", F.col("html")))
+    money = lambda c: c.cast("decimal(38,10)")
+    asked = _asked_parts(spark, d)
+    wanted = one.join(asked.withColumnRenamed("query_id", "p_partkey"), "p_partkey").withColumn("odd", F.col("p_partkey") % 2 == 1)
+    refused = wanted.where((case == 1) & F.col("odd"))
+    titles = refused.select(F.col("user_query").alias("expected"), F.col("name").alias("scraped"), F.lit(False).alias("match")).distinct()
+    # a refusal is of a question and a title: parts of the same name whose first page is not to be refused are asked for in other words
+    plans = wanted.where(~((case == 1) & F.col("odd"))).select(F.col("p_partkey").alias("query_id"), "website", F.col("user_query").alias("search_query"), F.concat("user_query", F.lit(" item")).alias("match_query"))
+    far = one.where(case >= 3).select(F.col("p_partkey").alias("query_id"), "website", money(F.col("price") * 2).alias("ref_price"))
+    prices = one.where((case == 1) & (F.col("p_partkey") % 2 == 0)).select("website", F.col("name").alias("title"), money(F.col("price")).alias("price"), F.lit(False).alias("plausible")).distinct()
+    again = one.where(case == 3).select(F.col("p_partkey").alias("query_id"), "website", F.col("name").alias("title"), money(F.col("price") + 7).alias("price"), F.lit("Success").alias("status"), F.lit("http").alias("method"), "url")
+    rows = comparison.compare(asked, plans, pages, far, titles, prices, second=again)
+    return rows.select("query_id", "website", "status", F.col("price").cast("double").alias("price"))
+
+
+@query("UD-09_stage_counts", """
+    WITH n AS (SELECT count(*) AS n FROM part)
+    SELECT CAST(position AS INTEGER) AS position, stage, metric, k * n AS value FROM n, (VALUES
+        (0, 'planned', 'rows', 4), (1, 'candidates', 'rows', 1), (1, 'candidates', 'gone', 0), (1, 'candidates', 'skipped', 0), (1, 'candidates', 'refused', 0), (2, 'matched', 'rows', 1),
+        (3, 'fields', 'rows', 1), (3, 'fields', 'rejected', 0), (4, 'rows', 'rows', 4), (4, 'rows', 'succeeded', 1), (4, 'rows', 'outliers', 0)) AS v(position, stage, metric, k)""")
+def ud09(spark, d):
+    """What each stage of the whole plan gave, counted while it ran."""
+    seen = Hooks()
+    _compared_parts(spark, d, seen).write.format("noop").mode("overwrite").save()
+    return seen.table(spark)
 
 
 @query("CA-05_price_check", "SELECT l_orderkey, CASE WHEN min(l_linenumber) FILTER (l_discount < 0.05) IS NULL THEN 'Failed' ELSE 'Success' END AS status FROM lineitem GROUP BY 1")

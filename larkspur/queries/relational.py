@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import cascade, html, judge, matching, similarity
+from ..plans import comparison
 from ..sources import tables
 from ..streaming import progress
 from .common import duck_norm, query, table, values
@@ -260,7 +261,11 @@ def wn08(spark, d):
 
 @query("WN-09_safe_pick", "SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1")
 def wn09(spark, d):
-    return matching.keep_first(table(spark, d, "lineitem").where("l_returnflag <> 'R'"), ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber")
+    """Each order is a page and each of its lines a listing of the same title; returned ones were refused."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("rank"), (F.col("l_returnflag") != "R").alias("match"))
+    rows = rows.withColumns({"query": F.lit("desk lamp"), "title": F.lit("Desk lamp, black"), "url": F.lit("https://www.amazon.com/dp/B0AAAAAAA1")})
+    listings = rows.withColumn("query_form", text.normal_form("query")).withColumn("title_form", text.normal_form("title"))
+    return cascade.safe_pick(listings, ["l_orderkey"]).select("l_orderkey", F.col("rank").alias("l_linenumber"))
 
 
 @query("WN-10_serp_limit", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 15")
@@ -270,8 +275,13 @@ def wn10(spark, d):
 
 @query("WN-11_refinements", "WITH f AS (SELECT user_id, lower(event_type) AS s, min(event_id) AS seen FROM events GROUP BY 1, 2) SELECT user_id, s AS search FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seen) <= 2")
 def wn11(spark, d):
-    f = table(spark, d, "events").groupBy("user_id", F.lower("event_type").alias("search")).agg(F.min("event_id").alias("at"))
-    return matching.serp_rank(f, ["user_id"], ["at"], fixed.MAX_REFINEMENTS).select("user_id", "search")
+    """Each user is a query and each event a verdict on a listing of its page that says what to search for instead."""
+    said = table(spark, d, "events").select(
+        F.col("user_id").alias("query_id"), F.lit("Amazon.com").alias("website"), F.lit(comparison.SERP).alias("source"), F.lit(1).alias("stage"), F.col("event_id").alias("place"), F.lit(False).alias("gone"),
+        F.lit(False).alias("skip"), F.lit(False).alias("match"), judge.suggested(F.lit("refine_search"), F.lower("event_type"), F.lit("")).alias("suggestion"),
+    )
+    looks = matching.picked(said, comparison.PAGE, "place", ["place"], most=1 << 30)
+    return comparison.refinements(looks).select(F.col("query_id").alias("user_id"), "search")
 
 
 @query("SO-01_output_order", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(nullif(s_suppkey % 5, 4), 99), s_suppkey) AS place FROM supplier")

@@ -172,6 +172,16 @@ def duck_price(x: str) -> str:
     return f"CASE WHEN {v} > 0 THEN {v} END"
 
 
+def _rows(spark, d, examples, name, key, made):
+    """``i, s``: examples, and a text made from each row of a table."""
+    rows = table(spark, d, name).select((F.col(key) + 1000).cast("int").alias("i"), F.expr(made).alias("s"))
+    return spark.createDataFrame(texts(examples), "i int, s string").unionByName(rows)
+
+
+def _sql_rows(examples, name, key, made):
+    return f"(SELECT CAST(i AS INTEGER) AS i, s FROM {values(texts(examples), 'i, s')} UNION ALL SELECT CAST(1000 + {key} AS INTEGER), {made} FROM {name})"
+
+
 @query("SF-17_parse_price", f"SELECT i, {duck_price('s')} AS price FROM {values(texts(PRICE_TEXTS), 'i, s')} UNION ALL SELECT CAST(1000 + p_partkey AS INTEGER), {duck_price("'$' || format('{:,.2f}', p_retailprice)")} FROM part")
 def sf17(spark, d):
     rows = spark.createDataFrame(texts(PRICE_TEXTS), "i int, s string")
@@ -179,33 +189,45 @@ def sf17(spark, d):
     return rows.unionByName(parts).select("i", parse.price("s").alias("price"))
 
 
+_SF18 = (RATING_TEXTS, "part", "p_partkey", "p_size || ',' || p_partkey % 10 || ' stars'")
+
+
 @query("SF-18_parse_rating", f"""
-    WITH r AS (SELECT i, TRY_CAST(regexp_extract(replace(s, ',', '.'), '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS v FROM {values(texts(RATING_TEXTS), 'i, s')}),
+    WITH r AS (SELECT i, TRY_CAST(regexp_extract(replace(s, ',', '.'), '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS v FROM {_sql_rows(*_SF18)}),
     x AS (SELECT i, CASE WHEN v > 5 AND v <= 50 THEN v / 10 ELSE v END AS v FROM r)
     SELECT i, CASE WHEN v BETWEEN 0 AND 5 THEN v END AS rating FROM x""")
 def sf18(spark, d):
-    return spark.createDataFrame(texts(RATING_TEXTS), "i int, s string").select("i", parse.rating("s").alias("rating"))
+    return _rows(spark, d, *_SF18).select("i", parse.rating("s").alias("rating"))
 
 
-@query("SF-19_parse_review_count", f"SELECT i, TRY_CAST(replace(regexp_extract(lower(s), '([0-9,]+)', 1), ',', '') AS BIGINT) AS n FROM {values(texts(COUNT_TEXTS), 'i, s')}")
+_SF19 = (COUNT_TEXTS, "part", "p_partkey", "'(' || p_partkey || ',' || lpad(CAST(p_size AS STRING), 3, '0') || ' Ratings)'")
+
+
+@query("SF-19_parse_review_count", f"SELECT i, TRY_CAST(replace(regexp_extract(lower(s), '([0-9,]+)', 1), ',', '') AS BIGINT) AS n FROM {_sql_rows(*_SF19)}")
 def sf19(spark, d):
-    return spark.createDataFrame(texts(COUNT_TEXTS), "i int, s string").select("i", parse.review_count("s").alias("n"))
+    return _rows(spark, d, *_SF19).select("i", parse.review_count("s").alias("n"))
 
 
 SHOWN = ["N/A", "4.7", "1,234", "", "x"]
 
 
-@query("SF-20_shown_numbers", f"SELECT i, TRY_CAST(replace(trim(s), ',', '') AS DOUBLE) AS value FROM {values(texts(SHOWN), 'i, s')}")
+_SF20 = (SHOWN, "part", "p_partkey", "' ' || p_partkey || ',' || lpad(CAST(p_size AS STRING), 3, '0') || CASE WHEN p_size % 7 = 0 THEN '+' ELSE ' ' END")
+
+
+@query("SF-20_shown_numbers", f"SELECT i, TRY_CAST(replace(trim(s), ',', '') AS DOUBLE) AS value FROM {_sql_rows(*_SF20)}")
 def sf20(spark, d):
-    return spark.createDataFrame(texts(SHOWN), "i int, s string").select("i", parse.shown_number("s", "double").alias("value"))
+    return _rows(spark, d, *_SF20).select("i", parse.shown_number("s", "double").alias("value"))
 
 
 JSON_PRICES = ["12.5", "-3", "0", "$1,299.00", "n/a", "99"]
 
 
-@query("SF-21_coerce_price", f"SELECT i, CASE WHEN TRY_CAST(s AS DECIMAL(38,10)) IS NOT NULL THEN CASE WHEN TRY_CAST(s AS DECIMAL(38,10)) > 0 THEN TRY_CAST(s AS DECIMAL(38,10)) END ELSE {duck_price('s')} END AS price FROM {values(texts(JSON_PRICES), 'i, s')}")
+_SF21 = (JSON_PRICES, "part", "p_partkey", "CASE WHEN p_size % 3 = 0 THEN '$' WHEN p_size % 3 = 1 THEN '-' ELSE '' END || p_partkey || '.5'")
+
+
+@query("SF-21_coerce_price", f"SELECT i, CASE WHEN TRY_CAST(s AS DECIMAL(38,10)) IS NOT NULL THEN CASE WHEN TRY_CAST(s AS DECIMAL(38,10)) > 0 THEN TRY_CAST(s AS DECIMAL(38,10)) END ELSE {duck_price('s')} END AS price FROM {_sql_rows(*_SF21)}")
 def sf21(spark, d):
-    return spark.createDataFrame(texts(JSON_PRICES), "i int, s string").select("i", parse.coerced_price("s").alias("price"))
+    return _rows(spark, d, *_SF21).select("i", parse.coerced_price("s").alias("price"))
 
 
 @query("SF-22_key", "SELECT p_partkey, regexp_replace(lower(p_brand || ' ' || p_type), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM part")
@@ -250,15 +272,18 @@ def sf27(spark, d):
 JUNK = ["See options", "See all results here", "Shop now", "ILS66.93ILS66.93", "Typical: ILS 43.72 each", "$1,299.00", "USD 99.99 more", "Sony WH-1000XM5 Headphones", "short", "EUR 12,50  12 34", "  more   results  "]
 
 
+_SF28 = (JUNK, "part", "p_partkey", "CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN 'USD ' || p_size || '.99' WHEN 2 THEN p_name || '  ' || p_brand || ' ' || p_type ELSE 'Typical: USD ' || p_partkey END")
+
+
 @query("SF-28_junk_title", f"""
-    WITH t AS (SELECT i, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS t FROM {values(texts(JUNK), 'i, s')})
+    WITH t AS (SELECT i, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS t FROM {_sql_rows(*_SF28)})
     SELECT i, length(t) < 12 OR regexp_matches(t, '(?i)^\\s*(see\\s+options?|see\\s+all\\s+|shop\\s+now|more\\s+results|sponsored)\\s*$')
         OR regexp_matches(t, '(?i)^\\s*((ILS|USD|EUR|GBP|CAD|\\$|€|£)\\s*[0-9,.\\s]+|([0-9,]+\\.?[0-9]*)\\s*(ILS|USD|EUR|GBP|CAD))\\s*$')
         OR (regexp_matches(t, '(?i)(ILS|USD|EUR)\\s*[0-9,.]+') AND NOT regexp_matches(t, '(?i)[a-z]{{4,}}'))
         OR regexp_matches(t, '(?i)\\btypical:\\s*(ILS|USD)')
         OR ((length(t) - length(replace(t, 'ILS', ''))) / 3 >= 2 AND NOT regexp_matches(t, '(?i)headphone|bose')) AS junk FROM t""")
 def sf28(spark, d):
-    return spark.createDataFrame(texts(JUNK), "i int, s string").select("i", text.is_junk_title("s").alias("junk"))
+    return _rows(spark, d, *_SF28).select("i", text.is_junk_title("s").alias("junk"))
 
 
 @query("SF-29_condition_words", on_pairs(f"{DUCK_NON_NEW} AS non_new, {DUCK_USED} AS wants_used"))
@@ -277,19 +302,25 @@ def sf30(spark, d):
 SITES = ["Amazon.com", "BestBuy.com", "Walmart.com", "Newegg.com", "Other.com"]
 
 
-@query("SF-31_store_names", f"SELECT i, CASE s WHEN 'BestBuy.com' THEN 'Best Buy' ELSE replace(s, '.com', '') END AS store FROM {values(texts(SITES), 'i, s')}")
+_SF31 = (SITES, "part", "p_partkey", "p_name || CASE WHEN p_size % 2 = 0 THEN '.com' ELSE '' END")
+
+
+@query("SF-31_store_names", f"SELECT i, CASE s WHEN 'BestBuy.com' THEN 'Best Buy' ELSE replace(s, '.com', '') END AS store FROM {_sql_rows(*_SF31)}")
 def sf31(spark, d):
     from ..streaming import progress
 
-    return spark.createDataFrame(texts(SITES), "i int, s string").select("i", progress.store("s").alias("store"))
+    return _rows(spark, d, *_SF31).select("i", progress.store("s").alias("store"))
 
 
 UI = ["N/A", "$1,299.00", "4.7", "abc", ""]
 
 
-@query("SF-33_ui_number", f"SELECT i, TRY_CAST(regexp_replace(nullif(s, 'N/A'), '[$,]', '', 'g') AS DOUBLE) AS value FROM {values(texts(UI), 'i, s')}")
+_SF33 = (UI, "part", "p_partkey", "CASE WHEN p_size % 5 = 0 THEN 'N/A' ELSE '$' || p_partkey || ',' || lpad(CAST(p_size AS STRING), 3, '0') || '.25' END")
+
+
+@query("SF-33_ui_number", f"SELECT i, TRY_CAST(regexp_replace(nullif(s, 'N/A'), '[$,]', '', 'g') AS DOUBLE) AS value FROM {_sql_rows(*_SF33)}")
 def sf33(spark, d):
-    return spark.createDataFrame(texts(UI), "i int, s string").select("i", parse.ui_number("s").alias("value"))
+    return _rows(spark, d, *_SF33).select("i", parse.ui_number("s").alias("value"))
 
 
 @query("SF-34_stars", "SELECT p_partkey, repeat('★', CAST(round(p_size % 6) AS BIGINT)) || repeat('☆', CAST(5 - p_size % 6 AS BIGINT)) AS stars FROM part")
@@ -353,9 +384,18 @@ HOST = "lower(regexp_extract({}, '^[a-z]+://([^/?#]*)', 1))"
 PATH = "regexp_extract({}, '^(?:[a-z]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
 
 
-@query("UR-02_normal_url", f"SELECT i, regexp_replace(regexp_replace(CASE WHEN url LIKE '//%' THEN 'https:' || url ELSE url END, '^http://(www\\.(?:bestbuy|newegg|amazon|walmart)\\.com)', 'https://\\1'), '^https?://bestbuy\\.com', 'https://www.bestbuy.com') AS url FROM {U}")
+# examples, and the addresses of all pages
+U_PAGES = f"(SELECT CAST(i AS INTEGER) AS i, url FROM {U} UNION ALL SELECT CAST(1000 + page_id AS INTEGER), url || CASE WHEN page_id % 5 = 0 THEN '/Blocked' ELSE '' END FROM pages)"
+
+
+def _url_pages(spark, d):
+    blocked = F.when(F.col("page_id") % 5 == 0, "/Blocked").otherwise("")
+    return url_rows(spark).select("i", "url").unionByName(table(spark, d, "pages").select((F.col("page_id") + 1000).cast("int").alias("i"), F.concat("url", blocked).alias("url")))
+
+
+@query("UR-02_normal_url", f"SELECT i, regexp_replace(regexp_replace(CASE WHEN url LIKE '//%' THEN 'https:' || url ELSE url END, '^http://(www\\.(?:bestbuy|newegg|amazon|walmart)\\.com)', 'https://\\1'), '^https?://bestbuy\\.com', 'https://www.bestbuy.com') AS url FROM {U_PAGES}")
 def ur02(spark, d):
-    return url_rows(spark).select("i", urls.normal("url").alias("url"))
+    return _url_pages(spark, d).select("i", urls.normal("url").alias("url"))
 
 
 COERCED = {
@@ -398,6 +438,6 @@ def ur09(spark, d):
     return url_rows(spark).select("i", urls.has_asin("url", F.lit("b0ccz1l489")).alias("has"))
 
 
-@query("UR-10_block_page", f"SELECT i, regexp_matches(lower(url), '/blocked|validatecaptcha|/bot-mitigation') AS blocked FROM {U}")
+@query("UR-10_block_page", f"SELECT i, regexp_matches(lower(url), '/blocked|validatecaptcha|/bot-mitigation') AS blocked FROM {U_PAGES}")
 def ur10(spark, d):
-    return url_rows(spark).select("i", urls.is_block_page("url").alias("blocked"))
+    return _url_pages(spark, d).select("i", urls.is_block_page("url").alias("blocked"))
