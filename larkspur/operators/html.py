@@ -153,13 +153,18 @@ _SERP = {"Amazon.com": _amazon_rows, "BestBuy.com": _bestbuy_rows, "Walmart.com"
 LEAST_TITLE = {("Amazon.com", 0): 1, ("Amazon.com", 1): 10, ("BestBuy.com", 0): 1, ("BestBuy.com", 1): 8, ("Walmart.com", 0): 5, ("Newegg.com", 0): 1, ("Newegg.com", 1): 8, ("Newegg.com", 2): 12}
 
 
+def page_listings(website: str, url: str | None, html: str | None):
+    """Listing rows of one search page: path of extraction, position, title, address as it is and in full, and two marks."""
+    rows = _SERP.get(website, lambda _: ())(dom.parse(html or ""))
+    for pos, (path, a, title, sponsored, strict) in enumerate(rows):
+        yield path, pos, title, a.attrs.get("href", ""), _absolute(url, a.attrs.get("href", "")), sponsored, strict
+
+
 def serp_facts(pages: DataFrame) -> DataFrame:
     """Listing rows of search pages ``(page_id, website, url, html)``, unfiltered: path of extraction, position, title, address."""
 
     def per_page(html: str, page_id, website: str, url: str):
-        rows = _SERP.get(website, lambda _: ())(dom.parse(html))
-        for pos, (path, a, title, sponsored, strict) in enumerate(rows):
-            yield path, pos, title, a.attrs.get("href", ""), _absolute(url, a.attrs.get("href", "")), sponsored, strict
+        yield from page_listings(website, url, html)
 
     return _rows(pages, ["page_id", "website", "url"], "path int, pos int, title string, href string, link string, sponsored boolean, strict boolean", per_page)
 
@@ -189,15 +194,16 @@ def extractors() -> list[tuple[str, str]]:
     return [*((w, "serp") for w in _SERP), *((w, "pdp") for w in FIELDS)]
 
 
-def serp(pages: DataFrame, *, tested: bool = False) -> DataFrame:
+def serp(pages: DataFrame, *, tested: bool = False, extract: Callable[[DataFrame], DataFrame] = serp_facts) -> DataFrame:
     """Search pages to ``page_id, website, rank, title, url``.
 
     Rows are admitted by the rules of their retailer; a later path of extraction
     counts where earlier ones gave nothing, and links salvaged from the raw text
     where no path did. Blocked pages give no rows; ``tested``: there are none.
+    ``extract`` gives the facts.
     """
     open_pages = pages if tested else pages.where(~filters.bot_page("html", "website"))
-    rows = admission(serp_facts(open_pages)).where("admitted").select("page_id", "website", "path", "pos", "title", F.col("bare").alias("url"))
+    rows = admission(extract(open_pages)).where("admitted").select("page_id", "website", "path", "pos", "title", F.col("bare").alias("url"))
     salvaged = salvage(open_pages).select("page_id", "website", F.lit(9).alias("path"), "pos", "title", "url")
     rows = rows.unionByName(salvaged)
     rows = rows.withColumn("__path", F.min("path").over(Window.partitionBy("page_id"))).where("path = __path")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parse, text, urls
-from ..operators import cascade, html, judge, matching
+from ..operators import cascade, extractors, html, judge, matching
 from ..plans import comparison
 from ..plans.hooks import Hooks
 from ..sources import sinks, tables
@@ -442,6 +442,14 @@ def ud09(spark, d):
     return seen.table(spark)
 
 
+@query("UD-01_serp_tables", """
+    SELECT p_partkey * 4 AS page_id, ['Amazon.com', 'BestBuy.com', 'Walmart.com', 'Newegg.com'][p_partkey % 4 + 1] AS website, 1 AS rank, p_name || ' ' || p_brand || ' ' || p_type || ' item' AS title FROM part""")
+def ud01_tables(spark, d):
+    """Search pages by the table function of their retailer."""
+    pages = part_captures(spark, d).where("kind = 'serp'").select("page_id", "website", "url", "html")
+    return html.serp(pages, extract=extractors.serp_facts).select("page_id", "website", "rank", "title")
+
+
 @query("CA-05_price_check", "SELECT l_orderkey, CASE WHEN min(l_linenumber) FILTER (l_discount < 0.05) IS NULL THEN 'Failed' ELSE 'Success' END AS status FROM lineitem GROUP BY 1")
 def ca05(spark, d):
     tries = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("try_order"), F.col("l_extendedprice").alias("price"), (F.col("l_discount") < 0.05).alias("passes"))
