@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parse, text, urls
+from ..session import checkpointed
 from . import dom, filters, matching
 
 # Selectors of listing rows and fields by retailer.
@@ -204,7 +205,11 @@ def serp(pages: DataFrame, *, tested: bool = False, extract: Callable[[DataFrame
     """
     open_pages = pages if tested else pages.where(~filters.bot_page("html", "website"))
     rows = admission(extract(open_pages)).where("admitted").select("page_id", "website", "path", "pos", "title", F.col("bare").alias("url"))
-    salvaged = salvage(open_pages).select("page_id", "website", F.lit(9).alias("path"), "pos", "title", "url")
+    rows = checkpointed(rows)
+    # the raw text is searched only where no path gave anything: such pages are few, so their numbers are what is joined
+    poor = open_pages.where(F.col("website").isin(*SALVAGE)).select("page_id").join(rows.select("page_id"), "page_id", "left_anti")
+    poor = checkpointed(poor.distinct())
+    salvaged = salvage(open_pages.join(poor, "page_id", "left_semi")).select("page_id", "website", F.lit(9).alias("path"), "pos", "title", "url")
     rows = rows.unionByName(salvaged)
     rows = rows.withColumn("__path", F.min("path").over(Window.partitionBy("page_id"))).where("path = __path")
     once = F.when(F.col("website") == "Amazon.com", F.concat_ws("#", "url", "pos")).otherwise(F.col("url"))
