@@ -51,6 +51,12 @@ def enough_prices(rows: DataFrame, keys: list[str], least: int = fixed.ENOUGH_PR
     return rows.groupBy(*keys).agg(n.alias("success_count"), F.count(F.lit(1)).alias("total_sites"), (n >= least).alias("ok"))
 
 
+def with_site_order(rows: DataFrame, retailers: DataFrame) -> DataFrame:
+    """Rows with the place of their retailer among all; unknown ones come last."""
+    known = F.broadcast(retailers.select("website", "site_order"))
+    return rows.join(known, "website", "left").withColumn("site_order", F.coalesce("site_order", F.lit(99)))
+
+
 def output_order(rows: DataFrame, group: list[str]) -> DataFrame:
     """``place`` of each row among those of its query: by ``site_order``, unknown retailers last, then by the other key ``tie``."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.coalesce("site_order", F.lit(99)), "tie")))

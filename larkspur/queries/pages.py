@@ -189,9 +189,9 @@ def js02(spark, d):
 
 @query("JS-03_first_full_product", f"SELECT * FROM {values([(1, 'A'), (2, 'C')], 'page_id, title')}")
 def js03(spark, d):
-    f = html.json_ld_fields(html.json_ld_products(spark.createDataFrame(LD, "page_id int, pos int, body string"), ["page_id"]))
-    full = f.where((F.col("title") != "") & F.col("price").isNotNull())
-    return full.groupBy("page_id").agg(F.min_by("title", F.struct("pos", "item")).alias("title"))
+    bodies = spark.createDataFrame(LD, "page_id int, pos int, body string").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("listed"))
+    found = bodies.withColumn("json_ld", F.transform("listed", lambda b: b["body"])).withColumn("found", html.first_ld_product())
+    return found.where("found IS NOT NULL").select("page_id", "found.title")
 
 
 ANSWERS = [(1, json.dumps({"amazon": 99.5, "bestbuy": "$1,299.00", "walmart": None, "newegg": -3})), (2, json.dumps({"prices": {"Amazon": 10, "Best Buy": 11}})), (3, "no json")]
@@ -442,6 +442,14 @@ def ud09(spark, d):
     return seen.table(spark)
 
 
+@query("JS-03_products_of_parts", "SELECT p_partkey * 4 + 1 AS page_id, p_name || ' ' || p_brand || ' ' || p_type || ' item' AS title, round(p_retailprice, 2) AS price FROM part")
+def js03_parts(spark, d):
+    """The first full product of every product page."""
+    pages = html.page_facts(part_captures(spark, d).where("kind = 'pdp'").select("page_id", "html"), ["page_id"])
+    found = pages.withColumn("found", html.first_ld_product())
+    return found.select("page_id", "found.title", F.col("found.price").cast("double").alias("price"))
+
+
 @query("UD-01_serp_tables", """
     SELECT p_partkey * 4 AS page_id, ['Amazon.com', 'BestBuy.com', 'Walmart.com', 'Newegg.com'][p_partkey % 4 + 1] AS website, 1 AS rank, p_name || ' ' || p_brand || ' ' || p_type || ' item' AS title FROM part""")
 def ud01_tables(spark, d):

@@ -127,7 +127,7 @@ def jn08(spark, d):
 def jn09(spark, d):
     names = F.element_at(F.array(*(F.lit(s) for s in ("Amazon.com", "BestBuy.com", "Walmart.com", "Newegg.com", "Other"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
     s = table(spark, d, "supplier").select("s_suppkey", names.alias("website"))
-    return s.join(F.broadcast(tables.retailers(spark)), "website", "left").select("s_suppkey", F.coalesce("site_order", F.lit(99)).alias("site_order"))
+    return cascade.with_site_order(s, tables.retailers(spark)).select("s_suppkey", "site_order")
 
 
 @query("JN-10_judged", "SELECT d.doc_id, coalesce(l.quality = 1, TRUE) AS match, l.doc_id IS NOT NULL AS verified FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
