@@ -1,4 +1,4 @@
-"""The whole comparison: queries and captured pages to one row for each query and retailer."""
+"""The whole comparison: queries and captured pages to one ordered row for each query and retailer."""
 
 from __future__ import annotations
 
@@ -154,7 +154,8 @@ def compare(
     rows = rows.join(expected, GROUP, "left").withColumn("price_outlier", F.coalesce(far, F.lit(False))).drop("ref_price")
     if second is not None:
         rows = cascade.second_pass(rows, expected, second)
-    rows = watched(hooks, rows, "rows", succeeded=F.col("status") == "Success", outliers=F.col("price_outlier"))
+    if hooks:  # a sort reads its input twice, so the rows are written before it
+        rows = checkpointed(hooks.watch(rows, "rows", succeeded=F.col("status") == "Success", outliers=F.col("price_outlier")))
     return rows.withColumn("trust_label", judge.trust("average_rating", "review_count")).select(
         "query_id", "site_order", "website", "title", "price", "average_rating", "review_count", "status", "method", "url", "price_outlier", "trust_label"
-    )
+    ).orderBy("query_id", "site_order")
