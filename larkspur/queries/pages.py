@@ -303,7 +303,9 @@ def ex13(spark, d):
 
 @query("EX-14_page_facts", "SELECT page_id, trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')) AS page_title, trim(replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1), '&amp;', '&')) AS heading FROM pages")
 def ex14(spark, d):
-    return html.page_facts(table(spark, d, "pages"), ["page_id"]).select("page_id", F.coalesce("page_title", F.lit("")).alias("page_title"), F.coalesce("heading", F.lit("")).alias("heading"))
+    pages = table(spark, d, "pages").withColumn("given", F.col("html").isNotNull())
+    facts = html.page_facts(pages, ["page_id", "given"])
+    return facts.select("page_id", *(F.when(F.col("given"), F.coalesce(c, F.lit(""))).alias(c) for c in ("page_title", "heading")))
 
 
 # cascades and the whole plan
