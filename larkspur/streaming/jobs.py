@@ -38,12 +38,14 @@ def polled(events: DataFrame, every_ms: int = POLL_MS) -> DataFrame:
 
     Returns ``job_id, seq, first_poll, n_polls`` for each event that some poll
     finds to be the latest: a run of polls as one row, so that a long wait costs
-    no more than a short one. One window sort for each job, no join.
+    no more than a short one. One window sort for each job, no join. Events without
+    a time come last and have no number of a poll.
     """
-    by_job = Window.partitionBy("job_id").orderBy("ts", "seq")
+    job = Window.partitionBy("job_id")
+    by_job = job.orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("seq"))
     ended = F.count_if(F.col("kind").isin(*ENDS)).over(by_job.rowsBetween(Window.unboundedPreceding, -1))
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    at = F.ceil((ms - F.first(ms).over(by_job)) / every_ms)
+    at = F.ceil((ms - F.min(ms).over(job)) / every_ms)
     live = events.withColumn("__ended", ended).withColumn("first_poll", at).where("__ended = 0")
     n = F.coalesce(F.lead("first_poll").over(by_job) - F.col("first_poll"), F.lit(1))
     return live.select("job_id", "seq", "first_poll", n.alias("n_polls")).where("n_polls > 0")
