@@ -1,7 +1,7 @@
 """Documents whose sets of five-word shingles have a Jaccard similarity of at least four fifths.
 
-Texts with the same set are one node. Min-hash bands propose candidates: nodes
-that share a band are linked to the least node of it, and the components of
+Texts with the same set are one node. Links by SimHash, where given, and min-hash
+bands propose candidates: nodes that share a band are linked to the least node of it, and the components of
 those links are clusters that hold all candidate pairs. A cluster's texts meet
 once. There pigeonring filtering prunes pairs: shingles fall into a ring of
 segments by their hashes, similar sets differ in at most a ninth of their sizes'
@@ -135,15 +135,18 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from links()
 
 
-def links(bands: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def links(bands: DataFrame, nodes: DataFrame, texts: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Links ``(u, v)`` with the same components as all links of nodes.
 
     ``bands(node, bands)`` has any rows; ``nodes(node, row)`` one for each node,
-    with the row whose text stands for it in ``texts(row, text binary)``.
+    with the row whose text stands for it in ``texts(row, text binary)``. ``near(u, v)``
+    has more candidates: nodes that another method links.
     """
     rows = bands.select("node", F.explode("bands").alias("band")).distinct()
     shared = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
     candidates = rows.join(shared, "band").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    if near is not None:
+        candidates = candidates.unionByName(near)
     clusters = components(candidates)
     # more than one block is rare, so this table is short
     blocks = clusters.groupBy("label").count().where(F.col("count") > BLOCK).select("label", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))

@@ -64,6 +64,16 @@ def fingerprint(text: bytes, words_per_shingle: int = WORDS_PER_SHINGLE, seed: i
     return int.from_bytes(np.packbits(2 * ones > len(spans)).tobytes(), "big", signed=True)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int | None:
+    """The SimHash of a set of 64-bit hashes (uint64) as a signed 64-bit integer; none for the empty set."""
+    if not len(hashes):
+        return None
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), HASHES_AT_ONCE):
+        ones += np.unpackbits(hashes[i : i + HASHES_AT_ONCE].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``fp`` (bigint) for each row; a null text counts as one without words."""
     bounded_batches(docs.sparkSession)
@@ -187,10 +197,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(nodes.join(smallest, "label").select("fp", "component"), "fp").select(id_col, "fp", "component")
 
 
+def near_nodes(nodes: DataFrame) -> DataFrame:
+    """``nodes(node, fp)``, null for no fingerprint, to links ``(u, v)`` of nodes whose fingerprints link or are equal."""
+    named = nodes.where("fp IS NOT NULL").select("node", "fp")
+    own = cut(named.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")))
+    one, two = (own.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "uv")
+    apart = links(own.select("fp")).join(one, "u").join(two, "v").select(F.col("least_u").alias("u"), F.col("least_v").alias("v"))
+    same = named.join(own.where("least <> most"), "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return apart.unionByName(same)
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less all but one row of each near-duplicate group.
 
-    Groups are those of ``overlap``: texts whose sets of five-word shingles have
+    Texts get the SimHash of their set of five-word shingles; pigeonring filtering
+    links fingerprints as in ``near_duplicates``, and what is linked are candidates.
+    Pairs of similarity 0.8 may differ in more bits than that, so min-hash bands add
+    candidates. Groups are those of ``overlap``: candidates whose sets have
     a Jaccard similarity of 0.8 or more, and what they reach. Null and empty texts
     have no words and are one group. The row with the group's smallest id stays
     (one with a null id only where the group has no other); of repeated rows of
@@ -203,27 +226,28 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     shuffle, where the numbers are the side that is held in memory.
     """
     bounded_batches(docs.sparkSession)
-    at, node, bands, row = docs.columns.index(text_col), fresh(docs, "__node"), fresh(docs, "__bands"), fresh(docs, "__row")
-    marked = docs.withColumn(node, F.lit(0).cast("bigint")).withColumn(bands, F.array().cast("array<bigint>")).schema
+    at, node, fp, bands, row = docs.columns.index(text_col), *(fresh(docs, f"__{c}") for c in ("node", "fp", "bands", "row"))
+    marked = docs.withColumn(node, F.lit(0).cast("bigint")).withColumn(fp, F.lit(None).cast("bigint")).withColumn(bands, F.array().cast("array<bigint>")).schema
     columns = marked.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, keys = [], []
+            names, fps, keys = [], [], []
             for t in b.column(at):
                 own = overlap.shingles((t.as_py() or "").encode())
                 names.append(overlap.node(own))
+                fps.append(set_fingerprint(own))
                 keys.append(overlap.bands(own))
             offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64()), lists], names=columns)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64()), pa.array(fps, pa.int64()), lists], names=columns)
 
     own = written(docs.mapInArrow(run, marked).withColumn(row, F.monotonically_increasing_id()), "marked")
-    ids = own.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(bands).alias("bands"))
+    ids = own.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(fp).alias("fp"), F.col(bands).alias("bands"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    nodes = cut(ids.groupBy("node").agg(first))
+    nodes = cut(ids.groupBy("node").agg(first, F.min("fp").alias("fp")))
     texts = own.select(F.col(row).alias("row"), F.col(text_col).cast("binary").alias("text"))
-    groups = components(overlap.links(ids.select("node", "bands"), nodes.select("node", "first.row"), texts))
+    groups = components(overlap.links(ids.select("node", "bands"), nodes.select("node", "first.row"), texts, near_nodes(nodes)))
     label = nodes.join(groups, "node", "left").select("first", F.coalesce("label", "node").alias("label"))
     stays = label.groupBy("label").agg(F.min("first").alias("first")).select("first.row")
     goes = cut(own.select(F.col(row).alias("row")).join(stays, "row", "left_anti"))
