@@ -16,8 +16,9 @@ Copies say nothing about spread, so estimates are made from distinct vectors.
 For each group a sample of about ``START_ROWS`` goes through concentration
 steps from random starts, each until its determinant settles, with exact
 subsets; where the sample is the whole group that is the estimate. Else steps go
-on over all rows: distances fall into fine logarithmic bins, each bin's count
-and moments are aggregated before anything is shuffled, and the nearest bins
+on over all rows, which are dealt into chunks once: distances fall into fine
+logarithmic bins, each bin's count and moments are added up in a chunk before
+anything is shuffled, and the nearest bins
 that hold the wanted share (of the last one that part which is wanted) give the
 next estimate, until determinants settle. A step moves a few hundred small rows
 for each group, whatever share of the table that group has.
@@ -60,6 +61,8 @@ LEAST_ROWS = 40
 #: Chance that a text of the group's own distribution is rejected, were it normal.
 REJECT = 1e-9
 BINS_PER_OCTAVE = 64
+#: Rows of a group (64 bytes each) that a step reads together.
+CHUNK_ROWS = 4096
 SYMBOLS = "#*$%&|<>"
 
 _P = len(STATISTICS)
@@ -151,11 +154,6 @@ def _distance(estimate: str = "") -> Column:
 _MOMENTS = ["rows", *(f"m{i}" for i in range(_P)), *(f"c{i}{j}" for i, j in _PAIRS), *(f"u{i}" for i in range(_P))]
 
 
-def _moments() -> list[Column]:
-    sums = {f"m{i}": F.col(f"s{i}") for i in range(_P)} | {f"c{i}{j}": F.col(f"s{i}") * F.col(f"s{j}") for i, j in _PAIRS} | {f"u{i}": F.col(f"u{i}") for i in range(_P)}
-    return [F.count(F.lit(1)).cast("double").alias("rows"), *(F.sum(c).alias(name) for name, c in sums.items())]
-
-
 def _inverted(scatter: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, float]:
     """Inverse and logarithmic determinant; a statistic with less spread than counting alone gives has that."""
     scatter = scatter + np.diag(np.maximum(noise - np.diag(scatter), 0) + 1e-12)
@@ -259,10 +257,45 @@ def _started(rows: DataFrame) -> DataFrame:
     return sample.groupBy("group").applyInPandas(run, f"{_ESTIMATE}, whole boolean")
 
 
-def _step(rows: DataFrame, estimates: DataFrame, small: bool) -> DataFrame:
+def _packed(rows: DataFrame) -> DataFrame:
+    """The rows of each group in chunks of about ``CHUNK_ROWS``, dealt by hash, so that a step meets its estimate once a chunk and not once a row."""
+    names = [*(f"s{i}" for i in range(_P)), *(f"u{i}" for i in range(_P))]
+    chunk = F.pmod(F.xxhash64(*names), F.ceil(F.col("of") / CHUNK_ROWS)).alias("chunk")
+    return rows.groupBy("group", chunk).agg(F.collect_list(F.array(*names)).alias("values")).select("group", "values")
+
+
+_SUMS = f"group bigint, bin int, {', '.join(f'{c} double' for c in _MOMENTS)}"
+
+
+def _summed(chunks: DataFrame, estimates: DataFrame, small: bool, most: float | None = None) -> DataFrame:
+    """Moments of the rows of each group by logarithmic bins of their distance from its estimate; with ``most``, of those within it, in one bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            which = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            values = lists.flatten().flatten().to_numpy().reshape(-1, 2 * _P)
+            centre, inverse = (b.column(k).flatten().to_numpy().reshape(-1, n)[which] for k, n in ((2, _P), (3, len(_PAIRS))))
+            x = values[:, :_P]
+            d = x - centre
+            distance = sum(inverse[:, k] * d[:, i] * d[:, j] * (1 if i == j else 2) for k, (i, j) in enumerate(_PAIRS))
+            bins = np.floor(np.log2(np.maximum(distance, 1e-9)) * BINS_PER_OCTAVE).astype(np.int64) if most is None else np.zeros(len(x), np.int64)
+            columns = [np.ones(len(x)), *x.T, *(x[:, i] * x[:, j] for i, j in _PAIRS), *values[:, _P:].T]
+            keys = np.stack([b.column(0).to_numpy()[which], bins], 1)
+            if most is not None:
+                inside = distance <= most
+                keys, columns = keys[inside], [c[inside] for c in columns]
+            found, at = np.unique(keys, axis=0, return_inverse=True)
+            sums = [np.bincount(at.ravel(), c, len(found)) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int32)), *map(pa.array, sums)], ["group", "bin", *_MOMENTS])
+
+    met = chunks.join(sized(estimates, small), "group").select("group", "values", "centre", "inverse")
+    return met.mapInArrow(run, _SUMS).groupBy("group", "bin").agg(*(F.sum(c).alias(c) for c in _MOMENTS))
+
+
+def _step(chunks: DataFrame, estimates: DataFrame, small: bool) -> DataFrame:
     """The moments of the nearest ``SHARE`` of each group under its estimate; of the last bin, the part that is wanted."""
-    bins = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * BINS_PER_OCTAVE).cast("int")
-    binned = rows.join(sized(estimates, small), "group").groupBy("group", bins.alias("bin")).agg(*_moments())
+    binned = _summed(chunks, estimates, small)
     of = Window.partitionBy("group")
     wanted = F.ceil(SHARE * F.sum("rows").over(of)) - (F.sum("rows").over(of.orderBy("bin")) - F.col("rows"))
     near = binned.withColumn("part", F.least(F.lit(1.0), wanted / F.col("rows"))).where(F.col("part") > 0)
@@ -281,7 +314,7 @@ def estimate(rows: DataFrame, small: bool) -> DataFrame:
     now = started.where("NOT whole").drop("whole")
     if now.isEmpty():
         return final
-    large, done = rows.where(F.col("of") > START_ROWS), None
+    large, done = cut(_packed(rows.where(F.col("of") > START_ROWS))), None
     for _ in range(MOST_STEPS):
         before = now.select("group", F.col("logdet").alias("before"))
         stepped = _estimates(_step(large, now, small)).join(before, "group")
@@ -292,8 +325,8 @@ def estimate(rows: DataFrame, small: bool) -> DataFrame:
         if now.isEmpty():
             break
     now = cut(done.unionByName(now))
-    kept = large.join(sized(now, small), "group").where(_distance() / _INSIDE <= quantile(0.975, _P))
-    return final.unionByName(cut(_estimates(kept.groupBy("group").agg(*_moments()), _WITHIN)).select("group", "centre", "inverse"))
+    kept = _summed(large, now, small, _INSIDE * quantile(0.975, _P))
+    return final.unionByName(cut(_estimates(kept, _WITHIN)).select("group", "centre", "inverse"))
 
 
 def _fitted(counted: DataFrame) -> tuple[DataFrame, bool]:
