@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, fuzzy, parse, urls
 from ..operators import cascade, filters, html, judge, matching
-from ..session import checkpointed
+from ..session import checkpointed, measured_joins
 from ..sources import tables
 from .hooks import Hooks, watched
 
@@ -131,9 +131,16 @@ def compare(
     row of a ``second`` run ``(query_id, website, title, price, ...)`` where there was
     one. ``hooks`` take counts of the stages as they run. Every query has a row for every retailer; a failed row of a known page
     keeps its title and address.
+
+    All joins are done when this returns; what is left is the sort.
     """
-    spark = queries.sparkSession
-    planned = checkpointed(watched(hooks, cascade.planned(tables.asked(queries), tables.retailers(spark), plans), "planned"))
+    with measured_joins(queries.sparkSession):
+        rows = _compared(queries, plans, captures, references, title_verdicts, price_verdicts, discovered, second, hooks)
+    return rows.orderBy("query_id", "site_order")
+
+
+def _compared(queries, plans, captures, references, title_verdicts, price_verdicts, discovered, second, hooks) -> DataFrame:
+    planned = checkpointed(watched(hooks, cascade.planned(tables.asked(queries), tables.retailers(queries.sparkSession), plans), "planned"))
     served = tables.usable_captures(captures)
     # what a page is about is joined from its narrow columns, so that its text is read for parsing alone
     about = captures.select("page_id", *GROUP, "kind", "stage", "method", "url", "http_status")
@@ -154,8 +161,8 @@ def compare(
     rows = rows.join(expected, GROUP, "left").withColumn("price_outlier", F.coalesce(far, F.lit(False))).drop("ref_price")
     if second is not None:
         rows = cascade.second_pass(rows, expected, second)
-    if hooks:  # a sort reads its input twice, so the rows are written before it
-        rows = checkpointed(hooks.watch(rows, "rows", succeeded=F.col("status") == "Success", outliers=F.col("price_outlier")))
+    # a sort reads its input twice, so the rows are written before it
+    rows = checkpointed(watched(hooks, rows, "rows", succeeded=F.col("status") == "Success", outliers=F.col("price_outlier")))
     return rows.withColumn("trust_label", judge.trust("average_rating", "review_count")).select(
         "query_id", "site_order", "website", "title", "price", "average_rating", "review_count", "status", "method", "url", "price_outlier", "trust_label"
-    ).orderBy("query_id", "site_order")
+    )

@@ -10,6 +10,7 @@ from ..functions import fixed, parse, text, urls
 from ..operators import cascade, extractors, html, judge, matching
 from ..plans import comparison
 from ..plans.hooks import Hooks
+from ..session import measured_joins, spread, stored
 from ..sources import sinks, tables
 from ..streaming import progress
 from .common import expect, formed_pairs, query, table, values
@@ -352,7 +353,7 @@ def part_pages(spark, d, item="item", turn=0):
 
     Pages of another ``turn`` are of another item, with another address and price.
     """
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", (F.round("p_retailprice", 2) + turn).alias("price"))
+    p = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", (F.round("p_retailprice", 2) + turn).alias("price")), "p_partkey")
     site = (F.col("p_partkey") % 4).cast("int")
     name = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit(item))
     slug = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-")
@@ -397,7 +398,7 @@ def ca04_parts(spark, d):
 def _compared_parts(spark, d, hooks=None):
     nothing = lambda ddl: spark.createDataFrame([], ddl)
     return comparison.compare(
-        _asked_parts(spark, d), nothing("query_id bigint, website string, search_query string, match_query string"), part_captures(spark, d), nothing("query_id bigint, website string, ref_price decimal(38,10)"),
+        _asked_parts(spark, d), nothing("query_id bigint, website string, search_query string, match_query string"), stored(part_captures(spark, d), "captures"), nothing("query_id bigint, website string, ref_price decimal(38,10)"),
         nothing("expected string, scraped string, match boolean"), nothing("website string, title string, price decimal(38,10), plausible boolean"), hooks=hooks,
     )
 
@@ -413,14 +414,16 @@ def _asked_parts(spark, d):
 def ca04_offers(spark, d):
     """Two listings for each part. By its number: the first one's page is gone, its title or price is refused, nothing
     is wrong, its price is far from what is expected and a second run finds another, or finds none."""
-    one, two = part_pages(spark, d, "first item"), part_pages(spark, d, "second item", 1)
+    one, two = stored(part_pages(spark, d, "first item"), "first"), stored(part_pages(spark, d, "second item", 1), "second")
     case = F.col("p_partkey") % 5
     both = one.join(two.select("p_partkey", F.col("card").alias("other")), "p_partkey")
-    pages = _capture(both, 0, "serp", "search", F.concat(F.lit("<html>"), "card", "other", F.lit("</html>")))
+    with measured_joins(spark):
+        pages = stored(_capture(both, 0, "serp", "search", F.concat(F.lit("<html>"), "card", "other", F.lit("</html>"))), "captures")
     pages = pages.unionByName(_capture(one, 1, "pdp", "url", F.col("html"), F.when(case == 0, 404).otherwise(200))).unionByName(_capture(two, 2, "pdp", "url", F.col("html")))
     money = lambda c: c.cast("decimal(38,10)")
     asked = _asked_parts(spark, d)
-    wanted = one.join(asked.withColumnRenamed("query_id", "p_partkey"), "p_partkey").withColumn("odd", F.col("p_partkey") % 2 == 1)
+    with measured_joins(spark):
+        wanted = stored(one.select("p_partkey", "website", "name").join(asked.withColumnRenamed("query_id", "p_partkey"), "p_partkey").withColumn("odd", F.col("p_partkey") % 2 == 1), "wanted")
     refused = wanted.where((case == 1) & F.col("odd"))
     titles = refused.select(F.col("user_query").alias("expected"), F.col("name").alias("scraped"), F.lit(False).alias("match")).distinct()
     # a refusal is of a question and a title: parts of the same name whose first page is not to be refused are asked for in other words
@@ -456,7 +459,7 @@ def js03_parts(spark, d):
     SELECT p_partkey * 4 AS page_id, ['Amazon.com', 'BestBuy.com', 'Walmart.com', 'Newegg.com'][p_partkey % 4 + 1] AS website, 1 AS rank, p_name || ' ' || p_brand || ' ' || p_type || ' item' AS title FROM part""")
 def ud01_tables(spark, d):
     """Search pages by the table function of their retailer."""
-    pages = part_captures(spark, d).where("kind = 'serp'").select("page_id", "website", "url", "html")
+    pages = stored(part_captures(spark, d).where("kind = 'serp'").select("page_id", "website", "url", "html"), "captures")
     return html.serp(pages, extract=extractors.serp_facts).select("page_id", "website", "rank", "title")
 
 
