@@ -58,38 +58,47 @@ class JobRows(StatefulProcessor):
         self.sites = handle.getMapState("sites", "website string", "seq bigint, status string, value double, deadline bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Events are folded in memory: a job's state is read once and what has changed in it is written once."""
         events = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        changed = False
-        for e in events.itertuples():
-            name = (e.website,)
-            now = Site(*self.sites.getValue(name)) if self.sites.containsKey(name) else None
-            at, value = int(e.ts.timestamp() * 1000), None if pd.isna(e.value) else float(e.value)
-            if e.kind == "site_started":
+        before = self._known()
+        sites, changed = dict(before), False
+        times = events["ts"].astype("datetime64[us]").astype("int64") // 1000
+        for website, seq, kind, value, at in zip(*(events[c].tolist() for c in ("website", "seq", "kind", "value")), times.tolist(), strict=True):
+            now, value = sites.get(website), None if pd.isna(value) else float(value)
+            if kind == "site_started":
                 deadline = at + self.timeout_ms if self.timeout_ms else 0
-                new = now.started(int(e.seq), deadline) if now else Site(int(e.seq), RUNNING, None, deadline)
-                if self.timeout_ms and new is not now:
-                    self.handle.registerTimer(deadline)
-            elif e.kind in ("site_finished", "recheck_site"):
-                new = (now or Site(-1, RUNNING, None, 0)).given(int(e.seq), value, at, e.kind == "recheck_site")
+                new = now.started(int(seq), deadline) if now else Site(int(seq), RUNNING, None, deadline)
+            elif kind in ("site_finished", "recheck_site"):
+                new = (now or Site(-1, RUNNING, None, 0)).given(int(seq), value, at, kind == "recheck_site")
             else:
                 continue
             if new != now:
-                self.sites.updateValue(name, (new.seq, new.status, new.value, new.deadline))
+                sites[website] = new
                 changed |= new.status != RUNNING
-        yield self._rows(key) if changed else pd.DataFrame(columns=_NAMES)
+        for website, new in sites.items():
+            if new != before.get(website):
+                self.sites.updateValue((website,), (new.seq, new.status, new.value, new.deadline))
+        # only a store that is still waited for needs its timer
+        waiting = {s.deadline for w, s in sites.items() if s.status == RUNNING and s.deadline and s != before.get(w)}
+        for deadline in sorted(waiting):
+            self.handle.registerTimer(deadline)
+        yield self._rows(key, sites) if changed else pd.DataFrame(columns=_NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Stores that had until now and gave nothing failed; the job's others go on."""
         until = expiredTimerInfo.getExpiryTimeInMs()
-        late = [(k, Site(*v)) for k, v in self.sites.iterator()]
-        late = [(k, s) for k, s in late if s.status == RUNNING and s.deadline <= until]
-        for k, s in late:
-            self.sites.updateValue(k, (s.seq, FAILED, None, s.deadline))
-        yield self._rows(key) if late else pd.DataFrame(columns=_NAMES)
-
-    def _rows(self, key) -> pd.DataFrame:
-        known = [(k[0], Site(*v)) for k, v in self.sites.iterator()]
-        known = sorted(((w, s) for w, s in known if s.status != RUNNING), key=lambda x: (self.order.get(x[0], len(self.order)), x[0]))
+        sites = self._known()
+        late = [(w, s) for w, s in sites.items() if s.status == RUNNING and s.deadline <= until]
+        for w, s in late:
+            sites[w] = Site(s.seq, FAILED, None, s.deadline)
+            self.sites.updateValue((w,), (s.seq, FAILED, None, s.deadline))
+        yield self._rows(key, sites) if late else pd.DataFrame(columns=_NAMES)
+
+    def _known(self) -> dict[str, Site]:
+        return {k[0]: Site(*v) for k, v in self.sites.iterator()}
+
+    def _rows(self, key, sites: dict[str, Site]) -> pd.DataFrame:
+        known = sorted(((w, s) for w, s in sites.items() if s.status != RUNNING), key=lambda x: (self.order.get(x[0], len(self.order)), x[0]))
         version = max(s.seq for _, s in known)
         rows = [(int(key[0]), version, k, w, s.seq, s.status, s.value) for k, (w, s) in enumerate(known)]
         return pd.DataFrame(rows, columns=_NAMES).astype({"value": "float64"})
